@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import linededup, quality
+from posekit.llm import huffman, linededup, packing, quality
 from posekit.llm.common import table
 
 
@@ -20,9 +20,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return huffman.roundtrip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_output": op8_token_output,
+    "op10_packing": op10_packing,
 }
 
 OP3_SQL = r"""
