@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import huffman, linededup, packing, quality
+from posekit.llm import huffman, licenses, linededup, multiindex, packing, quality
 from posekit.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(quality.metrics(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +44,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_output": op8_token_output,
     "op10_packing": op10_packing,
@@ -85,4 +95,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN r USING (source)
 """
 
-ORACLES = {"op3_line_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"lower(regexp_replace({text}, {_sql(licenses.COPYRIGHT_LINE)}, ' ', 'g'))"
+    out = rf"concat(' ', trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', '  ', 'g')), ' ')"
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, {_sql(f' {a} '.replace(' ', '  ')[1:-1])}, {_sql(f' {b} '.replace(' ', '  ')[1:-1])})"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+OP4_SQL = f"""
+WITH texts AS (SELECT * FROM (VALUES {", ".join(f"({_sql(n)}, {_sql(t)})" for n, t in licenses.KNOWN)}) AS t(licence, text)),
+known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(licence) AS licence FROM texts GROUP BY 1),
+forms AS (SELECT doc_id, {_canonical_sql("text")} AS form FROM documents),
+whole AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM forms),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+hits AS (SELECT doc_id, licence FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines WHERE regexp_matches(line, '(?i)licen[cs]|permission')) JOIN known USING (digest)),
+byline AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n FROM hits GROUP BY doc_id)
+SELECT whole.doc_id, whole.digest, licence AS whole_licence, coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_licence_lines
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN byline USING (doc_id)
+"""
+
+ORACLES = {"op4_license_scan": OP4_SQL, "op3_line_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
