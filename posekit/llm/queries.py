@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import huffman, licenses, linededup, multiindex, packing, quality
+from posekit.llm import htmltext, huffman, langid, licenses, linededup, multiindex, packing, quality
 from posekit.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup_lines(docs)
@@ -43,6 +54,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_html_text": op2_html_text,
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
