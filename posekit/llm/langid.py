@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posekit.llm.common import slices, stored
-from posekit.llm.pieces import SPACE, Pieces, pieces
+from posekit.llm.pieces import SPACE, Lattices, Pieces, pieces
 
 #: Labelled documents a language that the model is fitted on, about.
 TRAIN_DOCS = 2_000
@@ -52,57 +52,39 @@ def words(text: str | None) -> list[str]:
     return found
 
 
-def lattice(vocab: Pieces, batch: list[str], prob: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Edges of many words, by end position then word: word, start, end, id, and probability by language.
-
-    prob: (vocabulary, languages). An edge without a piece has the product of its bytes' probabilities.
-    """
-    rows, extra = [], []
-    for k, w in enumerate(batch):
-        marked = SPACE + w
-        for a, b, i in vocab.edges(marked):
-            if i < 0:
-                extra.append((len(rows), marked[a]))
-            rows.append((b, k, a, i))
-    e = np.array(rows, np.int64).reshape(-1, 4)
-    p = prob[e[:, 3]]
-    for at, char in extra:
-        p[at] = np.prod(prob[[vocab.bytes[x] for x in char.encode("utf-8", "surrogatepass")]], axis=0)
-    order = np.lexsort((e[:, 1], e[:, 0]))
-    return e[order, 1], e[order, 2], e[order, 0], e[order, 3], p[order]
-
-
-def forward(n: int, word: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: the sum over segmentations of what precedes the position."""
-    longest = int(end.max()) if len(end) else 0
-    alpha = np.zeros((n, longest + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
-    cuts = np.searchsorted(end, np.arange(1, longest + 2))
-    for t in range(1, longest + 1):
-        a, b = cuts[t - 1], cuts[t]
-        if a < b:
-            w = word[a:b]
-            first = np.flatnonzero(np.diff(w, prepend=-1))
-            alpha[w[first], t] = np.add.reduceat(alpha[w, start[a:b]] * p[a:b], first)
+def edge_probabilities(lat: Lattices, prob: np.ndarray) -> np.ndarray:
+    """Probability by language of each edge; a character spelled in bytes has the product of theirs."""
+    p = prob[lat.ids]
+    for k, spelled in lat.spelling.items():
+        p[k] = np.prod(prob[spelled], axis=0)
+    return p
+
+
+def forward(lat: Lattices, p: np.ndarray) -> np.ndarray:
+    """alpha[node, language]: the sum over segmentations of what precedes the node."""
+    alpha = np.zeros((int(lat.size.sum()) + len(lat.words), p.shape[1]))
+    alpha[lat.first] = 1.0
+    for span in lat.steps():
+        end = lat.end[span]
+        group = np.flatnonzero(np.diff(end, prepend=-1))
+        alpha[end[group]] = np.add.reduceat(alpha[lat.start[span]] * p[span], group)
     return alpha
 
 
 def expected_counts(vocab: Pieces, batch: list[str], n: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected count of each piece over the words, each counted n times (one language)."""
-    word, start, end, ids, p = lattice(vocab, batch, prob[:, None])
-    alpha = forward(len(batch), word, start, end, p)[:, :, 0]
-    size = np.array([len(w) + 1 for w in batch])
+    lat = vocab.lattices([SPACE + w for w in batch])
+    p = edge_probabilities(lat, prob[:, None])
+    alpha, p = forward(lat, p)[:, 0], p[:, 0]
     beta = np.zeros_like(alpha)
-    beta[np.arange(len(batch)), size] = 1.0
-    for t in range(alpha.shape[1] - 1, 0, -1):
-        a, b = np.searchsorted(end, [t, t + 1])
-        np.add.at(beta, (word[a:b], start[a:b]), p[a:b, 0] * beta[word[a:b], t])
-    total = alpha[np.arange(len(batch)), size]
-    weight = alpha[word, start] * p[:, 0] * beta[word, end] * (n / total)[word]
-    out = np.bincount(np.where(ids < 0, 0, ids), np.where(ids < 0, 0.0, weight), minlength=vocab.size)
-    for k in np.flatnonzero(ids < 0):
-        for x in (SPACE + batch[word[k]])[start[k]].encode("utf-8", "surrogatepass"):
-            out[vocab.bytes[x]] += weight[k]
+    beta[lat.last] = 1.0
+    for span in lat.steps(backward=True):
+        np.add.at(beta, lat.start[span], p[span] * beta[lat.end[span]])
+    weight = alpha[lat.start] * p * beta[lat.end] * (n / alpha[lat.last])[lat.word]
+    out = np.bincount(np.maximum(lat.ids, 0), np.where(lat.ids < 0, 0.0, weight), minlength=vocab.size)
+    for k in np.flatnonzero(lat.ids < 0).tolist():
+        for i in lat.spelling[k]:
+            out[i] += weight[k]
     return out
 
 
@@ -178,9 +160,8 @@ class WordScores:
             parts = [self.table]
             for a in range(0, len(new), 4000):
                 some = new[a : a + 4000]
-                word, start, end, _, p = lattice(self.vocab, some, self.prob)
-                alpha = forward(len(some), word, start, end, p)
-                parts.append(np.log(alpha[np.arange(len(some)), [len(w) + 1 for w in some]]))
+                lat = self.vocab.lattices([SPACE + w for w in some])
+                parts.append(np.log(forward(lat, edge_probabilities(lat, self.prob))[lat.last]))
             self.table = np.concatenate(parts)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         return self.table[np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))]

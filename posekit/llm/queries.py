@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import htmltext, huffman, langid, licenses, linededup, multiindex, packing, quality
+from posekit.llm import htmltext, huffman, langid, licenses, linededup, multiindex, nbest, packing, quality
 from posekit.llm.common import table
 
 
@@ -34,6 +34,13 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return nbest.digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(quality.metrics(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,6 +66,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_nbest_pieces": op6_nbest_pieces,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_output": op8_token_output,
     "op10_packing": op10_packing,
