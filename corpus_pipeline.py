@@ -1,24 +1,52 @@
-"""Corpus pipeline: each stage works on what its predecessor kept."""
+"""Corpus pipeline: each stage works on all its predecessor kept; its rejections take effect.
+
+Every stage but the last returns the columns of documents. Stages are written
+to the shared folder and read again in between.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from posekit.llm import linededup, quality
+from posekit.llm import jaccard, langid, linededup, packing, quality
 from posekit.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and their host pass."""
+    """Documents that the base rules and their host's verdict pass."""
     return quality.filter_documents(docs)
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones name, with posterior of one half at least."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return langid.keep_identified(docs, langid.train(docs, path), path)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated long lines left in their last holder only."""
+    """All documents; repeated long lines stay in their last holder only."""
     return linededup.dedup_lines(docs).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of smallest doc_id."""
+    return jaccard.keep_first(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of the packed token sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("packing", sequences),
+]
+#: Piece probabilities, tokenizers and connected components are not for SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import htmltext, huffman, langid, licenses, linededup, multiindex, nbest, packing, quality
+from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality
 from posekit.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.roundtrip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_nbest_pieces": op6_nbest_pieces,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_output": op8_token_output,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
 
