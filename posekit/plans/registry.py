@@ -1,5 +1,59 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "per_fly_summary"
+A query is registered with the views it reads and the double columns that both
+sides round to nine decimals. Modules of queries are imported at the end, so
+importing this one fills QUERIES and ORACLES.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from posekit.plans import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "p2_per_fly_speed"
+
+
+def query(name: str, reads: str, sql: str | None = None, doubles: str = ""):
+    """Register f(*views) under name; sql may use the same views by name."""
+    names, rounded = reads.split(), doubles.split()
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(*[views.load(spark, sf_dir, v) for v in names])
+            return out.withColumns({c: F.round(F.col(c), 9) + F.lit(0.0) for c in rounded}) if rounded else out
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            body = f"SELECT * REPLACE ({', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in rounded)}) FROM ({sql})" if rounded else sql
+            ORACLES[name] = views.with_views(names, body)
+        return f
+
+    return add
+
+
+def load_all() -> None:
+    from posekit.plans import (  # noqa: F401
+        queries_aggregates,
+        queries_events,
+        queries_filters,
+        queries_joins,
+        queries_learn,
+        queries_names,
+        queries_pipelines,
+        queries_scalars,
+        queries_sources,
+        queries_stats,
+        queries_stim,
+        queries_tracks,
+        queries_windows,
+    )
+
+
+load_all()
