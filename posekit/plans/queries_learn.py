@@ -1 +1,69 @@
+"""ML1-ML6, SG1, SG2, O7."""
 
+from pyspark.sql import functions as F
+
+from posekit.operators import filters, learn, signal
+from posekit.plans.queries_filters import embedded
+from posekit.plans.registry import query
+
+XY = [f"{a}_{n}_fly" for n in range(4) for a in "xy"]
+
+
+@query("ml1_standardised", "embeddings", "SELECT vec_id, " + ", ".join(f"(v{k} - avg(v{k}) OVER ()) / CASE WHEN stddev_pop(v{k}) OVER () = 0 THEN 1 ELSE stddev_pop(v{k}) OVER () END AS s{k}" for k in range(8)) + " FROM (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS v{k}" for k in range(8)) + " FROM embeddings)", " ".join(f"s{k}" for k in range(8)))
+def ml1(emb):
+    out = learn.standardised(embedded(emb).select("vec_id", *XY), XY)
+    return out.toDF("vec_id", *[f"s{k}" for k in range(8)])
+
+
+@query("ml2_principal_components", "embeddings")
+def ml2(emb):
+    wide = embedded(emb)
+    cols = [c for c in wide.columns if c[:2] in ("x_", "y_")]
+    scores, shares = learn.principal_components(wide.select("vec_id", "label", *cols), cols, 0.95)
+    return scores.withColumn("n_components", F.lit(len(shares)))
+
+
+def scored(emb, k=4):
+    wide = embedded(emb)
+    return learn.principal_components(wide.select("vec_id", "label", *XY), XY, k=k)[0]
+
+
+@query("ml3_clusters", "embeddings")
+def ml3(emb):
+    return learn.clusters(scored(emb), "scores", 12).select("vec_id", "label", "cluster")
+
+
+@query("ml4_silhouette", "embeddings")
+def ml4(emb):
+    s = scored(emb)
+    got = learn.silhouette(learn.clusters(s, "scores", 12), "scores", "cluster")
+    return s.agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(got))
+
+
+@query("ml5_sweep", "embeddings")
+def ml5(emb):
+    return learn.sweep(scored(emb), "scores", [4, 8, 12], [0, 1], 5)
+
+
+@query("o7_best_settings", "embeddings")
+def o7(emb):
+    return learn.sweep(scored(emb, 2), "scores", [3, 6], [0], 1)
+
+
+@query("ml6_behaviour_map", "embeddings")
+def ml6(emb):
+    """Two scores an event with its metadata: chosen feature groups, gaps as 9999."""
+    wide = embedded(emb)
+    cols = filters.feature_columns(wide.columns, {"x": "^x_[0-9]_", "y": "^y_[0-9]_"}, ["x", "y"])
+    filled = wide.select("vec_id", "label", *cols).na.fill(9999.0, cols)
+    return learn.principal_components(filled, cols, k=2)[0].select("vec_id", "label", F.col("scores")[0].alias("map_x"), F.col("scores")[1].alias("map_y"))
+
+
+@query("sg1_butterworth", "frames")
+def sg1(frames):
+    return signal.low_pass(frames, ["recording", "track"], "frame", "x", *signal.butterworth(3, 0.2))
+
+
+@query("sg2_chebyshev", "frames")
+def sg2(frames):
+    return signal.low_pass(frames, ["recording", "track"], "frame", "x", *signal.chebyshev1(3, 0.5, 0.2))

@@ -1 +1,90 @@
+"""P1-P9."""
 
+from pyspark.sql import functions as F
+
+from posekit.plans import jobs as J
+from posekit.plans.queries_filters import embedded
+from posekit.plans.queries_joins import PATHS, files, name_map
+from posekit.plans.queries_names import folders  # noqa: F401
+from posekit.plans.queries_stats import BINNED, REPS, _bh, _perm  # noqa: F401
+from posekit.plans.queries_tracks import SELECTED, some
+from posekit.plans.queries_windows import OVER
+from posekit.plans.registry import query
+
+FILLED2 = "(SELECT *, " + ", ".join(f"coalesce({c}, {c}0 + ({c}1 - {c}0) * (frame - i{c}0) / nullif(i{c}1 - i{c}0, 0), {c}0, {c}1) AS f{c}" for c in "xy") + " FROM (SELECT *, " + ", ".join(
+    f"last_value({c} IGNORE NULLS) OVER p AS {c}0, last_value(CASE WHEN {c} IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS i{c}0, first_value({c} IGNORE NULLS) OVER n AS {c}1, first_value(CASE WHEN {c} IS NOT NULL THEN frame END IGNORE NULLS) OVER n AS i{c}1" for c in "xy"
+) + f" FROM frames WINDOW p AS ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS ({OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"
+SLOPE = "80 * CASE WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END"
+SPEED = f"""SELECT grp, is_control, recording, track, count(f) AS n_frames, avg(speed) AS mean_speed, avg(f) AS mean_forward_velocity, avg(CASE WHEN f > 0 THEN f END) AS mean_forward_speed,
+  avg(CASE WHEN f < 0 THEN f END) AS mean_backward_speed, avg(CASE WHEN f < 0 THEN -f WHEN f >= 0 THEN 0 END) AS mean_backward_speed_rect, count(CASE WHEN f > 0 THEN 1 END) / greatest(count(f), 1) AS frac_forward,
+  count(CASE WHEN f < 0 THEN 1 END) / greatest(count(f), 1) AS frac_backward, avg(abs(r)) AS mean_abs_rotational
+  FROM (SELECT *, CASE WHEN seen THEN vx END AS f, CASE WHEN seen THEN sqrt(vx ** 2 + vy ** 2) END AS speed, CASE WHEN seen THEN vy END AS r FROM (
+    SELECT *, x IS NOT NULL OR y IS NOT NULL AS seen, {SLOPE.format(c='fx')} AS vx, {SLOPE.format(c='fy')} AS vy FROM {FILLED2} WINDOW w AS ({OVER}))) GROUP BY 1, 2, 3, 4"""
+FLY = "mean_speed mean_forward_velocity mean_forward_speed mean_backward_speed mean_backward_speed_rect frac_forward frac_backward mean_abs_rotational"
+
+
+@query("p1_clean_tracks", "points", f"SELECT recording, track, kept, reason, NOT bool_or(kept) OVER (PARTITION BY recording) AS empty_recording, n AS n_points FROM ({SELECTED}) LEFT JOIN (SELECT recording, track, count(*) AS n FROM points GROUP BY 1, 2) USING (recording, track)")
+def p1(points):
+    p, n = some(points)
+    kept, report = J.clean_tracks(p, n, least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
+    size = p.groupBy("recording", "track").agg(F.count("*").alias("n_points"))
+    return report.join(size, ["recording", "track"], "left").select("recording", "track", "kept", "reason", "empty_recording", "n_points")
+
+
+@query("p1_kept_points", "points", f"SELECT recording, track, frame, node FROM points WHERE (recording, track) IN (SELECT (recording, track) FROM ({SELECTED}) WHERE kept)")
+def p1b(points):
+    p, n = some(points)
+    kept, _ = J.clean_tracks(p, n, least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
+    return kept.select("recording", "track", "frame", "node")
+
+
+@query("p2_per_fly_speed", "frames", SPEED, FLY)
+def p2(frames):
+    return J.per_fly_speed(frames, 80.0)
+
+
+@query("p2_track_kinematics", "points")
+def p2b(points):
+    return J.track_kinematics(points, ["head", "thorax", "abdomen"], 80.0, 11, 1, ["thorax"], 26.0)
+
+
+@query("p3_directional_velocity", "kin pulses")
+def p3(kin, pulses):
+    got = J.directional_velocity(kin, pulses.where("seq = 'long'").drop("seq"), 100)
+    return got["tests"]
+
+
+@query("p4_binned_group_test", "frames", f"SELECT *, p_adj < 0.05 AS significant FROM ({_bh('SELECT time_bin, CASE WHEN p IS NULL THEN 0 ELSE diff END AS diff, coalesce(p, 1.0) AS p FROM (' + _perm('time_bin', '(SELECT CAST(greatest(ceil((time - mn) / (mx - mn) * 8) - 1, 0) AS INT) AS time_bin, track, CASE WHEN grp = ' + chr(39) + 'B6VF' + chr(39) + ' THEN ' + chr(39) + 'b' + chr(39) + ' ELSE ' + chr(39) + 'a' + chr(39) + ' END AS arm, avg(x) AS v FROM frames, (SELECT min(time) AS mn, max(time) AS mx FROM frames) GROUP BY 1, 2, 3)', 'v', 0) + ')')})", "diff p p_adj")
+def p4(frames):
+    return J.binned_group_test(frames, "time", "x", "grp", "track", "B6VF", 8, REPS)
+
+
+@query("p5_behaviour_map", "embeddings")
+def p5(emb):
+    wide = embedded(emb)
+    cols = [f"{a}_{n}_fly" for n in range(6) for a in "xy"]
+    return J.behaviour_map(wide.select("vec_id", "label", *cols), cols, 12, "label")
+
+
+@query("p6_fly_recording", "frames")
+def p6(frames):
+    named = frames.withColumn("folder", F.concat("grp", F.lit("_f_3d")))
+    return J.fly_recording(named, "folder", [("off", 10), ("on", 20)], 80.0).select("recording", "track", "frame", "light", "speed", "cumulated", "metadata.genotype", "metadata.sex", "metadata.age")
+
+
+@query("p7_name_harmonise", "names", "SELECT id, plain, row_number() OVER (PARTITION BY plain ORDER BY id) AS rank FROM (SELECT id, replace(replace(replace(coalesce(CASE name WHEN 'blue bolt (Brand#4)' THEN 'BB4' END, CASE WHEN name LIKE '%(Brand#4)' THEN 'B4' END, CASE WHEN name LIKE 'small ring (%' THEN 'SR' END, CASE WHEN lower(name) = 'hot gear (brand#3)' THEN 'HG3' END, name), '(', ''), ')', ''), ' ', '-') AS plain FROM names)")
+def p7(names):
+    return J.name_harmonise(names, name_map(names.sparkSession)).select("id", "plain", "rank")
+
+
+@query("p8_inventory_audit", "paths", f"SELECT folder, count(*) AS n, count(*) FILTER (path LIKE '%.html') AS n_processed, CASE WHEN count(*) > count(*) FILTER (path LIKE '%.html') THEN count(*) FILTER (path LIKE '%.html') / (count(*) - count(*) FILTER (path LIKE '%.html')) ELSE 0 END AS ratio, count(*) FILTER (path LIKE '%#%') > 1 AS several, sum(size)::BIGINT AS size, bool_or(path LIKE '%.html') AS has_page, bool_or(path LIKE '%#%') AS has_anchor FROM {PATHS} GROUP BY 1", "ratio")
+def p8(paths):
+    return J.inventory_audit(files(paths), "folder", {"page": r"\.html$", "anchor": "#"})
+
+
+PRUNED = "(SELECT *, row_number() OVER o AS r, first_value(x) OVER o AS x1 FROM (SELECT recording, frame, track AS instance, x, score FROM points WHERE node = 'thorax' AND x IS NOT NULL AND score >= 0.3) WINDOW o AS (PARTITION BY recording, frame ORDER BY score DESC, instance))"
+
+
+@query("p9_instance_pruning", "points", f"SELECT recording, frame, instance, 'track_' || CAST(row_number() OVER (PARTITION BY recording, frame ORDER BY x, instance) AS STRING) AS name FROM (SELECT *, min(CASE WHEN r > 1 AND abs(x - x1) > 40 THEN r END) OVER (PARTITION BY recording, frame) AS second FROM {PRUNED}) WHERE r = 1 OR (r = second AND recording <> 0)")
+def p9(points):
+    return J.instance_pruning(points, "thorax", 0.3, 40.0, F.col("recording") == 0).select("recording", "frame", "instance", "name")
