@@ -8,7 +8,13 @@ from posekit.operators import stim
 from posekit.plans.registry import query
 
 KEY = ["recording", "track"]
-SERIES = Window.partitionBy(*KEY).orderBy("frame")
+
+
+def series():
+    """The window of a track (made when a session exists)."""
+    return Window.partitionBy(*KEY).orderBy("frame")
+
+
 OVER = "PARTITION BY recording, track ORDER BY frame"
 #: Gaps filled linearly by index, ends by the nearest value.
 FILLED = f"""(SELECT recording, track, grp, frame, time, n, coalesce(v, x0 + (x1 - x0) * (frame - i0) / nullif(i1 - i0, 0), x0, x1) AS x FROM (
@@ -22,16 +28,16 @@ FILLED = f"""(SELECT recording, track, grp, frame, time, n, coalesce(v, x0 + (x1
 
 @query("w1_forward_fill", "frames", f"SELECT recording, track, frame, coalesce(last_value(x IGNORE NULLS) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS x FROM frames", "x")
 def w1(frames):
-    return frames.select(*KEY, "frame", W.forward_fill(F.col("x"), SERIES).alias("x"))
+    return frames.select(*KEY, "frame", W.forward_fill(F.col("x"), series()).alias("x"))
 
 
 @query("w2_interpolate", "frames", f"SELECT recording, track, frame, x FROM {FILLED}", "x")
 def w2(frames):
-    return W.interpolated(frames.select(*KEY, "frame", "x"), "x", SERIES, "f").select(*KEY, "frame", F.col("f").alias("x"))
+    return W.interpolated(frames.select(*KEY, "frame", "x"), "x", series(), "f").select(*KEY, "frame", F.col("f").alias("x"))
 
 
 def filled(frames):
-    return W.interpolated(frames.select(*KEY, "grp", "frame", "time", "x"), "x", SERIES, "x_filled")
+    return W.interpolated(frames.select(*KEY, "grp", "frame", "time", "x"), "x", series(), "x_filled")
 
 
 def _fit_sql(window: int, order: int, derivative: int = 0) -> str:
@@ -73,7 +79,7 @@ def w4(frames):
 
 @query("w5_gradient", "frames", f"SELECT recording, track, frame, 80 * CASE WHEN l IS NULL THEN r - x WHEN r IS NULL THEN x - l ELSE (r - l) / 2 END AS g FROM (SELECT *, lag(x) OVER ({OVER}) AS l, lead(x) OVER ({OVER}) AS r FROM {FILLED} f)", "g")
 def w5(frames):
-    return filled(frames).select(*KEY, "frame", (W.gradient(F.col("x_filled"), SERIES) * 80).alias("g"))
+    return filled(frames).select(*KEY, "frame", (W.gradient(F.col("x_filled"), series()) * 80).alias("g"))
 
 
 @query("w6_unwrap", "frames", f"SELECT recording, track, frame, a - 2 * pi() * sum(CASE WHEN step > pi() THEN 1 WHEN step < -pi() THEN -1 ELSE 0 END) OVER ({OVER}) AS u FROM (SELECT *, a - lag(a) OVER ({OVER}) AS step FROM (SELECT *, atan2(y - 50, x - 50) AS a FROM frames WHERE x IS NOT NULL AND y IS NOT NULL)) UNION ALL SELECT recording, track, frame, NULL FROM frames WHERE x IS NULL OR y IS NULL", "u")
@@ -89,7 +95,7 @@ def w7(frames):
 
 @query("w8_running_total", "frames", f"SELECT recording, track, frame, sum(x) OVER ({OVER}) AS total FROM frames", "total")
 def w8(frames):
-    return frames.select(*KEY, "frame", W.running_total(F.col("x"), SERIES).alias("total"))
+    return frames.select(*KEY, "frame", W.running_total(F.col("x"), series()).alias("total"))
 
 
 @query("w9_bins", "frames", "SELECT recording, track, frame, CAST(greatest(ceil((time - mn) / (mx - mn) * 12) - 1, 0) AS INT) AS bin, CAST(CASE WHEN time > 0 AND time <= 60 THEN 0 WHEN time > 60 AND time <= 300 THEN 1 WHEN time > 300 AND time <= 900 THEN 2 END AS INT) AS edge_bin FROM frames, (SELECT min(time) AS mn, max(time) AS mx FROM frames)")
@@ -100,8 +106,8 @@ def w9(frames):
 
 @query("w12_rolling_median", "frames", f"SELECT recording, track, frame, coalesce(first_value(m IGNORE NULLS) OVER ({OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(m IGNORE NULLS) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS m FROM (SELECT *, CASE WHEN count(x) OVER w = 5 THEN quantile_cont(x, 0.5) OVER w END AS m FROM frames WINDOW w AS ({OVER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))", "m")
 def w12(frames):
-    med = frames.withColumn("med", W.rolling_median(F.col("x"), SERIES))
-    return W.fill_back_then_forward(med, "med", SERIES, "m").select(*KEY, "frame", "m")
+    med = frames.withColumn("med", W.rolling_median(F.col("x"), series()))
+    return W.fill_back_then_forward(med, "med", series(), "m").select(*KEY, "frame", "m")
 
 
 @query("w17_group_sum", "ev", "SELECT event_id, sum(displacement) OVER (PARTITION BY fly) AS total, displacement / sum(displacement) OVER (PARTITION BY fly) AS share FROM ev", "total share")
@@ -117,4 +123,4 @@ def w18(frames):
 
 @query("w19_differences", "frames", f"SELECT recording, track, frame, x - lag(x) OVER ({OVER}) AS diff, lead(x) OVER ({OVER}) AS next FROM frames", "diff next")
 def w19(frames):
-    return frames.select(*KEY, "frame", (F.col("x") - F.lag("x").over(SERIES)).alias("diff"), F.lead("x").over(SERIES).alias("next"))
+    return frames.select(*KEY, "frame", (F.col("x") - F.lag("x").over(series())).alias("diff"), F.lead("x").over(series()).alias("next"))
