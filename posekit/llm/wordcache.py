@@ -15,13 +15,16 @@ import os
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct chunks kept; beyond it the table is emptied (this bounds memory, not results).
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 1_200_000
 #: Cut off the end of a chunk where a letter of the first Unicode blocks precedes.
 TAIL = ".,#*%&$!?;:|"
 LAST_LETTER = "\u024f"
 _MARK = "\u0001"
+JOINED = 100
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
@@ -35,7 +38,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = drops_space
-        self.mark = self._raw([_MARK])[0] if drops_space else []
+        # What stands between joined chunks, and its one id.
+        self.between, self.after = (f" {_MARK} ", f" {_MARK}") if drops_space else ("\n", "\n")
+        self.mark = self._raw([self.after])[0][0]
         self._empty()
 
     def _empty(self) -> None:
@@ -47,80 +52,99 @@ class ChunkEncoder:
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        """Many chunks; where blanks are dropped, in one text with marks between, which is cheaper."""
-        if not self.drops_space or len(self.mark) != 1 or any(_MARK in c for c in chunks):
-            return self._raw(chunks)
-        out: list[list[int]] = []
-        for a in range(0, len(chunks), 200):
-            some = chunks[a : a + 200]
-            ids = np.array([*self._raw([f" {_MARK} ".join(some)])[0], self.mark[0]])
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(some):
-                out += self._raw(some)
-                continue
-            ids = ids.tolist()
-            out += [ids[x:y] for x, y in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
-        return out
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes. JOINED chunks go through the tokenizer as one text with marks between, which is cheaper."""
+        sizes, flat = np.zeros(len(chunks), np.int64), []
+        for a in range(0, len(chunks), JOINED):
+            some = chunks[a : a + JOINED]
+            ids = np.array(self._raw([self.between.join(some) + self.after])[0])
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(some):  # a chunk holds the mark itself
+                got = self._raw(some)
+                sizes[a : a + len(some)] = [len(x) for x in got]
+                flat += [np.array(x, np.uint16) for x in got]
+            else:
+                sizes[a : a + len(some)] = np.diff(ends, prepend=-1) - 1
+                flat.append(np.delete(ids, ends).astype(np.uint16))
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint16), sizes
 
     def _learn(self, chunks: list[str]) -> None:
-        heads = [c.rstrip(TAIL) for c in chunks]
-        cut = [h if len(h) < len(c) and h and h[-1] <= LAST_LETTER and h[-1].lower().isalpha() else None for c, h in zip(chunks, heads, strict=True)]
-        plain = {c for c, h in zip(chunks, cut, strict=True) if h is None}
-        plain.update(h for h in cut if h is not None)
-        plain.update(c[len(h) :] for c, h in zip(chunks, cut, strict=True) if h is not None)
-        plain = list(plain.difference(self.index))
-        self._add(plain, self._encode(plain))
-        both = [(c, h) for c, h in zip(chunks, cut, strict=True) if h is not None and c not in self.index]
-        self._add([c for c, _ in both], [self._kept(h) + self._kept(c[len(h) :]) for c, h in both])
-
-    def _kept(self, chunk: str) -> list[int]:
-        k = self.index[chunk]
-        return self.flat[self.first[k] : self.first[k] + self.size[k]].tolist()
-
-    def _add(self, chunks: list[str], got: list[list[int]]) -> None:
+        pairs = []
+        plain = set()
+        for c in chunks:
+            h = c.rstrip(TAIL)
+            if len(h) < len(c) and h and h[-1] <= LAST_LETTER and h[-1].lower().isalpha():
+                pairs.append((c, h, c[len(h) :]))
+                plain.add(h)
+                plain.add(pairs[-1][2])
+            else:
+                plain.add(c)
+        known = self.index
+        plain = [c for c in plain if c not in known]
+        odd = [self._is_odd(c) for c in plain]
+        if any(odd):
+            strange = [c for c, o in zip(plain, odd, strict=True) if o]
+            got = self._raw(strange)
+            self._add(strange, np.array([i for x in got for i in x], np.uint16), np.array([len(x) for x in got], np.int64), [c != "\n" and not self.drops_space for c in strange])
+            plain = [c for c, o in zip(plain, odd, strict=True) if not o]
+        self._add(plain, *self._encode(plain), False)
+        pairs = [x for x in pairs if x[0] not in known]
+        code = np.fromiter((known[k] for x in pairs for k in x[1:]), np.int64, 2 * len(pairs))
+        flat, sizes = self._gather(code)
+        self._add([x[0] for x in pairs], flat, sizes.reshape(-1, 2).sum(axis=1), self.whole[code[::2]])
+
+    def _is_odd(self, chunk: str) -> bool:
+        """White space beyond one leading blank, or nothing at all: not to be joined with others."""
+        rest = chunk[1:] if chunk[:1] == " " else chunk
+        return rest.split() != [rest]
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[code]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.first[code] - (ends - sizes), sizes)], sizes
+
+    def _add(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray, whole) -> None:
         n, k = len(self.index), len(chunks)
-        sizes = np.fromiter(map(len, got), np.int64, k)
-        flat = np.fromiter((i for x in got for i in x), np.uint16, int(sizes.sum()))
         while n + k > len(self.first):
             self.first, self.size, self.whole = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.whole))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.size[n : n + k] = sizes
         self.first[n : n + k] = self.used + np.cumsum(sizes) - sizes
-        if not self.drops_space:
-            self.whole[n : n + k] = [c != "\n" and c[c[:1] == " " :].split() != [c[c[:1] == " " :]] for c in chunks]
+        self.whole[n : n + k] = whole
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.index.update(zip(chunks, range(n, n + k), strict=True))
 
-    def chunks(self, text: str) -> list[str]:
+    def marked(self, text: str) -> str:
+        """The text with a mark wherever it is cut."""
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if "\0" in text:
-            return [""]
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            return text.replace("\n", " ")
+        return "\0" if "\0" in text else text.replace("\n", "\0\n\0").replace(" ", "\0 ")
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        per = [self.chunks(t) if t else [] for t in texts]
-        count = np.fromiter(map(len, per), np.int64, len(per))
-        every = [c for x in per for c in x]
-        code = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
-        missed = np.flatnonzero(code < 0).tolist()
-        if missed:
-            new = {every[k] for k in missed}
+        some = [k for k, t in enumerate(texts) if t]
+        parts = pc.split_pattern(pa.array([self.marked(texts[k]) for k in some], pa.large_string()), " " if self.drops_space else "\0")
+        count = np.zeros(len(texts), np.int64)
+        count[some] = parts.value_lengths().to_numpy()
+        # Chunks are told apart by Arrow; only those distinct in the batch are looked up.
+        distinct = parts.flatten().dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        code = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        if (code < 0).any():
+            new = [names[k] for k in np.flatnonzero(code < 0).tolist()]
             if len(self.index) + len(new) > MAX_CHUNKS:
                 self._empty()
-                new, missed = set(every), range(len(every))
-            self._learn(list(new))
-            code[missed] = np.fromiter((self.index[every[k]] for k in missed), np.int64, len(missed))
-        sizes = self.size[code]
+                new = names
+            self._learn(new)
+            code = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        code = code[distinct.indices.to_numpy()]
+        flat, sizes = self._gather(code)
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.arange(total) + np.repeat(self.first[code] - (ends - sizes), sizes)]
-        bounds = np.concatenate([[0], ends])[np.cumsum(count)] if len(per) else np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], ends])[np.cumsum(count)]
         n = np.diff(bounds, prepend=0)
-        again = np.flatnonzero(np.bincount(np.repeat(np.arange(len(per)), count), self.whole[code], minlength=len(per)))
+        again = np.flatnonzero(np.bincount(np.repeat(np.arange(len(count)), count), self.whole[code], minlength=len(count)))
         if len(again):
             parts = np.split(flat, bounds[:-1])
             for k in again.tolist():

@@ -129,6 +129,7 @@ def nearest(rows, k):
 def test_recall_and_ties(spark):
     rng = np.random.default_rng(0)
     rows = [(k, rng.normal(size=6).astype(np.float32).tolist(), 0, 0.0) for k in range(1500)]
+    rows[20] = (20, [5 * x for x in rows[20][1]], 0, 0.0)
     rows += [(2000 + k, rows[20][1], 0, 0.0) for k in range(30)]  # copies: ties go to the smaller id
     rows += [(3000, None, 0, 0.0), (3020, [0.0] * 6, 0, 0.0), (3040, [1.0, None] * 3, 0, 0.0), (3060, [float("nan")] * 6, 0, 0.0), (3080, [1.0], 0, 0.0)]
     got = {}
