@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +56,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int, drops_space: bool = False
 def id_counts(tokens: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
     """Counts of all ids over all documents; each task sends at most one row an id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for pdf in batches:
-            total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), np.uint16), minlength=vocabulary)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=vocabulary)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    got = tokens.select("ids").mapInPandas(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(vocabulary, np.int64)
     out[got["id"].to_numpy(int)] = got["n"].to_numpy(np.int64)
     return out
