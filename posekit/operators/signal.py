@@ -42,13 +42,13 @@ def chebyshev1(order: int, ripple_db: float, cutoff: float) -> tuple[np.ndarray,
 
 
 def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out, z = np.empty_like(x), state.copy()
-    for k, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[k] = y
-    return out
+    b0, rest, z, out = float(b[0]), list(zip(b[1:].tolist(), a[1:].tolist(), strict=True)), [*state.tolist(), 0.0], []
+    for v in x.tolist():
+        y = b0 * v + z[0]
+        for k, (p, q) in enumerate(rest):
+            z[k] = z[k + 1] + p * v - q * y
+        out.append(y)
+    return np.array(out)
 
 
 def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
