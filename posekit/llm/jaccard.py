@@ -14,11 +14,13 @@ central document that holds it. The steps:
 3. Each shingle's block gets a pivot; distances of members to their pivots are
    verified on whole texts. Members within the threshold are linked to it.
    A document's nearest pivot names its Voronoi region.
-4. What is left of a block (members not yet in one component) joins by the
-   triangle inequality: only members whose distances to the pivot differ by at
-   most the threshold can link. Rings of that width are the join key and the
-   probing side is replicated to the neighbouring rings. Blocks larger than
-   SMALL are first given a further pivot, and so on (ROUNDS).
+4. Blocks whose members are not yet in one component are joined again, as a
+   collection of their own: there all shingles are counted, which leaves far
+   tighter places in the order. Blocks get pivots anew; then members outside a
+   block's largest component meet the others by the triangle inequality: only
+   if their distances to the pivot differ by at most the threshold can they
+   link. Rings of that width are the join key, and one side is replicated to the
+   neighbouring rings (to all, where a distance was not measured).
 5. Components of all links are found by star contraction.
 
 Links found are exact (verified on whole texts, up to 64-bit hash collisions
@@ -50,13 +52,9 @@ PERCENT = 80
 SHARE = 0.35
 #: A shingle in more than this part of the documents is very frequent; at most (mean set size) / HOT of them exist.
 HOT = 0.005
-#: Blocks of more members than this get further pivots before pairs are compared.
-SMALL = 32
-ROUNDS = 2
 SALTS = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_LIMIT = np.uint64(int(SHARE * 2**64))
 _CLASS1, _CLASS2 = 1 << 40, 1 << 41
 
 
@@ -122,16 +120,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def hot_shingles(docs: DataFrame, n_docs: int) -> dict[int, int]:
+def limit_of(share: float) -> np.uint64:
+    return np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+
+def hot_shingles(docs: DataFrame, n_docs: int, share: float = SHARE) -> dict[int, int]:
     """Very frequent shingles (48-bit keys) with their counts, from what is frequent inside pieces of the input.
 
     A bounded list: every entry stands in HOT of the documents at least.
     """
 
+    limit = limit_of(share)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "text", 16_000_000):
             sets = [shingles(t) for t in pdf["text"]]
-            every = np.concatenate([s[: np.searchsorted(s, _LIMIT)] for s in sets]) >> np.uint64(16) if sets else np.zeros(0, np.uint64)
+            every = np.concatenate([s[: np.searchsorted(s, limit)] for s in sets]) >> np.uint64(16) if sets else np.zeros(0, np.uint64)
             key, n = np.unique(every, return_counts=True)
             often = n >= max(16, HOT * len(pdf))
             yield pd.DataFrame({"key": key[often].astype(np.int64), "n": n[often]})
@@ -140,7 +144,7 @@ def hot_shingles(docs: DataFrame, n_docs: int) -> dict[int, int]:
     return dict(zip(got["key"].tolist(), got["n"].tolist(), strict=True))
 
 
-def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int) -> DataFrame:
+def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int, share: float = SHARE) -> DataFrame:
     """(doc_id, key, ord, u): shingles of the counted range that two documents hold, with their place in the order.
 
     Each piece of the input sends, to each of a number of hash buckets, one row
@@ -149,7 +153,7 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int) -> DataFr
     Keys of the hot list skip the buckets, as their counts are known.
     """
     bits = max(6, min(17, int(np.ceil(np.log2(max(n_docs, 1) / 128 + 1)))))
-    spark = docs.sparkSession
+    spark, limit = docs.sparkSession, limit_of(share)
     hot_keys = np.array(sorted(hot), np.uint64)
     shared_hot = spark.sparkContext.broadcast((hot_keys, np.array([hot[int(k)] for k in hot_keys], np.int64)))
     schema = "bucket int, docs binary, places binary, keys binary"
@@ -163,7 +167,7 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int) -> DataFr
                 s = shingles(t)
                 if not len(s):
                     continue
-                p, u = prefix_size(len(s)), int(np.searchsorted(s, _LIMIT))
+                p, u = prefix_size(len(s)), int(np.searchsorted(s, limit, side="right"))
                 key = s >> np.uint64(16)
                 at = np.minimum(np.searchsorted(hot_keys, key), max(len(hot_keys) - 1, 0))
                 is_hot = hot_keys[at] == key if len(hot_keys) else np.zeros(len(key), bool)
@@ -208,7 +212,7 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int) -> DataFr
         n = np.repeat(np.diff(first, append=len(key)), np.diff(first, append=len(key)))
         twice = n >= 2
         key, doc, u, n = key[twice], doc[twice], u[twice], n[twice]
-        place = np.where(key < _LIMIT >> np.uint64(16), n, _CLASS1)
+        place = np.where(key <= limit >> np.uint64(16), n, _CLASS1)
         return pd.DataFrame({"doc_id": doc, "key": key.astype(np.int64), "ord": place, "u": u})
 
     cells = docs.select("doc_id", "text").mapInPandas(emit, schema)
@@ -301,48 +305,52 @@ def with_pivot(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(best, keys).select(*rows.columns, "m", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
 
 
+def mixed_blocks(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of blocks in several components, with comp and the block's largest component."""
+    rows = rows.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("nc"), F.max_by("comp", F.struct("c", "comp")).alias("largest")).where("nc > 1")
+    return rows.join(mixed.select("key", "largest"), "key")
+
+
+def possible(rows: DataFrame) -> DataFrame:
+    """Rows for which the sizes in their block leave room for a link."""
+    least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1")
+    n, small = F.col("n"), F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.col("least"))
+    return rows.join(least, "key").where((100 + PERCENT) * (n - F.col("i")) >= PERCENT * (n + small)).drop("least", "m")
+
+
 def links(docs: DataFrame, reps: DataFrame, n_docs: int) -> DataFrame:
     """(x, y): links between class representatives that span all components."""
-    shared = shared_shingles(docs, hot_shingles(docs, n_docs), n_docs)
-    rows = stored(prefixes(shared, reps), "prefixes")
-    found = None
-    keys = ["key"]
-    for _ in range(ROUNDS):
-        blocks = stored(with_pivot(rows, keys), "blocks")
-        star = verified(star_pairs(blocks), docs)
-        new = star.where("linked").select("x", "y")
-        found = new if found is None else stored(found.union(new), "links")
-        comp = components(found)
-        # Distance to the pivot gives the ring; a member never measured has no ring and meets all.
-        d = star.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
-        left = blocks.join(d, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-        left = left.drop("comp").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        several = left.groupBy(*keys).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select(*keys)
-        rows = stored(left.join(several, keys).where(F.col("doc") != F.col("pivot")).select(*keys, "doc", "n", "i", "lone", "m", "comp", "d"), "left")
-        big = rows.where(F.col("m") > SMALL)
-        rest = rows.where(F.col("m") <= SMALL)
-        pairs = ring_pairs(rest, keys)
-        more = verified(pairs, docs).where("linked").select("x", "y")
-        found = stored(found.union(more), "links")
-        rows = big.select(*keys, "doc", "n", "i", "lone")
-    last = ring_pairs(big, keys)
-    return found.union(verified(last, docs).where("linked").select("x", "y"))
-
-
-def ring_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of a block that lie in different components and in one window of distance to the pivot."""
+    rows = stored(possible(prefixes(shared_shingles(docs, hot_shingles(docs, n_docs), n_docs), reps)), "prefixes")
+    blocks = stored(with_pivot(rows, ["key"]), "blocks")
+    found = verified(star_pairs(blocks), docs).where("linked").select("x", "y")
+    left = stored(mixed_blocks(rows, components(found)).select(F.col("doc").alias("doc_id")).distinct(), "left")
+    # The documents left over join again, as a collection of their own with all shingles counted.
+    again = stored(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "again")
+    n_again = left.count()
+    shared = shared_shingles(again, hot_shingles(again, n_again, 1.0), n_again, 1.0)
+    rows = stored(possible(prefixes(shared, reps.join(left, "doc_id", "left_semi"))), "prefixes2")
+    blocks = stored(mixed_blocks(with_pivot(rows, ["key"]), components(found)).drop("comp", "largest"), "blocks2")
+    star = verified(star_pairs(blocks), again)
+    found = stored(found.union(star.where("linked").select("x", "y")), "links")
+    d = star.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
+    rows = blocks.join(d, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
+    rest = ring_pairs(stored(mixed_blocks(rows, components(found)), "rows"))
+    return found.union(verified(rest, again).where("linked").select("x", "y"))
+
+
+def ring_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a block in different components and in one window of distance to its pivot; one side is outside the largest component."""
     width = 1 - PERCENT / 100
     ring = F.when(F.col("d").isNull(), F.lit(-9)).otherwise(F.floor(F.col("d") / width).cast("int"))
-    x = rows.select(*keys, F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("comp").alias("cx"), F.col("d").alias("dx"), ring.alias("ring"))
-    index = (100 + PERCENT) * (x["nx"] - x["ix"]) >= 2 * PERCENT * x["nx"]  # the smaller set's own, shorter prefix
-    x = x.where(index)
+    x = rows.where(F.col("comp") != F.col("largest")).select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("comp").alias("cx"), F.col("d").alias("dx"), ring.alias("ring"))
     all_rings = F.array(*[F.lit(k) for k in [-9, *range(6)]])
     near = F.when(ring == -9, all_rings).otherwise(F.array(F.lit(-9), ring - 1, ring, ring + 1))
-    y = rows.select(*keys, F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("comp").alias("cy"), F.col("d").alias("dy"), F.explode(near).alias("ring"))
+    y = rows.select("key", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("comp").alias("cy"), (F.col("comp") == F.col("largest")).alias("big"), F.col("d").alias("dy"), F.explode(near).alias("ring"))
     window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= width + 1e-9, F.lit(True))
-    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    on = [x[k] == y[k] for k in [*keys, "ring"]]
-    pairs = x.join(y, [*on, x["cx"] != y["cy"], first, window, may_link(x["nx"], x["ix"], y["ny"], y["iy"])])
+    once = F.col("big") | (F.col("x") < F.col("y"))
+    pairs = x.join(y, [x["key"] == y["key"], x["ring"] == y["ring"], x["cx"] != y["cy"], once, window, may_link(x["nx"], x["ix"], y["ny"], y["iy"])])
     return pairs.select("x", "y").distinct()
 
 
