@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +67,17 @@ def slices(batches: Iterator[pd.DataFrame], column: str, max_chars: int = 4_000_
             start = stop
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, release: Callable[[], object]) -> None:
+    """A Python worker lives through many stages; it keeps the tables of one operator at a time and releases the others'."""
+    if name not in _HELD:
+        while _HELD:
+            _HELD.popitem()[1]()
+        _HELD[name] = release
+
+
 def strip_spaces(c):
     """Column: white space of the contracts stripped at both ends."""
     return F.regexp_replace(c, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")

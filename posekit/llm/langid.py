@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posekit.llm.common import slices, stored
+from posekit.llm.common import hold, slices, stored
 from posekit.llm.pieces import SPACE, Lattices, Pieces, pieces
 
 #: Labelled documents a language that the model is fitted on, about.
@@ -185,6 +185,7 @@ def predict_columns(languages: list[str], prob: np.ndarray, path: str):
     def run(texts: list[str | None]) -> list[tuple[str, float]]:
         if not languages:
             return [("und", 0.0)] * len(texts)
+        hold("language words", lambda: None)
         if not kept:
             kept.append(WordScores(path, prob))
         ll, n = kept[0].texts(texts)

@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from posekit.llm.common import slices
+from posekit.llm.common import hold, slices
 from posekit.llm.pieces import SPACE, Lattices, Pieces, pieces
 
 N_BEST = 3
@@ -231,6 +231,7 @@ _SEGMENTERS: dict[tuple[str, int], Segmenter] = {}
 
 def segmenter(path: str, n: int) -> Segmenter:
     """The segmenter of this worker."""
+    hold("segmenter", _SEGMENTERS.clear)
     if (path, n) not in _SEGMENTERS:
         _SEGMENTERS[path, n] = Segmenter(path, n)
     return _SEGMENTERS[path, n]

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from posekit.llm.common import hold
+
 #: Distinct chunks kept; beyond it the table is emptied (this bounds memory, not results).
 MAX_CHUNKS = 1_200_000
 #: Cut off the end of a chunk where a letter of the first Unicode blocks precedes.
@@ -156,6 +158,7 @@ class ChunkEncoder:
 def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     """The encoder of this worker."""
     key = (path, drops_space)
+    hold(f"chunks of {path}", _ENCODERS.clear)
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path, drops_space)
     return _ENCODERS[key]
