@@ -40,10 +40,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posekit.llm.common import slices, stored
+from posekit.llm.common import hold, slices, stored
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -79,6 +79,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles; A-Z lower-cased."""
+    hold("word hashes", _HASHES.clear)
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     n = len(words)
     if not n:
@@ -105,42 +106,43 @@ def prefix_size(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and two 64-bit sums that name the set."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches, "text"):
-            out = []
-            for t in pdf["text"]:
-                s = shingles(t)
-                out.append((len(s), (s * _A ^ (s >> np.uint64(31))).sum(dtype=np.uint64).astype(np.int64), (mixed(s)).sum(dtype=np.uint64).astype(np.int64)))
-            got = pd.DataFrame(out, columns=["n_shingles", "f1", "f2"], dtype="int64")
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), got], axis=1)
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long")
-
-
 def limit_of(share: float) -> np.uint64:
     return np.uint64(min(int(share * 2**64), 2**64 - 1))
 
 
-def hot_shingles(docs: DataFrame, n_docs: int, share: float = SHARE) -> dict[int, int]:
-    """Very frequent shingles (48-bit keys) with their counts, from what is frequent inside pieces of the input.
+def surveyed(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """One pass over the texts, two kinds of rows.
 
-    A bounded list: every entry stands in HOT of the documents at least.
+    A document's: doc_id, n_shingles, and two 64-bit sums f1, f2 that name its
+    set. A shingle's (key not null): its 48-bit key and how often it stands in
+    a piece of the input where it is frequent.
     """
-
     limit = limit_of(share)
+    names = ["doc_id", "n_shingles", "f1", "f2", "key", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "text", 16_000_000):
-            sets = [shingles(t) for t in pdf["text"]]
-            every = np.concatenate([s[: np.searchsorted(s, limit)] for s in sets]) >> np.uint64(16) if sets else np.zeros(0, np.uint64)
-            key, n = np.unique(every, return_counts=True)
+            own, low = [], []
+            for t in pdf["text"]:
+                s = shingles(t)
+                own.append((len(s), (s * _A ^ (s >> np.uint64(31))).sum(dtype=np.uint64).astype(np.int64), mixed(s).sum(dtype=np.uint64).astype(np.int64)))
+                low.append(s[: np.searchsorted(s, limit)])
+            rows = pd.DataFrame(own, columns=names[1:4], dtype="Int64")
+            rows["doc_id"] = pdf["doc_id"].to_numpy()
+            yield rows.assign(key=None, n=None)[names].astype("Int64")
+            key, n = np.unique(np.concatenate(low) >> np.uint64(16), return_counts=True)
             often = n >= max(16, HOT * len(pdf))
-            yield pd.DataFrame({"key": key[often].astype(np.int64), "n": n[often]})
+            yield pd.DataFrame({"key": key[often].astype(np.int64), "n": n[often]}).reindex(columns=names).astype("Int64")
+
+    return stored(docs.select("doc_id", "text").mapInPandas(run, ", ".join(f"{c} long" for c in names)), "surveyed")
 
-    got = docs.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, HOT * n_docs)).toPandas()
+
+def frequent(survey: DataFrame, n_docs: int) -> dict[int, int]:
+    """Very frequent shingles (48-bit keys) with their counts.
+
+    A bounded list: every entry stands in HOT of the documents at least.
+    """
+    got = survey.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, HOT * n_docs)).toPandas()
     return dict(zip(got["key"].tolist(), got["n"].tolist(), strict=True))
 
 
@@ -320,16 +322,16 @@ def possible(rows: DataFrame) -> DataFrame:
     return rows.join(least, "key").where((100 + PERCENT) * (n - F.col("i")) >= PERCENT * (n + small)).drop("least", "m")
 
 
-def links(docs: DataFrame, reps: DataFrame, n_docs: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, hot: dict[int, int], n_docs: int) -> DataFrame:
     """(x, y): links between class representatives that span all components."""
-    rows = stored(possible(prefixes(shared_shingles(docs, hot_shingles(docs, n_docs), n_docs), reps)), "prefixes")
+    rows = stored(possible(prefixes(shared_shingles(docs, hot, n_docs), reps)), "prefixes")
     blocks = stored(with_pivot(rows, ["key"]), "blocks")
     found = verified(star_pairs(blocks), docs).where("linked").select("x", "y")
     left = stored(mixed_blocks(rows, components(found)).select(F.col("doc").alias("doc_id")).distinct(), "left")
     # The documents left over join again, as a collection of their own with all shingles counted.
     again = stored(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "again")
     n_again = left.count()
-    shared = shared_shingles(again, hot_shingles(again, n_again, 1.0), n_again, 1.0)
+    shared = shared_shingles(again, frequent(surveyed(again, 1.0), n_again), n_again, 1.0)
     rows = stored(possible(prefixes(shared, reps.join(left, "doc_id", "left_semi"))), "prefixes2")
     blocks = stored(mixed_blocks(with_pivot(rows, ["key"]), components(found)).drop("comp", "largest"), "blocks2")
     star = verified(star_pairs(blocks), again)
@@ -357,11 +359,13 @@ def ring_pairs(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = stored(signatures(rows), "signatures")
+    survey = surveyed(rows)
+    sig = survey.where("key IS NULL").select("doc_id", "n_shingles", "f1", "f2")
     sized = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(sized.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
-    comp = components(links(rows, reps, sig.count()))
+    n_docs = sig.count()
+    comp = components(links(rows, reps, frequent(survey, n_docs), n_docs))
     member = sized.join(classes, ["n_shingles", "f1", "f2"]).select("doc_id", "rep")
     named = member.join(comp, member["rep"] == comp["doc"], "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("c"))
     return sig.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

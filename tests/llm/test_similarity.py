@@ -77,7 +77,7 @@ def test_components_against_all_pairs(spark, seed):
 def test_very_frequent_shingles_take_the_other_way(spark, monkeypatch):
     texts = corpus(2, 250)
     want = brute(texts)
-    monkeypatch.setattr(jaccard, "hot_shingles", lambda docs, n, share=0.35: _hot(texts))
+    monkeypatch.setattr(jaccard, "frequent", lambda survey, n: _hot(texts))
     assert run(spark, texts) == want
 
 
