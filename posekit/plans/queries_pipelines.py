@@ -7,7 +7,7 @@ from posekit.plans.queries_filters import embedded
 from posekit.plans.queries_joins import PATHS, files, name_map
 from posekit.plans.queries_names import folders  # noqa: F401
 from posekit.plans.queries_stats import BINNED, REPS, _bh, _perm  # noqa: F401
-from posekit.plans.queries_tracks import SELECTED, some
+from posekit.plans.queries_tracks import SELECTED, every, some, whole
 from posekit.plans.queries_windows import OVER
 from posekit.plans.registry import query
 
@@ -38,6 +38,19 @@ def p1b(points):
     return kept.select("recording", "track", "frame", "node")
 
 
+@query("p1_clean_tracks_all", "points", f"SELECT recording, track, kept, reason, NOT bool_or(kept) OVER (PARTITION BY recording) AS empty_recording, n AS n_points FROM ({whole(SELECTED)}) LEFT JOIN (SELECT recording, track, count(*) AS n FROM points GROUP BY 1, 2) USING (recording, track)")
+def p1_all(points):
+    _, report = J.clean_tracks(*every(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
+    size = points.groupBy("recording", "track").agg(F.count("*").alias("n_points"))
+    return report.join(size, ["recording", "track"], "left").select("recording", "track", "kept", "reason", "empty_recording", "n_points")
+
+
+@query("p1_kept_points_all", "points", f"SELECT recording, track, frame, node FROM points WHERE (recording, track) IN (SELECT (recording, track) FROM ({whole(SELECTED)}) WHERE kept)")
+def p1b_all(points):
+    kept, _ = J.clean_tracks(*every(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
+    return kept.select("recording", "track", "frame", "node")
+
+
 @query("p2_per_fly_speed", "frames", SPEED, FLY)
 def p2(frames):
     return J.per_fly_speed(frames, 80.0)

@@ -19,10 +19,19 @@ PAIRS = f"""(SELECT recording, a, b, ra, rb, n_near, n_near / greatest(n_a, 1) A
   JOIN (SELECT recording, track AS a, count(*) AS n_a FROM {CENTROIDS} GROUP BY 1, 2) USING (recording, a))"""
 
 
+def every(points):
+    """All tracks, and the frames of each recording."""
+    return points, points.groupBy("recording").agg(F.max("frame").alias("n_frames"))
+
+
 def some(points):
-    """Some tracks, and the frames of each recording."""
-    p = points.where("track < 90")
-    return p, p.groupBy("recording").agg(F.max("frame").alias("n_frames"))
+    """Some tracks, as the SQL of the first queries has them, and the frames of each recording."""
+    return every(points.where("track < 90"))
+
+
+def whole(sql):
+    """The SQL over all tracks."""
+    return sql.replace(POINTS, "points")
 
 
 @query("a23_track_stats", "points", f"SELECT recording, track, n_present, mean_score, occupancy FROM {STATS}", "mean_score occupancy")
@@ -60,6 +69,31 @@ def w16(points):
     return O.select_tracks(*some(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35).select("recording", "track", "n_present", "kept", "reason")
 
 
+# The same over all tracks. At most four tracks of a recording meet in a frame, so pairs stay few.
+
+
+@query("a23_track_stats_all", "points", whole(f"SELECT recording, track, n_present, mean_score, occupancy FROM {STATS}"), "mean_score occupancy")
+def a23_all(points):
+    return O.track_stats(*every(points)).select("recording", "track", "n_present", "mean_score", "occupancy")
+
+
+@query("a24_overlaps_all", "points", whole(f"SELECT recording, a, b, n_near, share FROM {PAIRS} WHERE share >= 0.35"), "share")
+def a24_all(points):
+    p, n = every(points)
+    kept = O.ranked(O.track_stats(p, n), 0.3, 0.5).where("rank <= 4")
+    return O.overlaps(kept, O.centroids(p), 50.0, 0.35).select("recording", "a", "b", "n_near", "share")
+
+
+@query("x3_centroids_all", "points", whole(f"SELECT recording, track, frame, cx, cy FROM {CENTROIDS}"), "cx cy")
+def x3_all(points):
+    return O.centroids(points)
+
+
+@query("w16_select_tracks_all", "points", whole(SELECTED))
+def w16_all(points):
+    return O.select_tracks(*every(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35).select("recording", "track", "n_present", "kept", "reason")
+
+
 INSTANCES = "(SELECT recording, frame, track AS instance, x, score FROM points WHERE node = 'thorax' AND x IS NOT NULL)"
 BEST = f"(SELECT *, row_number() OVER (PARTITION BY recording, frame ORDER BY score DESC, instance) AS r, first_value(x) OVER (PARTITION BY recording, frame ORDER BY score DESC, instance) AS x1 FROM {INSTANCES})"
 
