@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -75,6 +76,28 @@ def savgol(df: DataFrame, column: str, keys: list[str], order_by: str, window: i
     return df.withColumn(out, F.when(F.col("_n") >= window, total)).drop("_i", "_n", "_o", "_v")
 
 
+def clamped_fit(column: str, keys: list[str], order_by: str, window: int, order: int) -> Column:
+    """Savitzky-Golay of a series shorter than the window, by the widest odd window that fits it; else null.
+
+    Weights depend on the length of the series and the row, so they are a table
+    by both, each row as long as its series. Only short series are collected.
+    """
+    table = []
+    for n in range(1, window):
+        width = n if n % 2 else n - 1
+        h, rows = width // 2, []
+        for i in range(n if width > order else 0):
+            centre = min(max(i, h), n - 1 - h)
+            rows.append([0.0] * (centre - h) + fit_weights(width, order, i - centre) + [0.0] * (n - 1 - centre - h))
+        table.append(rows)
+    w = Window.partitionBy(*keys).orderBy(order_by)
+    n, i = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(w)
+    series = F.collect_list(F.when(n < window, F.col(column))).over(w.rowsBetween(*WHOLE))
+    weights = F.get(F.get(F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>"), n.cast("int") - 1), i - 1)
+    total = F.aggregate(F.zip_with(series, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return F.when(n < window, total)
+
+
 def moving_average(df: DataFrame, column: str, keys: list[str], order_by: str, window: int, out: str) -> DataFrame:
     """Savitzky-Golay of order 1 (or 0): interior rows are plain moving averages, edges lie on the line of the first or last window."""
     h = window // 2

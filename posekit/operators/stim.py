@@ -45,15 +45,16 @@ def shared_prefix(steps: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def smoothed(df: DataFrame, columns: list[str], keys: list[str], order_by: str, window: int, order: int) -> DataFrame:
-    """Columns filled over gaps and smoothed; series under 3 values stay, shorter ones than the window are only filled.
+    """Columns filled over gaps and smoothed; series under 3 values stay, those no window longer than `order` fits are only filled.
 
-    The window clamp of a series between `order` and `window` values is applied by the widest odd window that fits it.
+    A series shorter than the window is smoothed by the widest odd window that fits it.
     """
     w = Window.partitionBy(*keys).orderBy(order_by)
     n = F.count("*").over(Window.partitionBy(*keys))
     for c in columns:
         df = W.interpolated(df, c, w, "_f")
         df = (W.moving_average if order <= 1 else lambda d, *a: W.savgol(d, *a[:4], order, a[4]))(df, "_f", keys, order_by, window, "_s")
+        df = df.withColumn("_s", F.coalesce("_s", W.clamped_fit("_f", keys, order_by, window, order)))
         valid = F.count(c).over(Window.partitionBy(*keys))
         df = df.withColumns({"_n": n, "_k": valid}).withColumn(c, F.when(F.col("_k") < 3, F.col(c)).otherwise(F.coalesce("_s", "_f"))).drop("_f", "_s", "_n", "_k")
     return df

@@ -210,6 +210,12 @@ def u1(points):
     return some.unionByName(centre, allowMissingColumns=True).select("recording", "track", "frame", "node", "x")
 
 
+@query("u1_union_tables_all", "points", "SELECT recording, track, frame, node, x FROM points UNION ALL SELECT recording, track, frame, 'centre', avg(x) FROM points GROUP BY 1, 2, 3", "x")
+def u1_all(points):
+    centre = points.groupBy("recording", "track", "frame").agg(F.avg("x").alias("x")).withColumn("node", F.lit("centre"))
+    return points.unionByName(centre, allowMissingColumns=True).select("recording", "track", "frame", "node", "x")
+
+
 @query("u2_distinct", "frames", "SELECT DISTINCT recording, grp FROM frames")
 def u2(frames):
     return frames.select("recording", "grp").distinct()

@@ -77,6 +77,12 @@ def w4(frames):
     return out.withColumn("n", n).where("n >= 11 OR n < 3").select(*KEY, "frame", F.col("x").alias("s"))
 
 
+@query("w4_clamped_smooth_all", "frames")
+def w4_all(frames):
+    """All tracks, those of 3 to 10 rows with a window that fits them."""
+    return stim.smoothed(frames.select(*KEY, "frame", "x"), ["x"], KEY, "frame", 11, 1).select(*KEY, "frame", F.col("x").alias("s"))
+
+
 @query("w5_gradient", "frames", f"SELECT recording, track, frame, 80 * CASE WHEN l IS NULL THEN r - x WHEN r IS NULL THEN x - l ELSE (r - l) / 2 END AS g FROM (SELECT *, lag(x) OVER ({OVER}) AS l, lead(x) OVER ({OVER}) AS r FROM {FILLED} f)", "g")
 def w5(frames):
     return filled(frames).select(*KEY, "frame", (W.gradient(F.col("x_filled"), series()) * 80).alias("g"))
