@@ -11,7 +11,8 @@ distinct word, and are summed across tasks. It uses a bounded sample of
 TRAIN_DOCS documents a language, drawn by hash; the model has (languages x
 vocabulary) numbers. Words are runs of letters in lower case after the space
 mark; a word longer than MAX_WORD letters is scored in parts. Characters
-without a piece are spelled in bytes.
+without a piece are spelled in bytes. Words too improbable for plain doubles
+are summed in log space.
 
 Defined cases: null text, empty text and text without a letter are `und` with
 score 0, as is everything where no labelled document exists; ties go to the
@@ -39,6 +40,8 @@ TRAIN_DOCS = 2_000
 ROUNDS = 3
 SMOOTHING = 0.05
 MAX_WORD = 32
+#: Words of a smaller probability go through log space; above it, what underflows on the way is no share of the sum.
+LEAST = 1e-250
 #: Distinct words whose scores a worker keeps.
 MAX_KEPT = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -71,6 +74,44 @@ def forward(lat: Lattices, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def edge_logs(lat: Lattices, prob: np.ndarray) -> np.ndarray:
+    """The logarithms of edge_probabilities."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(prob)
+    p = logs[lat.ids]
+    for k, spelled in lat.spelling.items():
+        p[k] = logs[spelled].sum(axis=0)
+    return p
+
+
+def log_forward(lat: Lattices, p: np.ndarray) -> np.ndarray:
+    """The logarithm of forward(), from logarithms of edges."""
+    alpha = np.full((int(lat.size.sum()) + len(lat.words), p.shape[1]), -np.inf)
+    alpha[lat.first] = 0.0
+    for span in lat.steps():
+        end = lat.end[span]
+        group = np.flatnonzero(np.diff(end, prepend=-1))
+        x = alpha[lat.start[span]] + p[span]
+        top = np.maximum.reduceat(x, group)
+        top[np.isneginf(top)] = 0.0
+        with np.errstate(divide="ignore"):
+            alpha[end[group]] = np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(group, append=len(end)), axis=0)), group)) + top
+    return alpha
+
+
+def word_logs(vocab: Pieces, batch: list[str], prob: np.ndarray) -> np.ndarray:
+    """Log-probability (word, language)."""
+    lat = vocab.lattices([SPACE + w for w in batch])
+    total = forward(lat, edge_probabilities(lat, prob))[lat.last]
+    low = np.flatnonzero((total < LEAST).any(axis=1))
+    total[low] = 1.0
+    out = np.log(total)
+    if len(low):
+        lat = vocab.lattices([SPACE + batch[k] for k in low.tolist()])
+        out[low] = log_forward(lat, edge_logs(lat, prob))[lat.last]
+    return out
+
+
 def expected_counts(vocab: Pieces, batch: list[str], n: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected count of each piece over the words, each counted n times (one language)."""
     lat = vocab.lattices([SPACE + w for w in batch])
@@ -80,7 +121,29 @@ def expected_counts(vocab: Pieces, batch: list[str], n: np.ndarray, prob: np.nda
     beta[lat.last] = 1.0
     for span in lat.steps(backward=True):
         np.add.at(beta, lat.start[span], p[span] * beta[lat.end[span]])
-    weight = alpha[lat.start] * p * beta[lat.end] * (n / alpha[lat.last])[lat.word]
+    low = np.flatnonzero(alpha[lat.last] < LEAST)
+    total, n_plain = alpha[lat.last], n.copy()
+    total[low], n_plain[low] = 1.0, 0.0
+    out = piece_sums(vocab, lat, alpha[lat.start] * p * beta[lat.end] * (n_plain / total)[lat.word])
+    return out + log_expected_counts(vocab, [batch[k] for k in low.tolist()], n[low], prob) if len(low) else out
+
+
+def log_expected_counts(vocab: Pieces, batch: list[str], n: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """expected_counts() in log space."""
+    lat = vocab.lattices([SPACE + w for w in batch])
+    p = edge_logs(lat, prob[:, None])
+    alpha, p = log_forward(lat, p)[:, 0], p[:, 0]
+    beta = np.full_like(alpha, -np.inf)
+    beta[lat.last] = 0.0
+    for span in lat.steps(backward=True):
+        np.logaddexp.at(beta, lat.start[span], p[span] + beta[lat.end[span]])
+    total = alpha[lat.last]
+    total = np.where(np.isneginf(total), 0.0, total)  # a word without any segmentation has no counts
+    return piece_sums(vocab, lat, np.exp(alpha[lat.start] + p + beta[lat.end] - total[lat.word]) * n[lat.word])
+
+
+def piece_sums(vocab: Pieces, lat: Lattices, weight: np.ndarray) -> np.ndarray:
+    """Weights of edges summed by piece; a character spelled in bytes counts each of them."""
     out = np.bincount(np.maximum(lat.ids, 0), np.where(lat.ids < 0, 0.0, weight), minlength=vocab.size)
     for k in np.flatnonzero(lat.ids < 0).tolist():
         for i in lat.spelling[k]:
@@ -160,8 +223,7 @@ class WordScores:
             parts = [self.table]
             for a in range(0, len(new), 4000):
                 some = new[a : a + 4000]
-                lat = self.vocab.lattices([SPACE + w for w in some])
-                parts.append(np.log(forward(lat, edge_probabilities(lat, self.prob))[lat.last]))
+                parts.append(word_logs(self.vocab, some, self.prob))
             self.table = np.concatenate(parts)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         return self.table[np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))]

@@ -147,6 +147,34 @@ def test_forward_sums_all_segmentations():
     assert counts.min() >= 0 and counts.sum() > len(words)
 
 
+def test_improbable_words_stay_finite():
+    vocab = langid.pieces(PIECES)
+    rng = np.random.default_rng(1)
+    prob = rng.dirichlet(np.ones(vocab.size), 2).T
+    for letter in ("\u3402", "\U0002070e", "\u12ff"):
+        assert letter not in vocab.ids and letter.isalpha()
+        word = letter * langid.MAX_WORD
+        spelled = [vocab.bytes[x] for x in letter.encode()]
+        want = np.log(prob[vocab.ids["▁"]]) + langid.MAX_WORD * np.log(prob[spelled]).sum(axis=0)
+        assert np.allclose(langid.word_logs(vocab, [word, "the"], prob)[0], want, rtol=1e-12)
+        counts = langid.expected_counts(vocab, ["the", word], np.array([1.0, 5.0]), prob[:, 0])
+        assert np.isfinite(counts).all() and counts[spelled[0]] >= 5 * langid.MAX_WORD * (1 - 1e-9)
+    words = ["the", "nation", "日本ωx", "𝔘z"]
+    lat = vocab.lattices(["▁" + w for w in words])
+    assert np.allclose(langid.log_forward(lat, langid.edge_logs(lat, prob)), np.log(np.maximum(langid.forward(lat, langid.edge_probabilities(lat, prob)), 1e-300)), rtol=1e-9)
+    assert np.allclose(langid.log_expected_counts(vocab, words, np.ones(4), prob[:, 0]), langid.expected_counts(vocab, words, np.ones(4), prob[:, 0]))
+
+
+def test_language_id_with_an_improbable_word(spark):
+    rare = "\u3402" * langid.MAX_WORD
+    texts = [("the house and the garden of the nation " * 20, "en"), ("das Haus und der Garten der ganzen Nation " * 20, "de")]
+    rows = [(k, texts[k % 2][0] + (rare if k < 8 else ""), texts[k % 2][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df, PIECES).collect()}
+    assert all(got[k]["lang_pred"] == lang and got[k]["score"] > 0.99 for k, _, lang in rows)
+    assert langid.keep_identified(df, langid.train(df, PIECES), PIECES).count() == 40
+
+
 def test_language_id_held_out_and_odd_texts(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = docs(spark, [None, "", "123 ###", "the " * 50_000]).select(F.col("doc_id") + 10_000_000, "text", "lang", "source", "n_chars").toDF(*df.columns)
