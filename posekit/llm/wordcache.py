@@ -5,13 +5,15 @@ before single blanks and around single line feeds gives the same ids piece by
 piece. They also split between a letter and punctuation, so a chunk that ends
 in punctuation is put together from two. Invented or natural prose repeats its
 words; the ids of a chunk are kept in a bounded table for the life of the
-Python worker. A text with any other white space is given to the tokenizer
+Python worker. A text with any other white space, or with the string of an
+added token (one id, by the library's default), is given to the tokenizer
 whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import repeat
 
 import numpy as np
@@ -38,7 +40,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.drops_space = drops_space
         # What stands between joined chunks, and its one id.
         self.between, self.after = (f" {_MARK} ", f" {_MARK}") if drops_space else ("\n", "\n")
@@ -73,7 +75,11 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         pairs = []
         plain = set()
+        added = set(filter(self.added.search, chunks)) if self.added.search(" ".join(chunks)) else ()
         for c in chunks:
+            if c in added:
+                plain.add(c)
+                continue
             h = c.rstrip(TAIL)
             if len(h) < len(c) and h and h[-1] <= LAST_LETTER and h[-1].lower().isalpha():
                 pairs.append((c, h, c[len(h) :]))
@@ -83,11 +89,11 @@ class ChunkEncoder:
                 plain.add(c)
         known = self.index
         plain = [c for c in plain if c not in known]
-        odd = [self._is_odd(c) for c in plain]
+        odd = [c in added or self._is_odd(c) for c in plain]
         if any(odd):
             strange = [c for c, o in zip(plain, odd, strict=True) if o]
             got = self._raw(strange)
-            self._add(strange, np.array([i for x in got for i in x], np.uint16), np.array([len(x) for x in got], np.int64), [c != "\n" and not self.drops_space for c in strange])
+            self._add(strange, np.array([i for x in got for i in x], np.uint16), np.array([len(x) for x in got], np.int64), [c != "\n" and not self.drops_space or c in added for c in strange])
             plain = [c for c, o in zip(plain, odd, strict=True) if not o]
         self._add(plain, *self._encode(plain), False)
         pairs = [x for x in pairs if x[0] not in known]

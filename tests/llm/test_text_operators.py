@@ -257,6 +257,30 @@ def test_chunked_ids_equal_the_tokenizer(path, drops):
         assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("path, drops", [(BYTES, False), (WORDS, True)])
+def test_ids_equal_a_fresh_tokenizer(path, drops):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    texts = odd_texts() + ["hello <|endoftext|> world", "a<|endoftext|>, b\n<|startoftext|>", "<|EndOfText|>", "<|endoftext|>", "<|endoftext|><|endoftext|> x|", "hello world."]
+    enc = ChunkEncoder(path, drops)
+    for part in (texts, texts[::-1]):
+        flat, n = enc.ids(part)
+        want = [plain.encode(t, add_special_tokens=False).ids if t else [] for t in part]
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_token_files_hold_the_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BYTES)
+    texts = ["hello <|endoftext|> world", "more text"]
+    got = by_id(huffman.roundtrip(docs(spark, texts), BYTES, 0))
+    for k, t in enumerate(texts):
+        ids = plain.encode(t, add_special_tokens=False).ids + [0]
+        assert (got[k]["n_tokens"], got[k]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_code_lengths():
     rng = np.random.default_rng(0)
     counts = np.zeros(3000, int)
