@@ -238,6 +238,28 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_full_licences_however_wrapped(spark):
+    import textwrap
+
+    known = {n: t for n, t in licenses.KNOWN}
+    wrap = lambda t, w: "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))
+    # The usual wrapping of ISC, where a line starts "copyright notice and this permission notice".
+    isc = known["ISC"].replace("provided that the above copyright", "provided that the above\ncopyright")
+    assert "\ncopyright notice and this permission" in isc
+    bsd = [t for n, t in licenses.built_in() if n == "BSD-3-Clause" and t.startswith("Redistribution")][0]
+    two = [t for n, t in licenses.built_in() if n == "BSD-2-Clause" and t.startswith("Redistribution")][0]
+    full = {p.stem: p.read_text() for p in (licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    texts = [("MIT", f"{title}Copyright (c) 2021 A. Person\n\n" + wrap(known["MIT"], w)) for title in ("", "MIT License\n\n", "The MIT License (MIT)\n\n") for w in range(60, 82, 3)]
+    texts += [("ISC", "ISC License\n\nCopyright 2020 Some Body\n\n" + isc), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n" + wrap(bsd, 72)), ("BSD-2-Clause", "Copyright X Y\n" + two)]
+    texts += list(full.items()) + [(k, textwrap.indent(t, " * ")) for k, t in full.items()]
+    texts += [("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2024 Me")), (None, "MIT License\n"), (None, "prose")]
+    got = by_id(licenses.scan(docs(spark, [t for _, t in texts])))
+    assert [got[k]["whole_licence"] for k in range(len(texts))] == [n for n, _ in texts]
+    notices = ["This project is licensed under the BSD 3-Clause License.", "Licensed under CC BY-SA 3.0", "Released under the GNU General Public License, version 2", "Distributed under the GNU Lesser General Public License v2.1", "Released under MPL 2.0."]
+    got = by_id(licenses.scan(docs(spark, [f"prose\n{x}\nmore" for x in notices])))
+    assert [got[k]["line_licences"] for k in range(5)] == ["BSD-3-Clause", "CC-BY-SA-3.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0"]
+
+
 # Token ids
 
 
