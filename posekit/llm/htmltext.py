@@ -2,12 +2,15 @@
 
 Markup is stripped to lines, one a block element, each with the length of its
 own text (link text does not count). Elements that are never article text are
-dropped first: by tag, or by a word of their class, id or role. Lengths are
+dropped first: by tag, or by a name in their class, id or role that consists of
+such words alone. An element so named stays if it holds the main element, most
+of the articles' or most of the page's text: then it is a wrapper. Lengths are
 summed over sliding windows of WINDOW lines; the text starts where the sum
 surges above THRESHOLD and ends where it dives to nothing; lines between the
 first surge and the last dive are kept. Where a page marks its article, the
 lines outside count nothing and any text inside is a surge, so that short
-paragraphs of an article stay.
+paragraphs of an article stay. Several articles without a main element that
+hold less than half of the text mark nothing (they are teasers).
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed
 elements end at the article or the end; character references are decoded once;
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -42,6 +46,13 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|notification|alert|disclaimer|copyright|footer|masthead|menu|nav|navbar|navigation|newsletter|pager|pagination|popup|modal|overlay|promo\w*|related|recommend\w*|share|sharing|sidebar|sidenav|site-header|page-header|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget|contentinfo|complementary|search|login|signup)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell of a part elsewhere on the page.
+TELLS = re.compile(r"(?:no|has|with|without)[_-]", re.I)
+#: Words that stand beside marking ones in the name of a part, as in sidebar-left or related-posts.
+BESIDE = re.compile(
+    r"(?:[\s_-]|^)(?:area|bar|block|bottom|box|buttons?|card|center|column|container|content|cookie|first|form|group|holder|icons?|inner|items?|left|links?|list|media|modules?|news|outer|panel|posts?|primary|right|secondary|section|site|slot|stories|strip|text|thread|title|top|unit|wrap|wrapper|zone|\d+)(?=$|[\s_-])",
+    re.I,
+)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -73,21 +84,57 @@ def unwanted(name: str, attributes: str) -> bool:
         return True
     if name in ("html", "body", "article", "main") or "=" not in attributes:
         return False
-    return any(MARKS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
+    return marking(attributes)
+
 
+def marking(attributes: str) -> bool:
+    """A name in class, id or role consists of marking words, and words beside them."""
+    return any(marks(name) for a, b, c in ATTRIBUTE.findall(attributes) for name in (a or b or c).split())
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, length without links, in the article) of every block line."""
+
+@lru_cache(maxsize=10_000)
+def marks(name: str) -> bool:
+    if not MARKS.search(name) or TELLS.match(name):
+        return False
+    rest, last = name, None
+    while rest != last:  # a separator serves the words on both of its sides
+        last, rest = rest, BESIDE.sub("-", MARKS.sub("-", rest))
+    return not rest.strip("_-")
+
+
+def held_text(seq: list[tuple[str, str, str]]) -> tuple[list[int], list[int]]:
+    """Characters outside links before each token: of all, and of articles that no name marks."""
+    every, inside = [0], [0]
+    link = depth = 0
+    for kind, name, attributes in seq:
+        n = 0
+        if kind == "text":
+            n = 0 if link else len(" ".join(name.split()))
+        elif name == "a":
+            link = kind == "open"
+        elif name == "article":
+            if kind == "close":
+                depth = max(0, depth - 1)
+            elif depth or not marking(attributes):
+                depth += 1
+        every.append(every[-1] + n)
+        inside.append(inside[-1] + (n if depth else 0))
+    return every, inside
+
+
+def lines(html: str) -> list[tuple[str, int, int]]:
+    """(text, length without links, which article: 0 for none, -1 for main) of every block line."""
     seq = list(tokens(html))
-    out: list[tuple[str, int, bool]] = []
+    held: tuple[list[int], list[int]] | None = None
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
-    linked = article = link = at = 0
+    linked = article = link = at = which = n_articles = 0
 
     def end_line() -> None:
         nonlocal linked
         line = " ".join(unescape("".join(text)).split())
         if line:
-            out.append((line, max(0, len(line) - linked), article > 0))
+            out.append((line, max(0, len(line) - linked), which if article else 0))
         text.clear()
         linked = 0
 
@@ -99,21 +146,34 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             linked += len(name) if link else 0
             continue
         if kind == "open" and name not in VOID and not attributes.endswith("/") and unwanted(name, attributes):
-            end_line()
-            depth, k, stop = 1, at, None
+            depth, k, stop, main = 1, at, None, False
             while k < len(seq) and depth:
                 if seq[k][1] == name and seq[k][0] != "text":
                     depth += 1 if seq[k][0] == "open" else -1
-                elif stop is None and seq[k][0] == "open" and seq[k][1] in ("article", "main", "body"):
+                if seq[k][:2] == ("open", "main"):
+                    main = True
+                if stop is None and seq[k][0] == "open" and seq[k][1] in ("article", "main", "body"):
                     stop = k
                 k += 1
-            at = k if not depth else (stop if stop is not None else len(seq))
-            continue
+            wrapper = False
+            if name not in DROPPED and (not depth or stop is None):
+                held = held or held_text(seq)
+                (n, total), (n_articles_in, in_articles) = [(h[k] - h[at], h[-1]) for h in held]
+                most = 2 * n > total if not article else total - n < THRESHOLD
+                wrapper = main or n >= THRESHOLD and most or stop is not None and 2 * n_articles_in > in_articles
+            if not wrapper:
+                end_line()
+                at = k if not depth else (stop if stop is not None else len(seq))
+                continue
         if name in BLOCKS:
             end_line()
         elif name in ("br", "td", "th"):
             text.append(" ")
         if name in ("article", "main"):
+            if kind == "open" and name == "main":
+                which = -1
+            elif kind == "open" and not article:
+                which = n_articles = n_articles + 1
             article = max(0, article + (1 if kind == "open" else -1))
         elif name == "a":
             link = 1 if kind == "open" else 0
@@ -127,9 +187,12 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(found: list[tuple[str, int, bool]]) -> list[str]:
+def main_lines(found: list[tuple[str, int, int]]) -> list[str]:
     """Lines between the first surge and the last dive of the window sums."""
-    marked = any(inside for _, _, inside in found)
+    articles = {inside for _, _, inside in found if inside}
+    marked = bool(articles)
+    if len(articles) > 1 and -1 not in articles:
+        marked = 2 * sum(n for _, n, inside in found if inside) >= sum(n for _, n, _ in found)
     length = [(len(t) if inside else 0) if marked else n for t, n, inside in found]
     least = 1 if marked else THRESHOLD
     sums = [sum(length[k : k + WINDOW]) for k in range(len(length))]

@@ -219,6 +219,27 @@ def test_main_text(html, want):
     assert htmltext.main_text(html) == want
 
 
+BODY = "".join(f"<p>Paragraph {k} of the text, which is long enough for a surge.</p>" for k in range(6))
+WANT = "\n\n".join(f"Paragraph {k} of the text, which is long enough for a surge." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        *[f'<body><div class="{c}"><article>{BODY}</article></div></body>' for c in ("layout has-sidebar", "no-sidebar", "search-page", "page-header-fixed", "sidebar", "widget")],
+        *[f'<body><nav>Home</nav><div class="{c}">{BODY}</div><div class="sidebar">A few words about us, in a column at the side.</div></body>' for c in ("search-page", "with-sidebar", "widget")],
+        f'<body><article>{BODY}<div class="comments">{"<p>A comment that goes on and on about the article.</p>" * 20}</div></article></body>',
+        f'<body><main><div class="widget">{BODY}</div></main></body>',
+        f'<body><div class="overlay"><main>{BODY}</main></div></body>',
+        f"<body><div>{BODY}</div>" + "<article><a href=x>Teaser</a></article>" * 3 + "</body>",
+        f'<body><article>{BODY}</article><section id="comments"><article class="comment"><p>First! What a great article this was.</p></article></section></body>',
+        f'<body><article>{BODY}</article><div class="sidebar-left"><article><p>A teaser of another article on this site.</p></article></div></body>',
+    ],
+)
+def test_wrappers_and_teasers(html):
+    assert htmltext.main_text(html) == WANT
+
+
 def test_extract_keeps_every_page(spark):
     df = spark.createDataFrame([(1, "u", None, "z"), (2, None, "<article>é&eacute;</article>", "z"), (2, None, "<article>é&eacute;</article>", "z")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()) == [(1, "", 0), (2, "éé", 2), (2, "éé", 2)]
