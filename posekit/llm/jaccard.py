@@ -13,7 +13,7 @@ central document that holds it. The steps:
    A shingle in one set only links nothing and is dropped where it is counted.
 3. Each shingle's block gets a pivot; distances of members to their pivots are
    verified on whole texts. Members within the threshold are linked to it.
-   A document's nearest pivot names its Voronoi region.
+   There are no Voronoi regions: a document is in every block of its prefix.
 4. Blocks whose members are not yet in one component are joined again, as a
    collection of their own: there all shingles are counted, which leaves far
    tighter places in the order. Blocks get pivots anew; then members outside a
