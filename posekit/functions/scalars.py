@@ -9,8 +9,36 @@ from pyspark.sql import functions as F
 
 PX_TO_MM = 32.0 / 832.0
 
-# Letters written out when a name is made plain.
-GREEK = {"α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "′": "", "’": "", "'": "", "`": "", "(": "", ")": "", " ": "-"}
+# Greek letters by name, and marks.
+GREEK = {
+    "α": "alpha",
+    "β": "beta",
+    "γ": "gamma",
+    "δ": "delta",
+    "ε": "epsilon",
+    "ζ": "zeta",
+    "η": "eta",
+    "θ": "theta",
+    "ι": "iota",
+    "κ": "kappa",
+    "λ": "lambda",
+    "μ": "mu",
+    "ν": "nu",
+    "ξ": "xi",
+    "ο": "omicron",
+    "π": "pi",
+    "ρ": "rho",
+    "σ": "sigma",
+    "τ": "tau",
+    "υ": "upsilon",
+    "φ": "phi",
+    "χ": "chi",
+    "ψ": "psi",
+    "ω": "omega",
+    "′": "p",
+    "’": "",
+    "'": "p",
+}
 
 
 def col(c: Column | str) -> Column:
@@ -156,19 +184,23 @@ def dated_folder(folder, start: int, end: int) -> Column:
 
 
 def plain_name(name) -> Column:
-    """Greek letters written out, blanks to `-`, marks and parentheses dropped, other non-ASCII dropped."""
+    """ASCII: Greek letters by name, primes as p, blanks as -, parentheses and all other non-ASCII dropped."""
     out = col(name)
     for a, b in GREEK.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    return F.regexp_replace(F.translate(out, " ()", "-"), r"[^\x00-\x7F]", "")
 
 
 def left_over(name) -> Column:
     """Characters that plain_name drops without a replacement."""
-    out = col(name)
-    for a in GREEK:
-        out = F.replace(out, F.lit(a), F.lit(""))
-    return F.regexp_replace(out, r"[\x00-\x7F]", "")
+    return F.regexp_replace(F.translate(col(name), "".join(GREEK), ""), r"[\x00-\x7F]", "")
+
+
+def name_issues(name) -> Column:
+    """What is not plain in a name: kinds, the last one with its characters."""
+    odd = F.array_sort(F.array_distinct(F.split(F.regexp_replace(col(name), r"[\x00-\x7F]", ""), "")))
+    odd = F.array_join(F.array_remove(odd, ""), "")
+    return F.concat_ws(", ", F.when(F.contains(col(name), F.lit(" ")), "space"), F.when(col(name).rlike("[()]"), "parentheses"), F.when(odd != "", F.concat(F.lit("non-ASCII: "), odd)))
 
 
 def safe_file_name(name) -> Column:

@@ -18,66 +18,96 @@ def forward_fill(x: Column, w: WindowSpec) -> Column:
     return F.coalesce(F.last(x, ignorenulls=True).over(w.rowsBetween(*PAST)), F.first(x, ignorenulls=True).over(w.rowsBetween(*WHOLE)))
 
 
-def interpolated(df: DataFrame, column: str, w: WindowSpec, out: str) -> DataFrame:
-    """df with column `out`: gaps of `column` filled linearly, ends by the nearest value."""
-    x = F.col(column)
+def interpolated_columns(df: DataFrame, columns: dict[str, str], w: WindowSpec) -> DataFrame:
+    """df with new columns (by the old one's name): gaps filled linearly, ends by the nearest value. One pass for all."""
     df = df.withColumn("_i", F.row_number().over(w))
-    at = F.when(x.isNotNull(), F.col("_i"))
     past, ahead = w.rowsBetween(*PAST), w.rowsBetween(*AHEAD)
-    df = df.withColumns({
-        "_x0": F.last(x, ignorenulls=True).over(past), "_i0": F.last(at, ignorenulls=True).over(past),
-        "_x1": F.first(x, ignorenulls=True).over(ahead), "_i1": F.first(at, ignorenulls=True).over(ahead),
-    })
-    line = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.try_divide(F.col("_i") - F.col("_i0"), F.col("_i1") - F.col("_i0"))
-    return df.withColumn(out, F.coalesce(x, line, F.col("_x0"), F.col("_x1"))).drop("_i", "_x0", "_i0", "_x1", "_i1")
+    found, filled = {}, {}
+    for k, (c, out) in enumerate(columns.items()):
+        x = F.col(c)
+        at = F.when(x.isNotNull(), F.col("_i"))
+        found |= {
+            f"_x0_{k}": F.last(x, ignorenulls=True).over(past), f"_i0_{k}": F.last(at, ignorenulls=True).over(past),
+            f"_x1_{k}": F.first(x, ignorenulls=True).over(ahead), f"_i1_{k}": F.first(at, ignorenulls=True).over(ahead),
+        }
+        x0, i0, x1, i1 = (F.col(f"_{n}_{k}") for n in ("x0", "i0", "x1", "i1"))
+        filled[out] = F.coalesce(x, x0 + (x1 - x0) * F.try_divide(F.col("_i") - i0, i1 - i0), x0, x1)
+    return df.withColumns(found).withColumns(filled).drop("_i", *found)
 
 
-def fit_weights(window: int, order: int, offset: int, derivative: int = 0) -> list[float]:
-    """Weights of a window's values for the least-squares polynomial (or its first derivative) at an offset from the centre."""
+def interpolated(df: DataFrame, column: str, w: WindowSpec, out: str) -> DataFrame:
+    """df with column `out`: gaps of `column` filled linearly, ends by the nearest value."""
+    return interpolated_columns(df, {column: out}, w)
+
+
+def fit_rows(window: int, order: int) -> list[list[float]]:
+    """By power r: the weights of a window's values that give the coefficient of t^r of the least-squares polynomial, t from the centre."""
     h = window // 2
     xs = [k - h for k in range(window)]
     m = order + 1
-    a = [[float(sum(x ** (r + c) for x in xs)) for c in range(m)] for r in range(m)]
-    want = [(offset**r if derivative == 0 else (r * offset ** (r - 1) if r else 0.0)) for r in range(m)]
-    for p in range(m):  # solve a * s = want
-        q = max(range(p, m), key=lambda r: abs(a[r][p]))
-        a[p], a[q], want[p], want[q] = a[q], a[p], want[q], want[p]
-        for r in range(p + 1, m):
-            f = a[r][p] / a[p][p]
-            a[r] = [u - f * v for u, v in zip(a[r], a[p], strict=True)]
-            want[r] -= f * want[p]
-    s = [0.0] * m
-    for p in reversed(range(m)):
-        s[p] = (want[p] - sum(a[p][c] * s[c] for c in range(p + 1, m))) / a[p][p]
-    return [sum(s[r] * x**r for r in range(m)) for x in xs]
+    out = []
+    for power in range(m):
+        a = [[float(sum(x ** (r + c) for x in xs)) for c in range(m)] for r in range(m)]
+        want = [float(r == power) for r in range(m)]
+        for p in range(m):  # solve a * s = want
+            q = max(range(p, m), key=lambda r: abs(a[r][p]))
+            a[p], a[q], want[p], want[q] = a[q], a[p], want[q], want[p]
+            for r in range(p + 1, m):
+                f = a[r][p] / a[p][p]
+                a[r] = [u - f * v for u, v in zip(a[r], a[p], strict=True)]
+                want[r] -= f * want[p]
+        s = [0.0] * m
+        for p in reversed(range(m)):
+            s[p] = (want[p] - sum(a[p][c] * s[c] for c in range(p + 1, m))) / a[p][p]
+        out.append([sum(s[r] * x**r for r in range(m)) for x in xs])
+    return out
 
 
-def savgol(df: DataFrame, column: str, keys: list[str], order_by: str, window: int, order: int, out: str, derivative: int = 0) -> DataFrame:
-    """Savitzky-Golay smoothing with polynomial edges of a column without gaps.
+def fit_weights(window: int, order: int, offset: int, derivative: int = 0) -> list[float]:
+    """Weights of a window's values for the least-squares polynomial (or its first derivative) at an offset from the centre."""
+    rows = fit_rows(window, order)
+    at = [offset**r if derivative == 0 else (r * offset ** (r - 1) if r else 0) for r in range(order + 1)]
+    return [sum(t * row[k] for t, row in zip(at, rows, strict=True)) for k in range(window)]
+
+
+def savgol_columns(df: DataFrame, columns: dict[str, str], keys: list[str], order_by: str, window: int, order: int, derivative: int = 0) -> DataFrame:
+    """Savitzky-Golay smoothing with polynomial edges of columns without gaps; new columns by the old one's name.
 
-    A row's smoothed value is a weighted sum over one window of the series: the
-    centred one, or at the ends the first or last full one, evaluated off its
-    centre. Weights depend on that offset only. Series shorter than the window
-    give null.
+    A row takes the polynomial of its centred window at the centre. Rows at the
+    ends take that of the first or last full window, off its centre: only its
+    coefficients reach them. Series shorter than the window give null.
     """
     if window % 2 == 0 or order >= window:
         raise ValueError("window must be odd and longer than the order")
     h = window // 2
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    df = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    offset = F.when(F.col("_i") < h, F.col("_i") - h).when(F.col("_i") > F.col("_n") - 1 - h, F.col("_i") - (F.col("_n") - 1 - h)).otherwise(F.lit(0))
-    # The widest frame any row needs: a full window on either side, cut to the one that belongs to the offset.
-    values = F.collect_list(F.col(column)).over(w.rowsBetween(-2 * h, 2 * h))
-    before = F.least(F.col("_i"), F.lit(2 * h))  # rows of the frame before this one
-    start = before - h - F.col("_o") + 1
-    weights = F.array(*[F.array(*[F.lit(v) for v in fit_weights(window, order, o, derivative)]) for o in range(-h, h + 1)])
-    df = df.withColumn("_o", offset.cast("int")).withColumn("_v", values)
-    total = F.aggregate(F.zip_with(F.slice("_v", start.cast("int"), F.lit(window)), F.element_at(weights, F.col("_o") + h + 1), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return df.withColumn(out, F.when(F.col("_n") >= window, total)).drop("_i", "_n", "_o", "_v")
+    w, whole = Window.partitionBy(*keys).orderBy(order_by), Window.partitionBy(*keys)
+    df = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)})
+    i, last = F.col("_i"), F.col("_n") - 1 - h
+    df = df.withColumns({f"_v{k}": F.collect_list(F.col(c)).over(w.rowsBetween(-h, h)) for k, c in enumerate(columns)})
+    rows = [F.array(*[F.lit(v) for v in row]) for row in fit_rows(window, order)]
+    dot = lambda v, row: F.aggregate(F.zip_with(v, row, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    inner = F.col("_i").between(h, F.col("_n") - 1 - h)
+    coefficients = {f"_c{k}_{r}": F.when(inner if r == derivative else (i == h) | (i == last), dot(f"_v{k}", row)) for k in range(len(columns)) for r, row in enumerate(rows)}
+    df = df.withColumns(coefficients)
+    ends = {f"{name}_{side}": F.max(F.when(i == at, F.col(name))).over(whole) for name in coefficients for side, at in (("a", F.lit(h)), ("z", last))}
+    df = df.withColumns(ends)
+
+    def edge(k: int, side: str, t) -> Column:
+        c = [F.col(f"_c{k}_{r}_{side}") for r in range(order + 1)]
+        terms = [c[r] * F.pow(t, F.lit(r)) for r in range(order + 1)] if derivative == 0 else [r * c[r] * F.pow(t, F.lit(r - 1)) for r in range(1, order + 1)]
+        return sum(terms[1:], terms[0])
+
+    value = lambda k: F.when(inner, F.col(f"_c{k}_{derivative}")).when(i < h, edge(k, "a", i - h)).otherwise(edge(k, "z", i - last))
+    return df.withColumns({out: F.when(F.col("_n") >= window, value(k)) for k, out in enumerate(columns.values())}).drop("_i", "_n", *coefficients, *ends, *[f"_v{k}" for k in range(len(columns))])
+
+
+def savgol(df: DataFrame, column: str, keys: list[str], order_by: str, window: int, order: int, out: str, derivative: int = 0) -> DataFrame:
+    """Savitzky-Golay smoothing of one column."""
+    return savgol_columns(df, {column: out}, keys, order_by, window, order, derivative)
 
 
-def clamped_fit(column: str, keys: list[str], order_by: str, window: int, order: int) -> Column:
-    """Savitzky-Golay of a series shorter than the window, by the widest odd window that fits it; else null.
+def clamped_columns(df: DataFrame, columns: dict[str, str], keys: list[str], order_by: str, window: int, order: int) -> DataFrame:
+    """Savitzky-Golay of series shorter than the window, by the widest odd window that fits them; else null.
 
     Weights depend on the length of the series and the row, so they are a table
     by both, each row as long as its series. Only short series are collected.
@@ -91,30 +121,36 @@ def clamped_fit(column: str, keys: list[str], order_by: str, window: int, order:
             rows.append([0.0] * (centre - h) + fit_weights(width, order, i - centre) + [0.0] * (n - 1 - centre - h))
         table.append(rows)
     w = Window.partitionBy(*keys).orderBy(order_by)
-    n, i = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(w)
-    series = F.collect_list(F.when(n < window, F.col(column))).over(w.rowsBetween(*WHOLE))
-    weights = F.get(F.get(F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>"), n.cast("int") - 1), i - 1)
-    total = F.aggregate(F.zip_with(series, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.when(n < window, total)
+    df = df.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys)), "_i": F.row_number().over(w)})
+    short = F.col("_n") < window
+    df = df.withColumns({f"_v{k}": F.collect_list(F.when(short, F.col(c))).over(w.rowsBetween(*WHOLE)) for k, c in enumerate(columns)})
+    weights = F.get(F.get(F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>"), F.col("_n").cast("int") - 1), F.col("_i") - 1)
+    total = lambda v: F.aggregate(F.zip_with(v, "_w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    df = df.withColumn("_w", F.when(short, weights)).withColumns({out: F.when(short, total(f"_v{k}")) for k, out in enumerate(columns.values())})
+    return df.drop("_n", "_i", "_w", *[f"_v{k}" for k in range(len(columns))])
 
 
-def moving_average(df: DataFrame, column: str, keys: list[str], order_by: str, window: int, out: str) -> DataFrame:
+def moving_average_columns(df: DataFrame, columns: dict[str, str], keys: list[str], order_by: str, window: int) -> DataFrame:
     """Savitzky-Golay of order 1 (or 0): interior rows are plain moving averages, edges lie on the line of the first or last window."""
     h = window // 2
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    df = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    w, whole = Window.partitionBy(*keys).orderBy(order_by), Window.partitionBy(*keys)
+    df = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)})
     frame = w.rowsBetween(-h, h)
+    i, last = F.col("_i"), F.col("_n") - 1 - h
     s2 = float(sum(k * k for k in range(-h, h + 1))) or 1.0
-    rel = F.sum(F.col(column) * F.col("_i")).over(frame)
-    mean = F.avg(column).over(frame)
-    df = df.withColumns({"_m": mean, "_b": (rel - F.col("_i") * window * mean) / s2})
-    full = F.col("_i").between(h, F.col("_n") - 1 - h)
-    edge = lambda at, m, b: m + b * (F.col("_i") - at)
-    whole = w.rowsBetween(*WHOLE)
-    first_m, first_b = F.first(F.when(full, F.col("_m")), ignorenulls=True).over(whole), F.first(F.when(full, F.col("_b")), ignorenulls=True).over(whole)
-    last_m, last_b = F.last(F.when(full, F.col("_m")), ignorenulls=True).over(whole), F.last(F.when(full, F.col("_b")), ignorenulls=True).over(whole)
-    value = F.when(full, F.col("_m")).when(F.col("_i") < h, edge(h, first_m, first_b)).otherwise(edge(F.col("_n") - 1 - h, last_m, last_b))
-    return df.withColumn(out, F.when(F.col("_n") >= window, value)).drop("_i", "_n", "_m", "_b")
+    sums = {f"_m{k}": F.avg(c).over(frame) for k, c in enumerate(columns)} | {f"_r{k}": F.sum(F.col(c) * i).over(frame) for k, c in enumerate(columns)}
+    df = df.withColumns(sums)
+    slope = lambda k: (F.col(f"_r{k}") - i * window * F.col(f"_m{k}")) / s2
+    ends = {f"_{name}{k}_{side}": F.max(F.when(i == at, x)).over(whole) for k in range(len(columns)) for name, x in (("m", F.col(f"_m{k}")), ("b", slope(k))) for side, at in (("a", F.lit(h)), ("z", last))}
+    df = df.withColumns(ends)
+    edge = lambda k, side, t: F.col(f"_m{k}_{side}") + F.col(f"_b{k}_{side}") * t
+    value = lambda k: F.when(i.between(h, last), F.col(f"_m{k}")).when(i < h, edge(k, "a", i - h)).otherwise(edge(k, "z", i - last))
+    return df.withColumns({out: F.when(F.col("_n") >= window, value(k)) for k, out in enumerate(columns.values())}).drop("_i", "_n", *sums, *ends)
+
+
+def moving_average(df: DataFrame, column: str, keys: list[str], order_by: str, window: int, out: str) -> DataFrame:
+    """Moving average of one column."""
+    return moving_average_columns(df, {column: out}, keys, order_by, window)
 
 
 def gradient(x: Column, w: WindowSpec) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: An interval table up to this many rows is broadcast; a longer one is joined by time bucket.
+#: A small interval table has this many rows at most.
 SMALL_INTERVALS = 1_000
 
 
@@ -29,17 +29,19 @@ def proportions(counts: DataFrame, totals: DataFrame, on: list[str], count: str
     return counts.join(totals, on, "left").withColumn("proportion", F.try_divide(F.col(count).cast("double"), F.col(total)))
 
 
-def in_intervals(df: DataFrame, intervals: DataFrame, time: str = "time", keys: list[str] = (), how: str = "left", before: float = 0.0, after: float | None = None, bucket: float = 60.0) -> DataFrame:
+def in_intervals(df: DataFrame, intervals: DataFrame, time: str = "time", keys: list[str] = (), how: str = "left", before: float = 0.0, after: float | None = None, bucket: float = 60.0, small: bool = True) -> DataFrame:
     """Rows in intervals [start_s - before, end_s), or [start_s - before, start_s + after); all matches.
 
-    A short interval table (counted) is broadcast; a long one is cut to time
-    buckets, which make the range join an equi join.
+    A small interval table (a protocol, of SMALL_INTERVALS rows at most) is
+    broadcast; any other is cut to time buckets, which make the range join an
+    equi join.
     """
     lo, hi = F.col("start_s") - before, (F.col("end_s") if after is None else F.col("start_s") + after)
     iv = intervals.withColumns({"_lo": lo, "_hi": hi})
     on = lambda left, right: [left[k] == right[k] for k in keys] + [left[time] >= right["_lo"], left[time] < right["_hi"]]
-    if intervals.limit(SMALL_INTERVALS + 1).count() <= SMALL_INTERVALS:
-        right = F.broadcast(iv)
+    if small:
+        few = F.when(F.count("*").over(Window.partitionBy(F.lit(0))) > SMALL_INTERVALS, F.raise_error(F.lit(f"more than {SMALL_INTERVALS} intervals: pass small=False"))).otherwise(F.lit(True))
+        right = F.broadcast(iv.withColumn("_few", few).where("_few").drop("_few"))
         out = df.join(right, on(df, right), how)
     else:
         left = df.withColumn("_b", F.floor(F.col(time) / bucket))
@@ -116,11 +118,17 @@ def companions(folders: DataFrame, files: DataFrame, names: list[str]) -> DataFr
     return wanted.join(have, ["folder", "name"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def matches_by_stem(recordings: DataFrame, files: DataFrame, token: str | None = None) -> DataFrame:
-    """Per recording, the number of files whose name contains its stem; equal leading tokens make it an equi join."""
-    if token:
-        head = lambda c: F.regexp_extract(c, token, 0)
-        on = (head(recordings["stem"]) == head(files["name"])) & F.contains(files["name"], recordings["stem"])
-    else:
-        on = F.contains(files["name"], recordings["stem"])
-    return recordings.join(files, on, "left").groupBy("stem").agg(F.count(files["name"]).alias("n"))
+def matches_by_stem(recordings: DataFrame, files: DataFrame, least: int = 8) -> DataFrame:
+    """Per recording, the number of files whose name contains its stem (not empty).
+
+    A name that contains a stem contains the stem's start, so parts of names are
+    an equi join key: parts of `least` characters, and of one for shorter stems.
+    """
+    size = F.when(F.length("stem") >= least, least).otherwise(1)
+    stems = recordings.select("stem").distinct().withColumn("_key", F.substring(F.col("stem"), F.lit(1), size))
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+    long = F.when(F.length("name") >= least, part(least)).otherwise(F.array().cast("array<string>"))
+    short = F.when(F.length("name") >= 1, part(1)).otherwise(F.array().cast("array<string>"))
+    names = files.select("name").groupBy("name").agg(F.count("*").alias("_n")).withColumn("_key", F.explode(F.array_distinct(F.concat(long, short))))
+    hits = stems.join(names, "_key").where(F.contains("name", "stem")).groupBy("stem").agg(F.sum("_n").alias("n"))
+    return recordings.select("stem").join(hits, "stem", "left").groupBy("stem").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))

@@ -19,8 +19,17 @@ def by_median(df: DataFrame, group: str, sub: str, metric: str) -> DataFrame:
     return out.select(group, sub, "group_rank", F.row_number().over(Window.partitionBy(group).orderBy("m", sub)).alias("sub_rank"))
 
 
-def explicit(df: DataFrame, column: str, order: list) -> DataFrame:
-    """sort_rank by a stated order; values not listed have none."""
+def explicit(df: DataFrame, column: str | list[str], order: list | dict[str, list]) -> DataFrame:
+    """sort_rank by a stated order; values not listed have none. Several columns take an order each, by name, and get rank_<column>."""
+    if isinstance(column, list):
+        if not isinstance(order, dict):
+            raise ValueError("several columns need an order for each, by name")
+        missing = [c for c in column if c not in order]
+        if missing:
+            raise ValueError(f"no order for {missing}")
+        for c in column:
+            df = explicit(df, c, order[c]).withColumnRenamed("sort_rank", f"rank_{c}")
+        return df
     at = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
     return df.withColumn("sort_rank", F.nullif(at, F.lit(0)).cast("int"))
 

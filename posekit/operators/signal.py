@@ -7,6 +7,8 @@ the padding come back unchanged.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,14 +43,37 @@ def chebyshev1(order: int, ripple_db: float, cutoff: float) -> tuple[np.ndarray,
     return _digital(poles, gain, cutoff)
 
 
+BLOCK = 64
+
+
+@lru_cache(maxsize=32)
+def _blocks(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """State-space matrices of BLOCK samples: output from state and input, next state from state and input."""
+    n = len(a) - 1
+    step = np.zeros((n, n))
+    step[:, 0] = -np.array(a[1:])
+    step[:-1, 1:] += np.eye(n - 1)
+    push = np.array(b[1:]) - np.array(a[1:]) * b[0]
+    powers = [np.eye(n)]
+    for _ in range(BLOCK):
+        powers.append(powers[-1] @ step)
+    out_state = np.array([p[0] for p in powers[:BLOCK]])
+    response = np.array([b[0], *[(powers[k] @ push)[0] for k in range(BLOCK - 1)]])
+    out_input = np.array([[response[r - c] if r >= c else 0.0 for c in range(BLOCK)] for r in range(BLOCK)])
+    next_input = np.array([powers[BLOCK - 1 - k] @ push for k in range(BLOCK)]).T
+    return out_state, out_input, powers[BLOCK], next_input
+
+
 def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    b0, rest, z, out = float(b[0]), list(zip(b[1:].tolist(), a[1:].tolist(), strict=True)), [*state.tolist(), 0.0], []
-    for v in x.tolist():
-        y = b0 * v + z[0]
-        for k, (p, q) in enumerate(rest):
-            z[k] = z[k + 1] + p * v - q * y
-        out.append(y)
-    return np.array(out)
+    """The filter over a series, BLOCK samples at a time."""
+    out_state, out_input, next_state, next_input = _blocks(tuple(b.tolist()), tuple(a.tolist()))
+    n = len(x)
+    blocks = np.concatenate([x, np.zeros(-n % BLOCK)]).reshape(-1, BLOCK)
+    out, fed, pushed = np.empty_like(blocks), blocks @ out_input.T, blocks @ next_input.T
+    for k in range(len(blocks)):
+        out[k] = out_state @ state + fed[k]
+        state = next_state @ state + pushed[k]
+    return out.reshape(-1)[:n]
 
 
 def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:

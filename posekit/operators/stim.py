@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posekit.functions import scalars as S
 from posekit.functions import windows as W
+from posekit.operators.filters import resolve_node
 from posekit.operators.joins import onset_windows
 
 # Fixed values: (state, milliseconds) of the two protocols.
@@ -49,28 +50,31 @@ def smoothed(df: DataFrame, columns: list[str], keys: list[str], order_by: str,
 
     A series shorter than the window is smoothed by the widest odd window that fits it.
     """
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    for c in columns:
-        df = W.interpolated(df, c, w, "_f")
-        df = (W.moving_average if order <= 1 else lambda d, *a: W.savgol(d, *a[:4], order, a[4]))(df, "_f", keys, order_by, window, "_s")
-        df = df.withColumn("_s", F.coalesce("_s", W.clamped_fit("_f", keys, order_by, window, order)))
-        valid = F.count(c).over(Window.partitionBy(*keys))
-        df = df.withColumns({"_n": n, "_k": valid}).withColumn(c, F.when(F.col("_k") < 3, F.col(c)).otherwise(F.coalesce("_s", "_f"))).drop("_f", "_s", "_n", "_k")
-    return df
+    named = lambda tag: {c: f"_{tag}{k}" for k, c in enumerate(columns)}
+    filled = named("f")
+    df = W.interpolated_columns(df, filled, Window.partitionBy(*keys).orderBy(order_by))
+    fits = {filled[c]: s for c, s in named("s").items()}
+    df = W.moving_average_columns(df, fits, keys, order_by, window) if order <= 1 else W.savgol_columns(df, fits, keys, order_by, window, order)
+    short = {filled[c]: s for c, s in named("t").items()}
+    df = W.clamped_columns(df, short, keys, order_by, window, order)
+    df = df.withColumns({x: F.count(c).over(Window.partitionBy(*keys)) for c, x in named("k").items()})
+    out = {c: F.when(F.col(f"_k{k}") < 3, F.col(c)).otherwise(F.coalesce(f"_s{k}", f"_t{k}", f"_f{k}")) for k, c in enumerate(columns)}
+    return df.withColumns(out).drop(*[x for tag in "fstk" for x in named(tag).values()])
 
 
 def sg_speed(frames: DataFrame, keys: list[str], order_by: str, fps: float, window: int = 25, order: int = 2) -> DataFrame:
     """Speed in mm/s from first derivatives of the smoothed track."""
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    for c in ("x", "y"):
-        frames = W.interpolated(frames, c, w, f"_{c}")
-        frames = W.savgol(frames, f"_{c}", keys, order_by, window, order, f"_d{c}", derivative=1)
+    frames = W.interpolated_columns(frames, {"x": "_x", "y": "_y"}, Window.partitionBy(*keys).orderBy(order_by))
+    frames = W.savgol_columns(frames, {"_x": "_dx", "_y": "_dy"}, keys, order_by, window, order, derivative=1)
     return frames.withColumn("speed", F.hypot("_dx", -F.col("_dy")) * fps * S.PX_TO_MM).drop("_x", "_y", "_dx", "_dy")
 
 
-def light_states(df: DataFrame, steps: list[tuple[str, int]], keys: list[str], order_by: str) -> DataFrame:
-    """Light state by frame count; off after the last step."""
+def end_of(steps: list[tuple[str, int]]) -> int:
+    return sum(frames for _, frames in steps)
+
+
+def light_states(df: DataFrame, steps: list[tuple[str, int]], keys: list[str], order_by: str, strict: bool = True) -> DataFrame:
+    """Light state by frame count; off after the last step. strict: steps longer than a series raise an error."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order_by))
     out, end, edges = F.lit("off"), 0, []
     for state, frames in steps:
@@ -78,14 +82,22 @@ def light_states(df: DataFrame, steps: list[tuple[str, int]], keys: list[str], o
         edges.append((end, state))
     for end, state in reversed(edges):
         out = F.when(F.col("_r") <= end, state).otherwise(out)
+    if strict:
+        length = F.count("*").over(Window.partitionBy(*keys))
+        out = F.when(length < end_of(steps), F.raise_error(F.concat(F.lit(f"the light sequence has {end_of(steps)} frames, a series only "), length.cast("string")))).otherwise(out)
     return df.withColumn("_r", n).withColumn("light", out).drop("_r")
 
 
 def kinematics(wide: DataFrame, keys: list[str], order_by: str, fps: float, window: int, order: int, centroid: list[str], head: str = "head", abdomen: str = "abdomen", px_per_mm: float | None = None) -> DataFrame:
     """Centroid, heading and velocities of wide rows (x_<node>, y_<node>); null where no centroid node was seen.
 
-    All windows share one partitioning (the track), so there is one exchange.
+    Node names are found with case ignored. All windows share one partitioning
+    (the track), so there is one exchange.
     """
+    if not fps or fps <= 0:
+        raise ValueError("fps must be a positive number")
+    known = [c[2:] for c in wide.columns if c.startswith("x_")]
+    centroid, head, abdomen = [resolve_node(known, n) for n in centroid], resolve_node(known, head), resolve_node(known, abdomen)
     nodes = list(dict.fromkeys([*centroid, head, abdomen]))
     seen = F.coalesce(*[F.col(f"x_{n}") for n in centroid]).isNotNull()
     df = smoothed(wide.withColumn("_seen", seen), [f"{a}_{n}" for n in nodes for a in "xy"], keys, order_by, window, order)

@@ -1,4 +1,8 @@
-"""Track quality, overlap and identity."""
+"""Track quality, overlap and identity.
+
+Scores, shares and distances are rounded to nine decimals before they are
+compared or ranked: an average depends on the order of its rows in the last bits.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ def track_stats(points: DataFrame, n_frames: DataFrame, recording: str = "record
     frames = points.groupBy(recording, track, "frame").agg(F.max(F.col("x").isNotNull() | F.col("y").isNotNull()).alias("present"), instance.alias("instance"), F.avg("score").alias("point"))
     n = F.count_if("present")
     score = lambda c: F.avg(F.when(F.col("present"), F.col(c)))
-    out = frames.groupBy(recording, track).agg(n.alias("n_present"), F.when(n == 0, F.lit(0.0)).otherwise(F.coalesce(score("instance"), score("point"), F.lit(1.0))).alias("mean_score"))
-    return out.join(n_frames, recording).withColumn("occupancy", F.coalesce(F.try_divide(F.col("n_present").cast("double"), F.col("n_frames")), F.lit(0.0)))
+    out = frames.groupBy(recording, track).agg(n.alias("n_present"), F.round(F.when(n == 0, F.lit(0.0)).otherwise(F.coalesce(score("instance"), score("point"), F.lit(1.0))), 9).alias("mean_score"))
+    return out.join(n_frames, recording).withColumn("occupancy", F.round(F.coalesce(F.try_divide(F.col("n_present").cast("double"), F.col("n_frames")), F.lit(0.0)), 9))
 
 
 def centroids(points: DataFrame, recording: str = "recording", track: str = "track") -> DataFrame:
@@ -38,10 +42,10 @@ def overlaps(kept: DataFrame, cents: DataFrame, distance: float, fraction: float
     At most the kept tracks of a recording meet in a frame, so pairs stay few.
     """
     rows = cents.join(kept.select(recording, track, "rank"), [recording, track]).withColumnRenamed(track, "track")
-    near = track_pairs(rows, [recording, "frame"]).withColumn("near", S.distance("ax", "ay", "bx", "by") < distance)
+    near = track_pairs(rows, [recording, "frame"]).withColumn("near", F.round(S.distance("ax", "ay", "bx", "by"), 9) < distance)
     n = rows.groupBy(recording, F.col("track").alias("a")).agg(F.count("*").alias("n_a"))
     share = near.groupBy(recording, "a", "b", "ra", "rb").agg(F.count_if("near").alias("n_near")).join(n, [recording, "a"])
-    return share.withColumn("share", F.col("n_near") / F.greatest("n_a", F.lit(1))).where(F.col("share") >= fraction)
+    return share.withColumn("share", F.round(F.col("n_near") / F.greatest("n_a", F.lit(1)), 9)).where(F.col("share") >= fraction)
 
 
 def select_tracks(points: DataFrame, n_frames: DataFrame, least_score: float = 0.3, least_occupancy: float = 0.5, most: int = 3, overlap_distance: float = 20.0, overlap_fraction: float = 0.7) -> DataFrame:
@@ -61,6 +65,7 @@ def select_tracks(points: DataFrame, n_frames: DataFrame, least_score: float = 0
     better = kept.select("recording", F.col("rank").alias("_by"), F.col("track").alias("_name"))
     out = out.withColumns({"kept": is_kept, "_by": F.when(~is_kept & (F.col("rank") <= most), by)}).join(better, ["recording", "_by"], "left")
     few, low = F.col("occupancy") < least_occupancy, F.col("mean_score") < least_score
+    # The reasons.
     reason = (
         F.when(F.col("kept"), "present + confident")
         .when(F.col("_name").isNotNull(), F.concat(F.lit("overlaps higher-score track '"), F.col("_name").cast("string"), F.lit("'")))
@@ -82,7 +87,11 @@ def two_best(instances: DataFrame, keys: list[str], gap: float = 90.0, most: int
     return named_by_x(chosen.drop("_r", "_x"), keys)
 
 
-def named_by_x(instances: DataFrame, keys: list[str]) -> DataFrame:
-    """track_1, track_2, ... by x in each frame."""
+def named_by_x(instances: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
+    """track_1, track_2, ... by x in each frame; or the two names given, from left to right."""
     w = Window.partitionBy(*keys).orderBy("x", "instance")
-    return instances.withColumn("name", F.concat(F.lit("track_"), F.row_number().over(w).cast("string")))
+    if names is None:
+        return instances.withColumn("name", F.concat(F.lit("track_"), F.row_number().over(w).cast("string")))
+    if len(names) != 2:
+        raise ValueError(f"there should be exactly two tracks, not {len(names)}")
+    return instances.withColumn("name", F.get(F.array(*[F.lit(n) for n in names]), F.row_number().over(w) - 1))

@@ -9,7 +9,6 @@ from posekit.functions import scalars as S
 from posekit.functions import windows as W
 from posekit.operators import aggregates as A
 from posekit.operators import events, filters, joins, learn, naming, stats, stim, tracks
-from posekit.sources import io
 
 
 def clean_tracks(points: DataFrame, n_frames: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +38,7 @@ def per_fly_speed(frames: DataFrame, fps: float) -> DataFrame:
     """How fast each fly moves, forward and backward, by group: the speed of a filled track."""
     keys = ["recording", "track"]
     w = Window.partitionBy(*keys).orderBy("frame")
-    f = W.interpolated(W.interpolated(frames, "x", w, "fx"), "y", w, "fy")
+    f = W.interpolated_columns(frames, {"x": "fx", "y": "fy"}, w)
     vx, vy = W.gradient(F.col("fx"), w) * fps, W.gradient(F.col("fy"), w) * fps
     seen = F.col("x").isNotNull() | F.col("y").isNotNull()
     kin = f.withColumns({"forward_velocity": F.when(seen, vx), "speed": F.when(seen, F.hypot(vx, vy)), "rotational_velocity": F.when(seen, vy)})
@@ -103,9 +102,3 @@ def instance_pruning(points: DataFrame, node: str, least_score: float, gap: floa
 def contacts(frames: DataFrame, limit: float) -> DataFrame:
     return events.contact_onsets(filters.time_range(frames, 0.0), ["recording", "track"], "frame", "x", limit)
 
-
-def stored_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage and read it back, so that later stages start from it."""
-    path = io.fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -203,15 +203,8 @@ def o9(paths):
     return R.first_files(files(paths), "folder", F.contains("path", F.lit("?")), ["path", "page_id"], 18).select("folder", "page_id")
 
 
-@query("u1_union_tables", "points", "SELECT recording, track, frame, node, x FROM points WHERE track < 30 UNION ALL SELECT recording, track, frame, 'centre', avg(x) FROM points WHERE track < 30 GROUP BY 1, 2, 3", "x")
+@query("u1_union_tables", "points", "SELECT recording, track, frame, node, x FROM points UNION ALL SELECT recording, track, frame, 'centre', avg(x) FROM points GROUP BY 1, 2, 3", "x")
 def u1(points):
-    some = points.where("track < 30")
-    centre = some.groupBy("recording", "track", "frame").agg(F.avg("x").alias("x")).withColumn("node", F.lit("centre"))
-    return some.unionByName(centre, allowMissingColumns=True).select("recording", "track", "frame", "node", "x")
-
-
-@query("u1_union_tables_all", "points", "SELECT recording, track, frame, node, x FROM points UNION ALL SELECT recording, track, frame, 'centre', avg(x) FROM points GROUP BY 1, 2, 3", "x")
-def u1_all(points):
     centre = points.groupBy("recording", "track", "frame").agg(F.avg("x").alias("x")).withColumn("node", F.lit("centre"))
     return points.unionByName(centre, allowMissingColumns=True).select("recording", "track", "frame", "node", "x")
 

@@ -70,24 +70,27 @@ def embedded(emb):
     return emb.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"{'xy'[k % 2]}_{k // 2}_fly" if k < 60 else f"centre_{k}") for k in range(64)])
 
 
-@query("f12_feature_columns", "embeddings")
+X_COLUMNS = ", ".join(f"CAST(embedding[{2 * n + 1}] AS DOUBLE) AS x_{n}_fly" for n in range(30))
+
+
+@query("f12_feature_columns", "embeddings", f"SELECT vec_id, {X_COLUMNS}, CAST(embedding[4] AS DOUBLE) AS y_1_fly FROM embeddings")
 def f12(emb):
     wide = embedded(emb)
     return wide.select("vec_id", *O.feature_columns(wide.columns, {"x": "^x_", "y": "^y_"}, ["x"], also=["centre", "y_1_"]))
 
 
-@query("f13_numeric_split", "ev")
+@query("f13_numeric_split", "ev", "SELECT fly, cluster, displacement, light, concat_ws('|', event_type, event_id, ts) AS metadata FROM ev")
 def f13(ev):
     numeric, other = O.numeric_split(ev, ["event_id"])
     return ev.select(*numeric, F.concat_ws("|", *[F.col(c).cast("string") for c in other]).alias("metadata"))
 
 
-@query("f14_columns_matching", "embeddings")
+@query("f14_columns_matching", "embeddings", f"SELECT {X_COLUMNS} FROM embeddings")
 def f14(emb):
     return O.columns_matching(embedded(emb), "^x_.*_fly$")
 
 
-@query("f15_first_of_repeated_columns", "ev")
+@query("f15_first_of_repeated_columns", "ev", "SELECT fly, event_id, displacement FROM ev")
 def f15(ev):
     return O.first_of_repeated_columns(ev.select("fly", "event_id", "fly", F.col("cluster").alias("event_id"), "displacement"))
 

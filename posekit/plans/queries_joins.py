@@ -16,18 +16,12 @@ def files(paths):
     return paths.select("page_id", "path", "size", F.regexp_extract("path", r"^https?://([^/]+)", 1).alias("folder"), F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1).alias("name"))
 
 
-@query("j1_side_by_side", "frames", "SELECT a.recording, a.frame, a.x AS x_fly, b.x AS x_ball FROM frames a JOIN frames b ON a.recording = b.recording AND a.frame = b.frame WHERE a.track < 20 AND b.track BETWEEN 20 AND 39", "x_fly x_ball")
-def j1(frames):
-    pick = lambda a, b: frames.where(F.col("track").between(a, b)).select("recording", "frame", "x")
-    return O.side_by_side(pick(0, 19), pick(20, 39), ["recording", "frame"], ("_fly", "_ball"))
-
-
 #: A recording of at most ten tracks, so that pairs within one grow with the tracks.
 TEN = "CAST((track - track % 10) / 10 AS INT)"
 
 
-@query("j1_side_by_side_all", "frames", f"SELECT a.ten AS recording, a.frame, a.track AS track_fly, a.x AS x_fly, b.track AS track_ball, b.x AS x_ball FROM (SELECT *, {TEN} AS ten FROM frames WHERE track % 2 = 0) a JOIN (SELECT *, {TEN} AS ten FROM frames WHERE track % 2 = 1) b ON a.ten = b.ten AND a.frame = b.frame", "x_fly x_ball")
-def j1_all(frames):
+@query("j1_side_by_side", "frames", f"SELECT a.ten AS recording, a.frame, a.track AS track_fly, a.x AS x_fly, b.track AS track_ball, b.x AS x_ball FROM (SELECT *, {TEN} AS ten FROM frames WHERE track % 2 = 0) a JOIN (SELECT *, {TEN} AS ten FROM frames WHERE track % 2 = 1) b ON a.ten = b.ten AND a.frame = b.frame", "x_fly x_ball")
+def j1(frames):
     """Even beside odd tracks."""
     pick = lambda k: frames.where(F.col("track") % 2 == k).select(F.expr(TEN).alias("recording"), "frame", "track", "x")
     return O.side_by_side(pick(0), pick(1), ["recording", "frame"], ("_fly", "_ball"))
@@ -65,27 +59,17 @@ def j7(frames, ev):
     return O.event_metadata(rows, ["fly", "event_type"], "path", moved)
 
 
-CENTROIDS = "(SELECT recording, frame, track, avg(x) AS cx, avg(y) AS cy FROM points WHERE track < 60 GROUP BY 1, 2, 3 HAVING avg(x) IS NOT NULL)"
+CENTROIDS = f"(SELECT {TEN} AS recording, frame, track, avg(x) AS cx, avg(y) AS cy FROM points GROUP BY 1, 2, 3 HAVING avg(x) IS NOT NULL)"
 
 
 @query("j8_track_pairs", "points", f"SELECT a.recording, a.frame, a.track AS a, b.track AS b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS d FROM {CENTROIDS} a JOIN {CENTROIDS} b ON a.recording = b.recording AND a.frame = b.frame AND a.track > b.track", "d")
 def j8(points):
-    centroids = points.where("track < 60").groupBy("recording", "frame", "track").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).where("cx IS NOT NULL").withColumn("rank", F.col("track"))
-    pairs = O.track_pairs(centroids, ["recording", "frame"])
-    return pairs.select("recording", "frame", "a", "b", S.distance("ax", "ay", "bx", "by").alias("d"))
-
-
-ALL_CENTROIDS = f"(SELECT {TEN} AS recording, frame, track, avg(x) AS cx, avg(y) AS cy FROM points GROUP BY 1, 2, 3 HAVING avg(x) IS NOT NULL)"
-
-
-@query("j8_track_pairs_all", "points", f"SELECT a.recording, a.frame, a.track AS a, b.track AS b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS d FROM {ALL_CENTROIDS} a JOIN {ALL_CENTROIDS} b ON a.recording = b.recording AND a.frame = b.frame AND a.track > b.track", "d")
-def j8_all(points):
     centroids = points.withColumn("recording", F.expr(TEN)).groupBy("recording", "frame", "track").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).where("cx IS NOT NULL").withColumn("rank", F.col("track"))
     pairs = O.track_pairs(centroids, ["recording", "frame"])
     return pairs.select("recording", "frame", "a", "b", S.distance("ax", "ay", "bx", "by").alias("d"))
 
 
-@query("j9_segments", "points", "SELECT a.recording, a.track, a.frame, a.node AS src, b.node AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS length FROM points a JOIN points b USING (recording, track, frame) WHERE (a.node, b.node) IN (('head', 'thorax'), ('thorax', 'abdomen')) AND a.x IS NOT NULL AND b.x IS NOT NULL", "length")
+@query("j9_segments", "points", "SELECT a.recording, a.track, a.frame, a.node AS src, b.node AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS length FROM points a JOIN points b ON a.recording = b.recording AND a.track = b.track AND a.frame = b.frame AND b.node = CASE a.node WHEN 'head' THEN 'thorax' WHEN 'thorax' THEN 'abdomen' END WHERE a.x IS NOT NULL AND b.x IS NOT NULL", "length")
 def j9(points):
     edges = points.sparkSession.createDataFrame([("head", "thorax"), ("thorax", "abdomen")], "src string, dst string")
     return O.segments(points, edges, KEY).select(*KEY, "src", "dst", "length")

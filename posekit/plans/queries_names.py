@@ -56,10 +56,20 @@ def x16(paths):
     return paths.select("page_id", S.dated_folder(name, 20240110, 20240120).alias("inside"))
 
 
-@query("x17_plain_name", "names", "SELECT id, regexp_replace(replace(replace(replace(replace(replace(replace('α ' || name || '′ Ω', 'α', 'a'), '′', ''), '(', ''), ')', ''), '''', ''), ' ', '-'), '[^\\x00-\\x7F]', '', 'g') AS plain, 'Ω' AS left_over FROM names")
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+PLAIN = "('α ' || name || '′2 β’ (κ) Ω é')"
+for letter, plain in S.GREEK.items():
+    PLAIN = f"replace({PLAIN}, {_quoted(letter)}, {_quoted(plain)})"
+PLAIN = f"regexp_replace(translate({PLAIN}, ' ()', '-'), '[^\\x00-\\x7F]', '', 'g')"
+
+
+@query("x17_plain_name", "names", f"SELECT id, {PLAIN} AS plain, 'Ωé' AS left_over, concat_ws(', ', 'space', 'parentheses', 'non-ASCII: éΩαβκ’′') AS issues FROM names")
 def x17(names):
-    odd = F.concat(F.lit("α "), "name", F.lit("′ Ω"))
-    return names.select("id", S.plain_name(odd).alias("plain"), S.left_over(odd).alias("left_over"))
+    odd = F.concat(F.lit("α "), "name", F.lit("′2 β’ (κ) Ω é"))
+    return names.select("id", S.plain_name(odd).alias("plain"), S.left_over(odd).alias("left_over"), S.name_issues(odd).alias("issues"))
 
 
 @query("x18_safe_file_name", "paths", """SELECT page_id, regexp_replace(path, '[<>:"/\\\\|?*]', '_', 'g') AS safe FROM paths""")

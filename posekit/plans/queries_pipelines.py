@@ -7,8 +7,8 @@ from posekit.plans.queries_filters import embedded
 from posekit.plans.queries_joins import PATHS, files, name_map
 from posekit.plans.queries_names import folders  # noqa: F401
 from posekit.plans.queries_stats import BINNED, REPS, _bh, _perm  # noqa: F401
-from posekit.plans.queries_tracks import SELECTED, every, some, whole
-from posekit.plans.queries_windows import OVER
+from posekit.plans.queries_tracks import SELECTED, every
+from posekit.plans.queries_windows import OVER, SG_SPEED
 from posekit.plans.registry import query
 
 FILLED2 = "(SELECT *, " + ", ".join(f"coalesce({c}, {c}0 + ({c}1 - {c}0) * (frame - i{c}0) / nullif(i{c}1 - i{c}0, 0), {c}0, {c}1) AS f{c}" for c in "xy") + " FROM (SELECT *, " + ", ".join(
@@ -25,7 +25,7 @@ FLY = "mean_speed mean_forward_velocity mean_forward_speed mean_backward_speed m
 
 @query("p1_clean_tracks", "points", f"SELECT recording, track, kept, reason, NOT bool_or(kept) OVER (PARTITION BY recording) AS empty_recording, n AS n_points FROM ({SELECTED}) LEFT JOIN (SELECT recording, track, count(*) AS n FROM points GROUP BY 1, 2) USING (recording, track)")
 def p1(points):
-    p, n = some(points)
+    p, n = every(points)
     kept, report = J.clean_tracks(p, n, least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
     size = p.groupBy("recording", "track").agg(F.count("*").alias("n_points"))
     return report.join(size, ["recording", "track"], "left").select("recording", "track", "kept", "reason", "empty_recording", "n_points")
@@ -33,24 +33,11 @@ def p1(points):
 
 @query("p1_kept_points", "points", f"SELECT recording, track, frame, node FROM points WHERE (recording, track) IN (SELECT (recording, track) FROM ({SELECTED}) WHERE kept)")
 def p1b(points):
-    p, n = some(points)
+    p, n = every(points)
     kept, _ = J.clean_tracks(p, n, least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
     return kept.select("recording", "track", "frame", "node")
 
 
-@query("p1_clean_tracks_all", "points", f"SELECT recording, track, kept, reason, NOT bool_or(kept) OVER (PARTITION BY recording) AS empty_recording, n AS n_points FROM ({whole(SELECTED)}) LEFT JOIN (SELECT recording, track, count(*) AS n FROM points GROUP BY 1, 2) USING (recording, track)")
-def p1_all(points):
-    _, report = J.clean_tracks(*every(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
-    size = points.groupBy("recording", "track").agg(F.count("*").alias("n_points"))
-    return report.join(size, ["recording", "track"], "left").select("recording", "track", "kept", "reason", "empty_recording", "n_points")
-
-
-@query("p1_kept_points_all", "points", f"SELECT recording, track, frame, node FROM points WHERE (recording, track) IN (SELECT (recording, track) FROM ({whole(SELECTED)}) WHERE kept)")
-def p1b_all(points):
-    kept, _ = J.clean_tracks(*every(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35)
-    return kept.select("recording", "track", "frame", "node")
-
-
 @query("p2_per_fly_speed", "frames", SPEED, FLY)
 def p2(frames):
     return J.per_fly_speed(frames, 80.0)
@@ -61,7 +48,11 @@ def p2b(points):
     return J.track_kinematics(points, ["head", "thorax", "abdomen"], 80.0, 11, 1, ["thorax"], 26.0)
 
 
-@query("p3_directional_velocity", "kin pulses")
+BACKWARD = "(SELECT k.grp AS g, k.is_control, k.track, p.on_index, sum(greatest(-forward_velocity, 0) * dt) AS v FROM kin k JOIN pulses p ON p.seq = 'long' AND k.time >= p.start_s AND k.time < p.end_s WHERE forward_velocity IS NOT NULL GROUP BY ALL)"
+BACKWARD_ARMS = f"(SELECT s.*, t.test, CASE WHEN is_control THEN 'b' ELSE 'a' END AS arm FROM {BACKWARD} s JOIN (SELECT DISTINCT g AS test FROM {BACKWARD} WHERE NOT is_control) t ON s.is_control OR s.g = t.test)"
+
+
+@query("p3_directional_velocity", "kin pulses", f"SELECT *, coalesce(p_adj < 0.05, false) AS significant FROM ({_bh('SELECT * FROM (' + _perm('test, on_index', BACKWARD_ARMS, 'v', reps=100) + ') WHERE n_a >= 3 AND n_b >= 3')})", "diff p p_adj")
 def p3(kin, pulses):
     got = J.directional_velocity(kin, pulses.where("seq = 'long'").drop("seq"), 100)
     return got["tests"]
@@ -79,7 +70,7 @@ def p5(emb):
     return J.behaviour_map(wide.select("vec_id", "label", *cols), cols, 12, "label")
 
 
-@query("p6_fly_recording", "frames")
+@query("p6_fly_recording", "frames", f"SELECT f.recording, f.track, f.frame, CASE WHEN f.frame > 10 AND f.frame <= 30 THEN 'on' ELSE 'off' END AS light, v.speed, sum(v.speed) OVER (PARTITION BY f.recording, f.track ORDER BY f.frame) AS cumulated, f.grp AS genotype, 'female' AS sex, '3' AS age FROM frames f LEFT JOIN ({SG_SPEED}) v USING (recording, track, frame)", "speed cumulated")
 def p6(frames):
     named = frames.withColumn("folder", F.concat("grp", F.lit("_f_3d")))
     return J.fly_recording(named, "folder", [("off", 10), ("on", 20)], 80.0).select("recording", "track", "frame", "light", "speed", "cumulated", "metadata.genotype", "metadata.sex", "metadata.age")

@@ -68,6 +68,9 @@ def a9(kin):
     return stim.control_reference(stim.fly_bins(kin, "speed", 100.0, ["recording", "track", "is_control"]), "speed")
 
 
-@query("x27_protocol_intervals", "pulses", "SELECT seq, on_index, start_s, end_s FROM pulses", "start_s end_s")
-def x27(pulses):
-    return stim.protocol_intervals(stim.protocol_steps(pulses.sparkSession)).where("state = 'on'").select("seq", "on_index", "start_s", "end_s")
+@query("x27_protocol_intervals", "frames pulses", "SELECT seq, on_index, start_s, end_s, count(*) AS n_frames, count(DISTINCT track) AS n_tracks, sum(x) AS x FROM frames JOIN pulses ON time >= start_s AND time < end_s GROUP BY 1, 2, 3, 4", "start_s end_s x")
+def x27(frames, pulses):
+    """The frames in each on state of both protocols, whose intervals come from their steps."""
+    on = stim.protocol_intervals(stim.protocol_steps(frames.sparkSession)).where("state = 'on'").drop("state", "pos")
+    rows = joins.in_intervals(frames.select("track", "time", "x"), on, how="inner")
+    return rows.groupBy("seq", "on_index", "start_s", "end_s").agg(F.count("*").alias("n_frames"), F.countDistinct("track").alias("n_tracks"), F.sum("x").alias("x"))

@@ -5,50 +5,39 @@ from pyspark.sql import functions as F
 from posekit.operators import tracks as O
 from posekit.plans.registry import query
 
-POINTS = "(SELECT * FROM points WHERE track < 90)"
-STATS = f"""(SELECT s.*, coalesce(n_present / nullif(n_frames, 0), 0) AS occupancy FROM (
-  SELECT recording, track, count(*) FILTER (present) AS n_present, CASE WHEN count(*) FILTER (present) = 0 THEN 0.0 ELSE coalesce(avg(CASE WHEN present THEN score END), 1.0) END AS mean_score
-  FROM (SELECT recording, track, frame, bool_or(x IS NOT NULL OR y IS NOT NULL) AS present, avg(score) AS score FROM {POINTS} GROUP BY 1, 2, 3) GROUP BY 1, 2) s
-  JOIN (SELECT recording, max(frame) AS n_frames FROM {POINTS} GROUP BY 1) USING (recording))"""
-CENTROIDS = f"(SELECT recording, track, frame, avg(x) AS cx, avg(y) AS cy FROM {POINTS} GROUP BY 1, 2, 3 HAVING avg(x) IS NOT NULL)"
+STATS = """(SELECT s.*, round(coalesce(n_present / nullif(n_frames, 0), 0), 9) AS occupancy FROM (
+  SELECT recording, track, count(*) FILTER (present) AS n_present, round(CASE WHEN count(*) FILTER (present) = 0 THEN 0.0 ELSE coalesce(avg(CASE WHEN present THEN score END), 1.0) END, 9) AS mean_score
+  FROM (SELECT recording, track, frame, bool_or(x IS NOT NULL OR y IS NOT NULL) AS present, avg(score) AS score FROM points GROUP BY 1, 2, 3) GROUP BY 1, 2) s
+  JOIN (SELECT recording, max(frame) AS n_frames FROM points GROUP BY 1) USING (recording))"""
+CENTROIDS = "(SELECT recording, track, frame, avg(x) AS cx, avg(y) AS cy FROM points GROUP BY 1, 2, 3 HAVING avg(x) IS NOT NULL)"
 KEPT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY mean_score DESC, occupancy DESC, track) AS rank FROM {STATS} WHERE occupancy >= 0.3 AND mean_score >= 0.5))"
-PAIRS = f"""(SELECT recording, a, b, ra, rb, n_near, n_near / greatest(n_a, 1) AS share FROM (
-  SELECT a.recording, a.track AS a, b.track AS b, a.rank AS ra, b.rank AS rb, count(*) FILTER (sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) < 50) AS n_near
+PAIRS = f"""(SELECT recording, a, b, ra, rb, n_near, round(n_near / greatest(n_a, 1), 9) AS share FROM (
+  SELECT a.recording, a.track AS a, b.track AS b, a.rank AS ra, b.rank AS rb, count(*) FILTER (round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 9) < 50) AS n_near
   FROM (SELECT c.*, rank FROM {CENTROIDS} c JOIN {KEPT} k USING (recording, track) WHERE rank <= 4) a JOIN (SELECT c.*, rank FROM {CENTROIDS} c JOIN {KEPT} k USING (recording, track) WHERE rank <= 4) b
   ON a.recording = b.recording AND a.frame = b.frame AND a.rank > b.rank GROUP BY ALL)
   JOIN (SELECT recording, track AS a, count(*) AS n_a FROM {CENTROIDS} GROUP BY 1, 2) USING (recording, a))"""
 
 
 def every(points):
-    """All tracks, and the frames of each recording."""
+    """All tracks, and the frames of each recording. At most four tracks of a recording are ever paired."""
     return points, points.groupBy("recording").agg(F.max("frame").alias("n_frames"))
 
 
-def some(points):
-    """Some tracks, as the SQL of the first queries has them, and the frames of each recording."""
-    return every(points.where("track < 90"))
-
-
-def whole(sql):
-    """The SQL over all tracks."""
-    return sql.replace(POINTS, "points")
-
-
 @query("a23_track_stats", "points", f"SELECT recording, track, n_present, mean_score, occupancy FROM {STATS}", "mean_score occupancy")
 def a23(points):
-    return O.track_stats(*some(points)).select("recording", "track", "n_present", "mean_score", "occupancy")
+    return O.track_stats(*every(points)).select("recording", "track", "n_present", "mean_score", "occupancy")
 
 
 @query("a24_overlaps", "points", f"SELECT recording, a, b, n_near, share FROM {PAIRS} WHERE share >= 0.35", "share")
 def a24(points):
-    p, n = some(points)
+    p, n = every(points)
     kept = O.ranked(O.track_stats(p, n), 0.3, 0.5).where("rank <= 4")
     return O.overlaps(kept, O.centroids(p), 50.0, 0.35).select("recording", "a", "b", "n_near", "share")
 
 
 @query("x3_centroids", "points", f"SELECT recording, track, frame, cx, cy FROM {CENTROIDS}", "cx cy")
 def x3(points):
-    return O.centroids(some(points)[0])
+    return O.centroids(points)
 
 
 # Survivors of at most four ranks, written out: a rank goes if it overlaps a surviving better one.
@@ -66,31 +55,6 @@ SELECTED = f"""SELECT s.recording, s.track, s.n_present, coalesce(CASE k.rank WH
 
 @query("w16_select_tracks", "points", SELECTED)
 def w16(points):
-    return O.select_tracks(*some(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35).select("recording", "track", "n_present", "kept", "reason")
-
-
-# The same over all tracks. At most four tracks of a recording meet in a frame, so pairs stay few.
-
-
-@query("a23_track_stats_all", "points", whole(f"SELECT recording, track, n_present, mean_score, occupancy FROM {STATS}"), "mean_score occupancy")
-def a23_all(points):
-    return O.track_stats(*every(points)).select("recording", "track", "n_present", "mean_score", "occupancy")
-
-
-@query("a24_overlaps_all", "points", whole(f"SELECT recording, a, b, n_near, share FROM {PAIRS} WHERE share >= 0.35"), "share")
-def a24_all(points):
-    p, n = every(points)
-    kept = O.ranked(O.track_stats(p, n), 0.3, 0.5).where("rank <= 4")
-    return O.overlaps(kept, O.centroids(p), 50.0, 0.35).select("recording", "a", "b", "n_near", "share")
-
-
-@query("x3_centroids_all", "points", whole(f"SELECT recording, track, frame, cx, cy FROM {CENTROIDS}"), "cx cy")
-def x3_all(points):
-    return O.centroids(points)
-
-
-@query("w16_select_tracks_all", "points", whole(SELECTED))
-def w16_all(points):
     return O.select_tracks(*every(points), least_score=0.5, least_occupancy=0.3, most=4, overlap_distance=50.0, overlap_fraction=0.35).select("recording", "track", "n_present", "kept", "reason")
 
 

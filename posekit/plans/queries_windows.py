@@ -17,8 +17,8 @@ def series():
 
 OVER = "PARTITION BY recording, track ORDER BY frame"
 #: Gaps filled linearly by index, ends by the nearest value.
-FILLED = f"""(SELECT recording, track, grp, frame, time, n, coalesce(v, x0 + (x1 - x0) * (frame - i0) / nullif(i1 - i0, 0), x0, x1) AS x FROM (
-  SELECT *, x AS v, count(*) OVER (PARTITION BY recording, track) AS n,
+FILLED = f"""(SELECT recording, track, grp, frame, time, n, seen, v, coalesce(v, x0 + (x1 - x0) * (frame - i0) / nullif(i1 - i0, 0), x0, x1) AS x FROM (
+  SELECT *, x AS v, count(*) OVER (PARTITION BY recording, track) AS n, count(x) OVER (PARTITION BY recording, track) AS seen,
     last_value(x IGNORE NULLS) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0,
     last_value(CASE WHEN x IS NOT NULL THEN frame END IGNORE NULLS) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i0,
     first_value(x IGNORE NULLS) OVER ({OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1,
@@ -70,15 +70,20 @@ def w3c(frames):
     return out.groupBy(*KEY).agg(F.count("*").alias("n"), F.count("s").alias("n_smoothed"))
 
 
-@query("w4_clamped_smooth", "frames", f"SELECT recording, track, frame, CASE WHEN n < 3 OR win <= 1 THEN x ELSE s END AS s FROM (SELECT *, CASE WHEN least(11, n) % 2 = 0 THEN least(11, n) - 1 ELSE least(11, n) END AS win FROM {FILLED}) LEFT JOIN ({_fit_sql(11, 1)}) USING (recording, track, frame) WHERE n >= 11 OR n < 3", "s")
-def w4(frames):
-    out = stim.smoothed(frames.select(*KEY, "frame", "x"), ["x"], KEY, "frame", 11, 1)
-    n = F.count("*").over(Window.partitionBy(*KEY))
-    return out.withColumn("n", n).where("n >= 11 OR n < 3").select(*KEY, "frame", F.col("x").alias("s"))
+def _short_fit_sql(window: int, order: int) -> str:
+    """Savitzky-Golay of series shorter than the window, by the widest odd window that fits: weights by length, row and value."""
+    values = []
+    for n in range(1, window):
+        width = n - (n + 1) % 2
+        for i in range(n if width > order else 0):
+            centre = min(max(i, width // 2), n - 1 - width // 2)
+            values += [f"({n}, {i + 1}, {centre - width // 2 + k + 1}, {w!r})" for k, w in enumerate(W.fit_weights(width, order, i - centre))]
+    return f"""SELECT a.recording, a.track, a.frame, sum(b.x * w.weight) AS s FROM {FILLED} a JOIN (SELECT * FROM (VALUES {", ".join(values)}) AS v(n, i, k, weight)) w ON w.n = a.n AND w.i = a.frame
+  JOIN {FILLED} b ON a.recording = b.recording AND a.track = b.track AND b.frame = w.k GROUP BY 1, 2, 3"""
 
 
-@query("w4_clamped_smooth_all", "frames")
-def w4_all(frames):
+@query("w4_clamped_smooth", "frames", f"SELECT f.recording, f.track, f.frame, CASE WHEN seen < 3 THEN v ELSE coalesce(l.s, t.s, f.x) END AS s FROM {FILLED} f LEFT JOIN ({_fit_sql(11, 1)}) l USING (recording, track, frame) LEFT JOIN ({_short_fit_sql(11, 1)}) t USING (recording, track, frame)", "s")
+def w4(frames):
     """All tracks, those of 3 to 10 rows with a window that fits them."""
     return stim.smoothed(frames.select(*KEY, "frame", "x"), ["x"], KEY, "frame", 11, 1).select(*KEY, "frame", F.col("x").alias("s"))
 
@@ -94,7 +99,10 @@ def w6(frames):
     return W.unwrapped(angles, "a", KEY, "frame", "u").select(*KEY, "frame", "u")
 
 
-@query("w7_sg_speed", "frames", f"SELECT dx.recording, dx.track, dx.frame, sqrt(dx.s ** 2 + dy.s ** 2) * 80.0 * 32 / 832 AS speed FROM ({_fit_sql(25, 2, 1)}) dx JOIN ({_fit_sql(25, 2, 1).replace('FROM frames', 'FROM (SELECT * REPLACE (y AS x) FROM frames)')}) dy USING (recording, track, frame)", "speed")
+SG_SPEED = f"SELECT dx.recording, dx.track, dx.frame, sqrt(dx.s ** 2 + dy.s ** 2) * 80.0 * 32 / 832 AS speed FROM ({_fit_sql(25, 2, 1)}) dx JOIN ({_fit_sql(25, 2, 1).replace('FROM frames', 'FROM (SELECT * REPLACE (y AS x) FROM frames)')}) dy USING (recording, track, frame)"
+
+
+@query("w7_sg_speed", "frames", SG_SPEED, "speed")
 def w7(frames):
     return stim.sg_speed(frames, KEY, "frame", fps=80.0).where("speed IS NOT NULL").select(*KEY, "frame", "speed")
 
@@ -124,7 +132,7 @@ def w17(ev):
 
 @query("w18_light_states", "frames", "SELECT recording, track, frame, CASE WHEN frame <= 10 THEN 'off' WHEN frame <= 25 THEN 'on' WHEN frame <= 40 THEN 'off' ELSE 'off' END AS light FROM frames")
 def w18(frames):
-    return stim.light_states(frames, [("off", 10), ("on", 15), ("off", 15)], KEY, "frame").select(*KEY, "frame", "light")
+    return stim.light_states(frames, [("off", 10), ("on", 15), ("off", 15)], KEY, "frame", strict=False).select(*KEY, "frame", "light")
 
 
 @query("w19_differences", "frames", f"SELECT recording, track, frame, x - lag(x) OVER ({OVER}) AS diff, lead(x) OVER ({OVER}) AS next FROM frames", "diff next")

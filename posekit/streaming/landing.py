@@ -21,10 +21,3 @@ def land_new(spark: SparkSession, source: str, schema: str, transform: Callable[
         transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-
-
-def late_means(stream: DataFrame, time: str, keys: list[str], value: str, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Mean by tumbling window; rows later than the watermark are left out."""
-    from pyspark.sql import functions as F
-
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.avg(value).alias(f"avg_{value}"), F.count(value).alias("n"))

@@ -9,17 +9,17 @@ from posekit.plans import registry, views
 DIR = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["a23_track_stats_all", "w16_select_tracks_all", "x3_centroids_all", "p1_clean_tracks_all", "u1_union_tables_all", "w4_clamped_smooth_all"])
+@pytest.mark.parametrize("name", ["a23_track_stats", "w16_select_tracks", "x3_centroids", "p1_clean_tracks", "u1_union_tables", "w4_clamped_smooth"])
 def test_every_track_has_its_rows(spark, name):
     points = views.load(spark, DIR, "points")
-    if name == "x3_centroids_all":
+    if name == "x3_centroids":
         points = points.where("x IS NOT NULL")
     every = {(r[0], r[1]) for r in points.select("recording", "track").distinct().collect()}
     got = {(r[0], r[1]) for r in registry.QUERIES[name](spark, DIR).select("recording", "track").distinct().collect()}
     assert max(t for _, t in every) >= 90 and got == every
 
 
-@pytest.mark.parametrize("name, a, b", [("j1_side_by_side_all", "track_fly", "track_ball"), ("j8_track_pairs_all", "a", "b")])
+@pytest.mark.parametrize("name, a, b", [("j1_side_by_side", "track_fly", "track_ball"), ("j8_track_pairs", "a", "b")])
 def test_every_track_has_a_partner(spark, name, a, b):
     every = {r[0] for r in views.load(spark, DIR, "frames").select("track").distinct().collect()}
     got = registry.QUERIES[name](spark, DIR)
