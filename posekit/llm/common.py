@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ DEFAULT_SHARED = "file:///tmp/posekit-shared"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else our own default (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (base or DEFAULT_SHARED).rstrip("/")
 
 
@@ -34,6 +41,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that texts reach Python workers in: by bytes, as one text may be long (a setting of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it back (survives lost executors)."""
     path = new_path(df.sparkSession, name)
@@ -67,15 +79,54 @@ def slices(batches: Iterator[pd.DataFrame], column: str, max_chars: int = 4_000_
             start = stop
 
 
+#: Odd numbers for polynomial hashes modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def hashes(data: np.ndarray, offsets: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """64-bit hash of each piece (not empty) of the bytes between offsets: a polynomial in the position within the piece, mixed."""
+    size = np.diff(offsets)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    powers = np.full(int(size.max()), base, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], offsets[:-1])
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
 _HELD: dict[str, Callable[[], object]] = {}
 
 
-def hold(name: str, release: Callable[[], object]) -> None:
-    """A Python worker lives through many stages; it keeps the tables of one operator at a time and releases the others'."""
+def hold(name: str, release: Callable[[], object] = lambda: None) -> None:
+    """A Python worker lives through many stages; it keeps the tables of one operator at a time.
+
+    Every operator calls this first in its tasks; the others' tables are then
+    released, and freed memory goes back to the machine.
+    """
     if name not in _HELD:
         while _HELD:
             _HELD.popitem()[1]()
         _HELD[name] = release
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that one piece holds about max_bytes of text (one row at least)."""
+    for batch in batches:
+        size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        start = 0
+        while start < batch.num_rows:
+            done = size[start - 1] if start else 0
+            stop = max(start + 1, int(size.searchsorted(done + max_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def strip_spaces(c):

@@ -1,7 +1,7 @@
 """Token ids in files of canonical length-limited Huffman code.
 
-Texts become ids once (a table in the shared folder), ids are counted over the
-whole corpus, code lengths come from those counts by package-merge with at most
+Texts become ids once (a table in the shared folder), and are counted over the
+whole corpus in the same pass; code lengths come from those counts by package-merge with at most
 MAX_BITS bits, and documents in ascending doc_id order are written as
 independent blocks of whole documents. A block holds its documents' ids and
 lengths, the code bits, and the bit offset of every STEP-th id; decoding starts
@@ -14,7 +14,8 @@ block); doc_ids binary (int64, a null id is the smallest int64); n_ids binary
 bit offsets). The code itself is one row of canonical lengths (uint8 an id).
 
 Defined cases: null or empty text is the end id alone; repeated rows are kept,
-ordered by length; an empty table gives no rows; extra columns are ignored; one
+ordered by length and content; ids outside
+the vocabulary raise; an empty table gives no rows; extra columns are ignored; one
 very long document makes one long block.
 """
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posekit.llm.common import new_path, slices, stored
+from posekit.llm.common import arrow_slices, hold, new_path, small_batches, stored
 from posekit.llm.wordcache import encoder, with_end
 
 MAX_BITS = 16
@@ -38,32 +39,61 @@ STEP = 256
 BLOCK_IDS = 1 << 19
 VOCABULARY = 50_257
 NULL_ID = -(1 << 63)
+TOKEN_SCHEMA = "doc_id long, n_tokens int, ids binary, crc long, row long, counts binary"
 BLOCK_SCHEMA = "part int, block int, base long, first_doc long, n long, doc_ids binary, n_ids binary, bits binary, offsets binary"
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, drops_space: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids uint16) of every whole text."""
+def tokenized(docs: DataFrame, path: str, end_id: int, drops_space: bool = False, vocabulary: int = VOCABULARY) -> DataFrame:
+    """One pass over the texts, two kinds of rows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A document's: doc_id, n_tokens, ids (uint16), and crc and row, which order
+    equal doc_ids. A task's (counts not null): how often each id stands in what
+    the task has read, as (id int32, n int64) arrays one behind the other.
+    """
+    small_batches(docs.sparkSession)
+    names = [c.split()[0] for c in TOKEN_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, drops_space)
-        for pdf in slices(batches, "text"):
-            ids = with_end(*enc.ids(pdf["text"].tolist()), end_id)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+        part, row, total = TaskContext.get().partitionId(), 0, np.zeros(vocabulary, np.int64)
+        for batch in arrow_slices(batches, "text"):
+            flat, sizes = with_end(*enc.ids(batch.column("text").to_pylist()), end_id)
+            total += counted(flat, vocabulary)
+            ends = np.cumsum(sizes)
+            data = flat.tobytes()
+            crc = np.fromiter((zlib.crc32(data[2 * (b - n) : 2 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)), np.int64, len(sizes))
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(data)])
+            rows = (part << 33) + row + np.arange(len(sizes))
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), ids, pa.array(crc), pa.array(rows), pa.nulls(len(sizes), pa.binary())], names)
+        at = np.flatnonzero(total)
+        if len(at):
+            count = at.astype("<i4").tobytes() + total[at].astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None, None, None, None, None, count], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKEN_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens int, ids binary")
+
+def counted(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    out = np.bincount(ids, minlength=vocabulary)
+    if len(out) > vocabulary:
+        raise ValueError(f"id {len(out) - 1} is outside the vocabulary of {vocabulary}")
+    return out
 
 
 def id_counts(tokens: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
-    """Counts of all ids over all documents; each task sends at most one row an id."""
+    """Counts of all ids over all documents, from the tasks' counts; at most one row an id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=vocabulary)
+            for x in batch.column(0).to_pylist():
+                k = len(x) // 12
+                total[np.frombuffer(x, "<i4", k)] += np.frombuffer(x, "<i8", k, 4 * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    got = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(vocabulary, np.int64)
     out[got["id"].to_numpy(int)] = got["n"].to_numpy(np.int64)
     return out
@@ -155,32 +185,48 @@ def unpack_bits(bits: bytes, offsets: bytes, n: int, table: tuple[np.ndarray, np
 
 
 def write_blocks(tokens: DataFrame, lengths: np.ndarray, path: str) -> DataFrame:
-    """Documents in ascending doc_id order as blocks at path."""
+    """Documents in ascending doc_id order as blocks at path. Rows of one doc_id are dealt out by length, crc and row."""
     codes = canonical(lengths)
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("blocks")
         part, block, base = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
-            ids = np.concatenate([x for _, x in held])
-            bits, offsets = pack_bits(ids, codes, lengths)
-            names = np.array([d for d, _ in held], np.int64)
-            return pd.DataFrame([[part, block, base, names[0], size, names.tobytes(), np.array([len(x) for _, x in held], np.int32).tobytes(), bits, offsets]], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            """Full blocks of what is held, and at the end the rest."""
+            nonlocal block, base, held, size
+            docs, n, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            ends, a = np.cumsum(n), 0
+            while a < len(docs):
+                done = int(ends[a - 1]) if a else 0
+                b = min(int(np.searchsorted(ends, done + BLOCK_IDS)) + 1, len(docs))
+                if not last and int(ends[b - 1]) - done < BLOCK_IDS:
+                    break
+                some = ids[done : int(ends[b - 1])]
+                bits, offsets = pack_bits(some, codes, lengths)
+                row = [part, block, base, int(docs[a]), len(some), docs[a:b].tobytes(), n[a:b].astype(np.int32).tobytes(), bits, offsets]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 4], strict=True)], names)
+                block, base, a = block + 1, base + len(some), b
+            held = [(docs[a:], n[a:], ids[int(ends[a - 1]) if a else 0 :])]
+            size = len(held[0][2])
 
-        for pdf in batches:
-            for d, x in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                held.append((NULL_ID if pd.isna(d) else int(d), np.frombuffer(x, np.uint16)))
-                size += len(held[-1][1])
-                if size >= BLOCK_IDS:
-                    yield flush()
-                    block, base, held, size = block + 1, base + size, [], 0
-        if held:
-            yield flush()
-
-    ordered = tokens.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "n_tokens", "ids")
-    ordered.select("doc_id", "ids").mapInPandas(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+        for batch in batches:
+            ids = batch.column("ids").cast(pa.large_binary())
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 2 if len(ids) else np.zeros(1, np.int64)
+            flat = np.frombuffer(ids.buffers()[2] or b"", np.uint16)[at[0] : at[-1]].copy()
+            held.append((batch.column("doc_id").fill_null(NULL_ID).to_numpy(), np.diff(at), flat))
+            size += len(flat)
+            if size >= BLOCK_IDS:
+                yield from blocks(False)
+        if size:
+            yield from blocks(True)
+
+    order = ["doc_id", "n_tokens", "crc", "row"]
+    ordered = tokens.where("counts IS NULL").select(*order, "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
     return tokens.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
@@ -197,6 +243,7 @@ def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
         total += p["n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("decoding")
         table = decode_table(lengths)
         for pdf in batches:
             for r in pdf.itertuples(index=False):

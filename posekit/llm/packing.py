@@ -23,12 +23,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posekit.llm.common import slices
+from posekit.llm.common import arrow_slices, small_batches
 from posekit.llm.wordcache import encoder, with_end
 
 CAPACITY = 4096
@@ -80,31 +81,34 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """One row a piece. path: a tokenizer file that drops white space; end_id closes every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, True)
         base = TaskContext.get().partitionId() << 32
-        names: list = []
-        ids: list[np.ndarray] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = done = 0
 
-        def flush() -> pd.DataFrame:
-            rows = assign(np.array([len(x) for x in ids], np.int64), capacity)
-            d, start, n, seq, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            crc = [zlib.crc32(ids[a][b : b + c].astype("<u4")) for a, b, c in zip(d, start, n, strict=True)]
-            doc = pd.Series(names, dtype="Int64").take(d).to_numpy()
-            return pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "start": start, "length": n, "ids_crc32": crc, "doc_tokens": [len(ids[a]) for a in d], "sequence_id": base + done + seq, "offset": offset})
-
-        for pdf in slices(batches, "text"):
-            got = with_end(*enc.ids(pdf["text"].tolist()), end_id)
-            names += [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            ids += got
-            size += sum(map(len, got))
+        def flush() -> pa.RecordBatch:
+            names, lengths = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            ids = np.concatenate([x[2] for x in held])
+            first = np.cumsum(lengths) - lengths
+            d, start, n, seq, offset = (np.array(x, np.int64) for x in zip(*assign(lengths, capacity), strict=True))
+            at = first[d] + start
+            crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at.tolist(), (at + n).tolist(), strict=True)]
+            columns = [names.take(pa.array(d)), *map(pa.array, (start, n, np.array(crc, np.int64), lengths[d], base + done + seq, offset))]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+        for batch in arrow_slices(batches, "text"):
+            flat, sizes = with_end(*enc.ids(batch.column("text").to_pylist()), end_id)
+            held.append((batch.column("doc_id"), sizes, flat))
+            size += len(flat)
             if size >= GROUP_IDS:
                 out = flush()
                 yield out
-                done += int(out["sequence_id"].max()) - base - done + 1
-                names, ids, size = [], [], 0
-        if ids:
+                done += int(pc.max(out.column("sequence_id")).as_py()) - base - done + 1
+                held, size = [], 0
+        if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
