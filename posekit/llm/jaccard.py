@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posekit.llm.common import hold, slices, stored
+from posekit.llm.common import arrow_slices, hashes, hold, slices, small_batches, stored
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -53,44 +53,55 @@ SHARE = 0.35
 #: A shingle in more than this part of the documents is very frequent; at most (mean set size) / HOT of them exist.
 HOT = 0.005
 SALTS = 64
+#: Rounds of star contraction, which needs about the logarithm of the largest component's size.
+MAX_ROUNDS = 60
+#: Frequent shingles are looked for in pieces of so many documents or shingles.
+PIECE_DOCS, PIECE_SHINGLES = 5_000, 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _CLASS1, _CLASS2 = 1 << 40, 1 << 41
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, kept for words seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = WordHashes()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _A
     h = (h ^ (h >> np.uint64(29))) * _B
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles; A-Z lower-cased."""
-    hold("word hashes", _HASHES.clear)
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    if n < WORDS:
-        return mixed(np.array([hash_tuple(h)], np.uint64))
-    out = h[: n - WORDS + 1].copy()
-    for k in range(1, WORDS):
-        out = out * _M + h[k : n - WORDS + 1 + k]
-    return np.unique(mixed(out))
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its five-word shingles (A-Z lower-cased): all in one array, and how many each has."""
+    data = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    buf = np.frombuffer(b"\n".join([b"", *data, b""]), np.uint8)
+    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    size = np.flatnonzero(~space[:-1] & space[1:]) + 1 - start
+    h = hashes(buf[~space], np.append(0, np.cumsum(size)))
+    begin = np.cumsum([1, *[len(d) + 1 for d in data]])
+    bounds = np.searchsorted(start, begin)  # words before each text
+    n = np.diff(bounds)
+    raw = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
+    first = np.cumsum(raw) - raw
+    flat = np.empty(int(raw.sum()), np.uint64)
+    if len(h) >= WORDS:
+        windows = h[: len(h) - WORDS + 1].copy()
+        for k in range(1, WORDS):
+            windows = windows * _M + h[k : len(h) - WORDS + 1 + k]
+        doc = np.repeat(np.arange(len(n)), n)
+        within = doc[: len(windows)] == doc[WORDS - 1 :]
+        flat[np.repeat(n >= WORDS, raw)] = mixed(windows[within])
+    for k in np.flatnonzero((n > 0) & (n < WORDS)).tolist():
+        flat[first[k]] = mixed(np.array([hash_tuple(h[bounds[k] : bounds[k + 1]])], np.uint64))[0]
+    for a, b in zip(first.tolist(), (first + raw).tolist(), strict=True):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[first[raw > 0]] = True
+    return flat[new], np.bincount(np.repeat(np.arange(len(n)), raw), new, len(n)).astype(np.int64)
+
+
+def each_set(texts: list[str | None]) -> list[np.ndarray]:
+    flat, n = shingle_sets(texts)
+    return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
 
 
 def hash_tuple(h: np.ndarray) -> int:
@@ -117,24 +128,39 @@ def surveyed(docs: DataFrame, share: float = SHARE) -> DataFrame:
     set. A shingle's (key not null): its 48-bit key and how often it stands in
     a piece of the input where it is frequent.
     """
+    small_batches(docs.sparkSession)
     limit = limit_of(share)
     names = ["doc_id", "n_shingles", "f1", "f2", "key", "n"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches, "text", 16_000_000):
-            own, low = [], []
-            for t in pdf["text"]:
-                s = shingles(t)
-                own.append((len(s), (s * _A ^ (s >> np.uint64(31))).sum(dtype=np.uint64).astype(np.int64), mixed(s).sum(dtype=np.uint64).astype(np.int64)))
-                low.append(s[: np.searchsorted(s, limit)])
-            rows = pd.DataFrame(own, columns=names[1:4], dtype="Int64")
-            rows["doc_id"] = pdf["doc_id"].to_numpy()
-            yield rows.assign(key=None, n=None)[names].astype("Int64")
-            key, n = np.unique(np.concatenate(low) >> np.uint64(16), return_counts=True)
-            often = n >= max(16, HOT * len(pdf))
-            yield pd.DataFrame({"key": key[often].astype(np.int64), "n": n[often]}).reindex(columns=names).astype("Int64")
-
-    return stored(docs.select("doc_id", "text").mapInPandas(run, ", ".join(f"{c} long" for c in names)), "surveyed")
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in names], names)
+
+    def often(low: list[np.ndarray], n_docs: int) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(low), return_counts=True)
+        at = n >= max(16, HOT * n_docs)
+        return rows(key=key[at], n=n[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("shingles")
+        low: list[np.ndarray] = []
+        held = n_low = 0
+        for batch in arrow_slices(batches, "text"):
+            flat, n = shingle_sets(batch.column("text").to_pylist())
+            at = np.repeat(np.arange(len(n)), n)
+            f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            np.add.at(f1, at, flat * _A ^ (flat >> np.uint64(31)))
+            np.add.at(f2, at, mixed(flat))
+            yield rows(doc_id=batch.column("doc_id"), n_shingles=n, f1=f1, f2=f2)
+            low.append(flat[flat < limit] >> np.uint64(16))
+            held, n_low = held + len(n), n_low + len(low[-1])
+            if held >= PIECE_DOCS or n_low >= PIECE_SHINGLES:
+                yield often(low, held)
+                low, held, n_low = [], 0, 0
+        if low:
+            yield often(low, held)
+
+    return stored(docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "surveyed")
 
 
 def frequent(survey: DataFrame, n_docs: int) -> dict[int, int]:
@@ -161,12 +187,11 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int, share: fl
     schema = "bucket int, docs binary, places binary, keys binary"
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("shingles")
         hot_keys, hot_n = shared_hot.value
-        for pdf in slices(batches, "text", 12_000_000):
-            pdf = pdf[pdf["doc_id"].notna()]
+        for pdf in slices(batches, "text", 8_000_000):
             keys, docs_of, used, hot_rows = [], [], [], []
-            for d, t in zip(pdf["doc_id"].astype("int64"), pdf["text"], strict=True):
-                s = shingles(t)
+            for d, s in zip(pdf["doc_id"].astype("int64"), each_set(pdf["text"].tolist()), strict=True):
                 if not len(s):
                     continue
                 p, u = prefix_size(len(s)), int(np.searchsorted(s, limit, side="right"))
@@ -217,7 +242,7 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int, share: fl
         place = np.where(key <= limit >> np.uint64(16), n, _CLASS1)
         return pd.DataFrame({"doc_id": doc, "key": key.astype(np.int64), "ord": place, "u": u})
 
-    cells = docs.select("doc_id", "text").mapInPandas(emit, schema)
+    cells = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(emit, schema)
     return cells.groupBy("bucket").applyInPandas(count, "doc_id long, key long, ord long, u long")
 
 
@@ -263,13 +288,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = one.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for pdf in batches:
+        hold("shingles")
+        for pdf in slices(batches, "tx"):
+            new = np.append(True, pdf["y"].to_numpy()[1:] != pdf["y"].to_numpy()[:-1])  # its set is made once
+            pivots, at = each_set(pdf["ty"][new].tolist()), np.cumsum(new) - 1
             out = []
-            for x, y, tx, ty in zip(pdf["x"], pdf["y"], pdf["tx"], pdf["ty"], strict=True):
-                if kept[0] != y:
-                    kept = (y, shingles(ty))
-                a, b = shingles(tx), kept[1]
+            for x, y, a, k in zip(pdf["x"], pdf["y"], each_set(pdf["tx"].tolist()), at.tolist(), strict=True):
+                b = pivots[k]
                 both = int(len(np.intersect1d(a, b, assume_unique=True)))
                 union = len(a) + len(b) - both
                 out.append((x, y, 1.0 - both / union if union else 0.0, 100 * both >= PERCENT * union))
@@ -282,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(doc, comp) of every node of (x, y) edges; comp is the smallest node reached. Star contraction."""
     e = stored(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(60):
+    for _ in range(MAX_ROUNDS):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -293,6 +318,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     return e.select(F.col("a").alias("doc"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("doc"), F.col("b").alias("comp")).distinct())
 
 

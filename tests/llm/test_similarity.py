@@ -84,7 +84,7 @@ def test_very_frequent_shingles_take_the_other_way(spark, monkeypatch):
 def _hot(texts):
     count = {}
     for t in texts.values():
-        for k in (jaccard.shingles(t) >> np.uint64(16)).tolist():
+        for k in (jaccard.each_set([t])[0] >> np.uint64(16)).tolist():
             count[k] = count.get(k, 0) + 1
     return {k: n for k, n in count.items() if n >= 10}
 
@@ -142,6 +142,32 @@ def test_recall_and_ties(spark):
     assert [i for i, _ in got[20]][:20] == list(range(2000, 2020))
 
 
+def test_the_index_prunes(spark):
+    """Vectors around 150 directions: few rows are read, and no more tasks than tiles hold them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 24))
+    x = (centres[rng.integers(0, 150, 6000)] + rng.normal(size=(6000, 24)) * 0.6).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist(), 0, 0.0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int, score double")
+    rows = multiindex.search(df, "vec_id % 20 = 0", 20, sample_rows=3000, tile=700).toPandas()
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    got = rows.sort_values(["query_id", "rank"])["vec_id"].to_numpy().reshape(300, 20)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got, want, strict=True)]) >= 0.9
+    assert rows.drop_duplicates("query_id")["n_read"].mean() <= 0.2 * 6000
+
+
+def test_tiles():
+    got = multiindex.dealt({0: 3, 1: 5, 2: 25, 3: 4, 4: 10, 5: 1}, 10)
+    assert got == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (5, 1), 5: (6, 1)}
+
+
+def test_repeated_ids_and_ties_of_length(spark):
+    rows = [(0, [1.0, 2.0], 0, 0.0), (0, [3.0, 1.0], 0, 0.0), (1, [1.0, 1.0], 0, 0.0), (1, [1.0, 1.0], 0, 0.0), (2, [5.0, 5.0, 5.0], 0, 0.0), (3, [5.0, 5.0, 5.0], 0, 0.0), (4, [5.0, 5.0, 5.0], 0, 0.0), (6, [5.0] * 3, 0, 0.0)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in multiindex.search(vectors(spark, rows), "vec_id % 20 = 0").collect())
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 3.0)]
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0] * 6, 0, 0.0), (20, [2.0] * 6, 0, 0.0), (21, [1.0] * 6, 0, 0.0)]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in multiindex.search(vectors(spark, rows), "vec_id % 20 = 0").collect())
@@ -152,8 +178,9 @@ def test_few_vectors(spark):
 def test_pairs_come_in_falling_order():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=7), rng.normal(size=5)
-    got = [a[i] + b[j] for i, j in multiindex.best_pairs(a, b, -np.inf)]
-    assert len(got) == 35 and np.allclose(got, np.sort((a[:, None] + b).ravel())[::-1])
+    pairs = list(multiindex.best_pairs(a, b))
+    got = [a[i] + b[j] for i, j, _ in pairs]
+    assert len({p[:2] for p in pairs}) == len(got) == 35 and np.allclose(got, [p[2] for p in pairs]) and np.allclose(got, np.sort((a[:, None] + b).ravel())[::-1])
 
 
 # Pipeline
