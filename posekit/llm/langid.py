@@ -22,17 +22,18 @@ a row; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posekit.llm.common import hold, slices, stored
+from posekit.llm.common import arrow_slices, hold, slices, small_batches, stored
 from posekit.llm.pieces import SPACE, Lattices, Pieces, pieces
 
 #: Labelled documents a language that the model is fitted on, about.
@@ -42,8 +43,9 @@ SMOOTHING = 0.05
 MAX_WORD = 32
 #: Words of a smaller probability go through log space; above it, what underflows on the way is no share of the sum.
 LEAST = 1e-250
-#: Distinct words whose scores a worker keeps.
-MAX_KEPT = 500_000
+#: Distinct words whose scores a worker keeps (about 200 bytes each).
+MAX_KEPT = 250_000
+_SCORES: dict[str, WordScores] = {}
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -165,6 +167,7 @@ def held_out():
 
 def train(docs: DataFrame, path: str, per_language: int = TRAIN_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and (vocabulary, languages) piece probabilities, from text and non-null lang."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -175,6 +178,7 @@ def train(docs: DataFrame, path: str, per_language: int = TRAIN_DOCS, rounds: in
     sample = labelled.where(draw < share).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("labelled words")
         for pdf in slices(batches, "text"):
             by: dict[str, Counter] = {}
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -188,6 +192,7 @@ def train(docs: DataFrame, path: str, per_language: int = TRAIN_DOCS, rounds: in
         model = prob
 
         def expect(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            hold("expected counts")
             vocab, total = pieces(path), np.zeros((len(languages), model.shape[0]))
             for pdf in batches:
                 for lang, part in pdf.groupby("lang"):
@@ -240,52 +245,46 @@ class WordScores:
         return out, n
 
 
-def predict_columns(languages: list[str], prob: np.ndarray, path: str):
-    """A function of texts: (language, posterior) of each."""
-    kept: list[WordScores] = []
-
-    def run(texts: list[str | None]) -> list[tuple[str, float]]:
-        if not languages:
-            return [("und", 0.0)] * len(texts)
-        hold("language words", lambda: None)
-        if not kept:
-            kept.append(WordScores(path, prob))
-        ll, n = kept[0].texts(texts)
-        best = ll.argmax(axis=1)
-        top = ll[np.arange(len(ll)), best]
-        score = 1.0 / np.exp(np.maximum(ll - top[:, None], -700)).sum(axis=1)
-        return [(languages[b], float(s)) if k else ("und", 0.0) for b, s, k in zip(best, score, n, strict=True)]
-
-    return run
+def predicted(texts: list[str | None], name: str, languages: list[str], prob: np.ndarray, path: str) -> list[tuple[str, float]]:
+    """(language, posterior) of each text; a worker keeps the word scores of the model of that name."""
+    if not languages:
+        return [("und", 0.0)] * len(texts)
+    hold(f"words of {name}", _SCORES.clear)
+    if name not in _SCORES:
+        _SCORES[name] = WordScores(path, prob)
+    ll, n = _SCORES[name].texts(texts)
+    best = ll.argmax(axis=1)
+    top = ll[np.arange(len(ll)), best]
+    score = 1.0 / np.exp(np.maximum(ll - top[:, None], -700)).sum(axis=1)
+    return [(languages[b], float(s)) if k else ("und", 0.0) for b, s, k in zip(best, score, n, strict=True)]
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; only text is looked at."""
     languages, prob = model
-    shared = docs.sparkSession.sparkContext.broadcast(prob)
+    shared, name = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict_texts = predict_columns(languages, shared.value, path)
-        for pdf in slices(batches, "text"):
-            got = predict_texts(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [g for g, _ in got], "score": [s for _, s in got]}, index=pdf.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "text"):
+            got = predicted(batch.column("text").to_pylist(), name, languages, shared.value, path)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, least: float = 0.5) -> DataFrame:
     """Documents in a known language with posterior of at least `least`, with their own columns."""
     languages, prob = model
-    shared = docs.sparkSession.sparkContext.broadcast(prob)
+    shared, name = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict_texts = predict_columns(languages, shared.value, path)
-        for pdf in slices(batches, "text"):
-            yield pdf[[g != "und" and s >= least for g, s in predict_texts(pdf["text"].tolist())]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "text"):
+            got = predicted(batch.column("text").to_pylist(), name, languages, shared.value, path)
+            yield batch.filter(pa.array([g != "und" and s >= least for g, s in got], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from posekit.llm.common import hold, slices
+from posekit.llm.common import hold, slices, small_batches
 from posekit.llm.pieces import SPACE, Lattices, Pieces, pieces
 
 N_BEST = 3
@@ -239,6 +239,7 @@ def segmenter(path: str, n: int) -> Segmenter:
 
 def segment(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     """Per document: doc_id, segmentations (array of score, ids), best first."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -253,6 +254,7 @@ def segment(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     """Per document, figures of its n best: count, pieces and score of the best, loss of the last, crc32 of all ids, and whether all decode to the text."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 

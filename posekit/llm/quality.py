@@ -13,14 +13,15 @@ each; columns beyond the named ones are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posekit.llm.common import SPACES, slices, stored, words_of
+from posekit.llm.common import SPACES, arrow_slices, hold, small_batches, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -76,17 +77,19 @@ def failed(n_words, n_repeat_words):
 
 def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row a document: id, host, the five figures, base_failed."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     kept = rows.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality")
         names = [x.split()[0] for x in METRICS.split(", ")]
-        for pdf in slices(batches, "text"):
-            got = pd.DataFrame([measure(t) for t in pdf["text"]], columns=names, dtype="int64")
-            yield pd.concat([pdf[["doc_id", "host"]].reset_index(drop=True), got], axis=1)
+        for batch in arrow_slices(batches, "text"):
+            got = np.array([measure(t) for t in batch.column("text").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *map(pa.array, got.T.copy())], ["doc_id", "host", *names])
 
     kind = {f.name: f.dataType.simpleString() for f in kept}
-    out = rows.mapInPandas(run, f"doc_id {kind['doc_id']}, host {kind['host']}, {METRICS}")
+    out = rows.mapInArrow(run, f"doc_id {kind['doc_id']}, host {kind['host']}, {METRICS}")
     return out.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
@@ -123,17 +126,20 @@ def judged(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their own columns; a null doc_id is judged like any other.
 
-    Base failures go where they are read; only the rejected hosts (known after
-    the aggregate) are joined, by host, never the texts by id.
+    A text is measured again where it is read, which is cheaper than moving the
+    figures to it. Base failures go there; only the rejected hosts (known after
+    the aggregate) are joined, by host and salt, never the texts by id.
     """
     measured = stored(metrics(docs), "quality")
-    bad = stored(host_rates(measured).where(F.col("host_rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad")), "hosts")
-    columns = docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches, "text"):
-            got = [measure(t) for t in pdf["text"]]
-            yield pdf[[not failed(x[0], x[4]) for x in got]]
-
-    passed = docs.mapInPandas(run, docs.schema)
-    return passed.join(bad, passed["source"] == bad["_bad"], "left_anti").select(*columns)
+    tag = uuid.uuid4().hex
+    host, salt = f"host_{tag}", f"salt_{tag}"
+    bad = stored(host_rates(measured).where(F.col("host_rate") > MAX_HOST_RATE).select(F.col("host").alias(host), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt)), "hosts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality")
+        for batch in arrow_slices(batches, "text"):
+            got = [measure(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([not failed(x[0], x[4]) for x in got], pa.bool_()))
+
+    passed = docs.mapInArrow(run, docs.schema).withColumn(f"own_{tag}", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return passed.join(bad, (passed[f"own_{tag}"] == bad[salt]) & (passed["source"] == bad[host]), "left_anti").select(*docs.columns)
