@@ -14,8 +14,9 @@ texts, and one-line notices of NAMES; other texts are passed by the caller.
 
 Defined cases: null text matches nothing; a text without letter or digit
 (after dropping copyright lines) has an empty form and matches nothing; two
-known licences with one form report the smaller name; repeated documents report
-each; extra columns are ignored; an empty table gives no rows.
+known licences with one form report the smaller name; repeated rows report
+each, every one the lines of its own text; a null doc_id is a row like any other;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,6 +89,9 @@ _NAME = ["the copyright holder", "the copyright holders", "the University", "the
 END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
 
+SALTS = 16
+
+
 def built_in() -> list[tuple[str, str]]:
     """(licence, text) of all built-in texts."""
     out = KNOWN + [(k, f"{lead} {terms}{name}") for k, names in NAMES.items() for name in names for lead in LEADS for terms in ("", "the terms of ")]
@@ -145,29 +149,29 @@ def could_match(text: Column) -> Column:
 def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, digest of the whole text, its licence, and the licences of single lines.
 
-    Lines are hashed at the scan and only digests are joined. With the built-in
-    texts, lines that cannot match are not hashed; with the caller's, all are.
+    Lines are hashed at the scan and only digests are joined. What lines say of
+    a text is found once a text, and reaches its rows by 128 bits of hash, dealt
+    out over SALTS keys, so that rows of one text or one doc_id part. With the
+    built-in texts, lines that cannot match are not hashed; with the caller's,
+    all are.
     """
     spark = docs.sparkSession
     known = known_digests(spark, texts)
-    rows = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    line = F.explode(F.split("text", "\n", -1)).alias("line")
-    lines = docs.select("doc_id", line)
+    if texts is None:
+        known = F.broadcast(known)  # as long as the built-in list
+    name = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text", F.lit("#")).alias("h2")]
+    lines = docs.select(*name, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     if texts is None:
         lines = lines.where(could_match(F.col("line")))
-    by_line = (
-        lines.select("doc_id", digest(F.col("line")).alias("digest"))
-        .where(F.col("digest").isNotNull())
-        .join(known, "digest")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set("licence")).alias("line_licences"), F.count("*").alias("n_licence_lines"))
-    )
-    whole = rows.select("doc_id", "digest").join(known.withColumnRenamed("licence", "whole_licence"), "digest", "left")
-    out = whole.join(by_line, "doc_id", "left")
+    hits = lines.select("h1", "h2", "pos", digest(F.col("line")).alias("digest")).where(F.col("digest").isNotNull()).join(known, "digest")
+    by_text = hits.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "licence")).alias("hits"))
+    salted = by_text.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.select("doc_id", *name, digest(F.col("text")).alias("digest")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    out = rows.join(known.withColumnRenamed("licence", "whole_licence"), "digest", "left").join(salted, ["h1", "h2", "salt"], "left")
     return out.select(
         "doc_id",
         "digest",
         "whole_licence",
-        F.concat_ws(",", F.coalesce("line_licences", F.array().cast("array<string>"))).alias("line_licences"),
-        F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.col("hits.licence"))), ","), F.lit("")).alias("line_licences"),
+        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_licence_lines"),
     )
