@@ -5,12 +5,12 @@ own text (link text does not count). Elements that are never article text are
 dropped first: by tag, or by a name in their class, id or role that consists of
 such words alone. An element so named stays if it holds the main element, most
 of the articles' or most of the page's text: then it is a wrapper. Lengths are
-summed over sliding windows of WINDOW lines; the text starts where the sum
-surges above THRESHOLD and ends where it dives to nothing; lines between the
-first surge and the last dive are kept. Where a page marks its article, the
-lines outside count nothing and any text inside is a surge, so that short
-paragraphs of an article stay. Several articles without a main element that
-hold less than half of the text mark nothing (they are teasers).
+summed over sliding windows of WINDOW lines; text starts where the sum surges to
+THRESHOLD and ends where it dives to nothing; lines between the two are kept, but
+for short ones behind the last full window. The article element is one weight in
+these sums: its lines count BONUS more, so that short paragraphs stay; lines
+beside it count an OUTSIDE-th, and stay if they carry their part of a window. Several articles without a main
+element that hold less than half of the text are teasers and weigh nothing.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed
 elements end at the article or the end; character references are decoded once;
@@ -25,14 +25,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posekit.llm.common import slices
+from posekit.llm.common import arrow_slices, hold, small_batches
 
 WINDOW = 3
 THRESHOLD = 40
+#: Characters that a line of the article counts more, and the divisor of other lines of such a page.
+BONUS, OUTSIDE = 40, 4
 
 # Element names of HTML.
 RAW = "script style noscript template svg math iframe object canvas textarea select".split()
@@ -54,31 +56,59 @@ BESIDE = re.compile(
     re.I,
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes): kind is text, open or close; raw elements are left out whole."""
-    at = 0
-    while m := TAG.search(html, at):
+    at, never = 0, set()  # ends that do not come any more, so that none is looked for twice
+    last = html.rfind(">")
+    while at <= last and (m := TAG.search(html, at)):
         if m.start() > at:
             yield "text", html[at : m.start()], ""
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
+            if html.startswith("<![CDATA[", m.start()) and "]]>" not in never:
+                end = html.find("]]>", m.start())
+                at = end + 3 if end >= 0 else at
+                never |= set() if end >= 0 else {"]]>"}  # then it is a comment up to its first >
             continue
         if m[1] or m[4]:
             yield "close", name, ""
         elif name in RAW_END and not (m[3] or m[6] or "").endswith("/"):
-            end = RAW_END[name].search(html, at)
+            end = None if name in never else RAW_END[name].search(html, at)
             at = end.end() if end else at
+            never |= set() if end else {name}
         else:
             yield "open", name, m[3] or m[6] or ""
     if at < len(html):
         yield "text", html[at:], ""
 
 
+def ends(seq: list[tuple[str, str, str]]) -> dict[int, int]:
+    """By the number of an opening token, that behind its closing one; unclosed elements are not there."""
+    stacks: dict[str, list[int]] = {}
+    out = {}
+    for k, (kind, name, attributes) in enumerate(seq):
+        if kind == "open" and name not in VOID and not attributes.endswith("/"):
+            stacks.setdefault(name, []).append(k)
+        elif kind == "close" and stacks.get(name):
+            out[stacks[name].pop()] = k + 1
+    return out
+
+
+def next_bodies(seq: list[tuple[str, str, str]]) -> tuple[list[int], list[int]]:
+    """By token: the next opening article, main or body from here on (else the end), and the next opening main."""
+    body, main = [len(seq)], [len(seq)]
+    for k in range(len(seq) - 1, -1, -1):
+        opens = seq[k][0] == "open"
+        body.append(k if opens and seq[k][1] in ("article", "main", "body") else body[-1])
+        main.append(k if opens and seq[k][1] == "main" else main[-1])
+    return body[::-1], main[::-1]
+
+
 def unwanted(name: str, attributes: str) -> bool:
     if name in DROPPED:
         return True
@@ -125,6 +155,7 @@ def held_text(seq: list[tuple[str, str, str]]) -> tuple[list[int], list[int]]:
 def lines(html: str) -> list[tuple[str, int, int]]:
     """(text, length without links, which article: 0 for none, -1 for main) of every block line."""
     seq = list(tokens(html))
+    closed, (body, main_at) = ends(seq), next_bodies(seq)
     held: tuple[list[int], list[int]] | None = None
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
@@ -146,15 +177,8 @@ def lines(html: str) -> list[tuple[str, int, int]]:
             linked += len(name) if link else 0
             continue
         if kind == "open" and name not in VOID and not attributes.endswith("/") and unwanted(name, attributes):
-            depth, k, stop, main = 1, at, None, False
-            while k < len(seq) and depth:
-                if seq[k][1] == name and seq[k][0] != "text":
-                    depth += 1 if seq[k][0] == "open" else -1
-                if seq[k][:2] == ("open", "main"):
-                    main = True
-                if stop is None and seq[k][0] == "open" and seq[k][1] in ("article", "main", "body"):
-                    stop = k
-                k += 1
+            k = closed.get(at - 1, len(seq))
+            depth, stop, main = at - 1 not in closed, body[at] if body[at] < k else None, main_at[at] < k
             wrapper = False
             if name not in DROPPED and (not depth or stop is None):
                 held = held or held_text(seq)
@@ -178,31 +202,38 @@ def lines(html: str) -> list[tuple[str, int, int]]:
         elif name == "a":
             link = 1 if kind == "open" else 0
         elif name == "header" and kind == "open" and not article:
-            depth, k = 1, at
-            while k < len(seq) and depth:
-                depth += {"open": 1, "close": -1}.get(seq[k][0], 0) if seq[k][1] == "header" else 0
-                k += 1
-            at = at if depth else k
+            at = closed.get(at - 1, at)
     end_line()
     return out
 
 
-def main_lines(found: list[tuple[str, int, int]]) -> list[str]:
-    """Lines between the first surge and the last dive of the window sums."""
+def weights(found: list[tuple[str, int, int]]) -> tuple[list[int], list[bool]]:
+    """What each line counts in the window sums, and whether it stands beside the article of its page."""
     articles = {inside for _, _, inside in found if inside}
     marked = bool(articles)
     if len(articles) > 1 and -1 not in articles:
         marked = 2 * sum(n for _, n, inside in found if inside) >= sum(n for _, n, _ in found)
-    length = [(len(t) if inside else 0) if marked else n for t, n, inside in found]
-    least = 1 if marked else THRESHOLD
-    sums = [sum(length[k : k + WINDOW]) for k in range(len(length))]
-    surge = next((k for k, s in enumerate(sums) if s >= least), None)
-    if surge is None:
-        return []
-    while surge < len(length) and not length[surge]:
-        surge += 1  # the window reached text after lines without any
-    dive = max(k for k, n in enumerate(length) if n and (marked or sum(length[max(0, k - WINDOW + 1) : k + 1]) >= least)) + 1
-    return [t for (t, _, inside), n in zip(found[surge:dive], length[surge:dive], strict=True) if inside or not marked]
+    return [n if not marked else n + BONUS if inside else n // OUTSIDE for _, n, inside in found], [marked and not inside for _, _, inside in found]
+
+
+def main_lines(found: list[tuple[str, int, int]]) -> list[str]:
+    """Lines between surges and dives of the window sums, without the ends that carry no window."""
+    weight, beside = weights(found)
+    sums = [sum(weight[k : k + WINDOW]) for k in range(len(weight))]
+    before = [sum(weight[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(weight))]
+    out, k = [], 0
+    while k < len(sums):
+        if sums[k] < THRESHOLD:
+            k += 1
+            continue
+        dive = k
+        while dive < len(sums) and sums[dive]:
+            dive += 1
+        own = [j for j in range(k, dive) if weight[j]]
+        last = max(j for j in own if before[j] >= THRESHOLD)
+        out += [found[j][0] for j in range(own[0], last + 1) if not beside[j] or WINDOW * weight[j] >= THRESHOLD]
+        k = dive
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -211,12 +242,14 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").alias("html"))
     kinds = dict(rows.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches, "html"):
-            got = [main_text(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": got, "n_chars": [len(t) for t in got]}, index=pdf.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pages")
+        for batch in arrow_slices(batches, "html"):
+            got = [main_text(h) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

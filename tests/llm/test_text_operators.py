@@ -110,10 +110,25 @@ def test_line_dedup_against_brute_force(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(k % 6, LONG + "\nown", "keep", 7, 8, [1]) for k in range(12)] + [(None, LONG, "null id", 1, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lines string, n_lines long, n_dropped long, _drops array<int>")
+    got = linededup.dedup_lines(df).orderBy("doc_id").collect()
+    assert linededup.dedup_lines(df).columns == ["doc_id", "text", "lines", "_drops", "n_lines", "n_dropped"]
+    assert [(r["doc_id"], r["text"], r["lines"], r["n_lines"], r["n_dropped"]) for r in got[1:]] == [(k // 2, "own" if k < 10 else LONG + "\nown", "keep", 2, int(k < 10)) for k in range(12)]
+    assert tuple(got[0]) == (None, LONG, "null id", None, 1, 0)
+
+
+@pytest.mark.parametrize("line", [" \tÀÉ Hello\x0b", "ǅ Abc", "Ⓐ ABC Ⅷ", "İI", "ΑΣ Q", "plain", "\x0c\r", "\u00a0A\u00a0", "Straße ẞ"])
+def test_line_keys_lower_only_ascii(spark, line):
+    want = line.strip(" \t\n\x0b\x0c\r").translate({k: k + 32 for k in range(65, 91)})
+    assert spark.createDataFrame([(line,)], "line string").select(linededup.line_key(F.col("line")).alias("k")).first()["k"] == want
+
+
 def test_runs_are_compacted_and_count_alike(spark):
     keys = linededup.line_keys(docs(spark, [LONG, LONG, LONG + "!", LONG] * 3))
     store = linededup.LineRuns(spark, fanout=2)
-    for batch in linededup.batches(keys, 6):
+    for batch in linededup.batches(keys, least=6):
         store.add(batch)
     assert max(map(len, store.levels)) < 2 and len(store.levels) > 1
     got = {(r["owner"]) for r in store.verdicts(3).collect()}
@@ -259,6 +274,22 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_of_repeated_rows_and_null_ids(spark):
+    notice = "prose\nReleased under the MIT License.\nReleased under the MIT License.\nLicensed under CC BY 4.0."
+    rows = [(7, notice), (7, notice), (None, notice), (7, "prose"), (8, None), (9, "")]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, hits string, salt int")
+    got = sorted(((r["doc_id"] or -1, r["line_licences"], r["n_licence_lines"]) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted([(-1, "CC-BY-4.0,MIT", 3), (7, "CC-BY-4.0,MIT", 3), (7, "CC-BY-4.0,MIT", 3), (7, "", 0), (8, "", 0), (9, "", 0)], key=str)
+    own = spark.createDataFrame([("Mine", "do as you like")], "licence string, text string")
+    assert [r["n_licence_lines"] for r in licenses.scan(df.where("doc_id = 7").limit(1), own).collect()] == [0]
+
+
+def test_every_built_in_text_passes_the_word_test(spark):
+    """could_match keeps each line of a text of one line; longer texts are matched whole."""
+    short = [(t,) for _, t in licenses.built_in() if "\n" not in t.strip()]
+    assert short and spark.createDataFrame(short, "t string").where(~licenses.could_match(F.col("t"))).count() == 0
+
+
 def test_full_licences_however_wrapped(spark):
     import textwrap
 
@@ -423,3 +454,42 @@ def test_n_best_of_odd_documents(spark):
     assert got[0]["n_pieces"] == got[1]["n_pieces"] == 0 and all(r["decodes"] for r in got.values())
     full = by_id(nbest.segment(docs(spark, ["hello world", None]), PIECES))
     assert len(full[0]["segmentations"]) == 3 and len(full[1]["segmentations"]) == 1
+
+
+# Line blocks against their definition
+
+
+def brute_main_lines(found):
+    """Window by window, without running state."""
+    marks = {a for _, _, a in found if a}
+    marked = bool(marks) and (len(marks) == 1 or -1 in marks or 2 * sum(n for _, n, a in found if a) >= sum(n for _, n, _ in found))
+    weight = [(n + htmltext.BONUS if a else n // htmltext.OUTSIDE) if marked else n for _, n, a in found]
+    total = lambda k: sum(w for j, w in enumerate(weight) if k <= j < k + htmltext.WINDOW)
+    surges = [k for k in range(len(found)) if total(k) >= htmltext.THRESHOLD]
+    kept = set()
+    for k in surges:
+        if any(j < k and all(total(i) for i in range(j, k)) for j in surges):
+            continue  # inside the text that an earlier surge began
+        dive = next((i for i in range(k, len(found)) if not total(i)), len(found))
+        full = [j for j in range(k, dive) if weight[j] and any(total(i) >= htmltext.THRESHOLD for i in (j - htmltext.WINDOW + 1,))]
+        full += [j for j in range(k, dive) if weight[j] and j < htmltext.WINDOW - 1 and sum(weight[: j + 1]) >= htmltext.THRESHOLD]
+        first = min(j for j in range(k, dive) if weight[j])
+        kept |= {j for j in range(first, max(full) + 1) if found[j][2] or not marked or weight[j] * htmltext.WINDOW >= htmltext.THRESHOLD}
+    return [found[j][0] for j in sorted(kept)]
+
+
+def test_line_blocks_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(3000):
+        marks = rng.choice([[0], [0, 1], [0, 0, -1], [0, 1, 2, 3]])
+        found = [(f"l{k}", rng.choice([0, 0, 0, 3, 12, 20, 45, 200]), rng.choice(marks)) for k in range(rng.randint(0, 18))]
+        assert htmltext.main_lines(found) == brute_main_lines(found)
+
+
+@pytest.mark.parametrize("html", ["<header>x" * 20_000, "<![CDATA[" * 40_000, "<script>x" * 20_000, "<nav>" * 40_000, "<div class=menu>" * 20_000 + "t", "<!" * 50_000, "<p>" * 50_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    start = time.process_time()
+    htmltext.main_text(html)
+    assert time.process_time() - start < 5
