@@ -50,7 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it back (survives lost executors)."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing is computed from it any more."""
+    drop_path(df.sparkSession, df._stored_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact Jaccard join of word-shingle sets in their metric space (distance 1 - J, threshold 0.2).
 
 Sets that share no shingle are at distance 1 from each other, so pivots drawn
-at random say nothing about most documents. Pivots are therefore taken where
+at random say nothing about most documents (the README has figures): windows
+would replicate everything everywhere. Pivots are therefore taken where
 distances below 1 can be: for each shingle of the prefixes (below), the most
 central document that holds it. The steps:
 
@@ -13,14 +14,18 @@ central document that holds it. The steps:
    A shingle in one set only links nothing and is dropped where it is counted.
 3. Each shingle's block gets a pivot; distances of members to their pivots are
    verified on whole texts. Members within the threshold are linked to it.
-   There are no Voronoi regions: a document is in every block of its prefix.
 4. Blocks whose members are not yet in one component are joined again, as a
    collection of their own: there all shingles are counted, which leaves far
-   tighter places in the order. Blocks get pivots anew; then members outside a
-   block's largest component meet the others by the triangle inequality: only
-   if their distances to the pivot differ by at most the threshold can they
-   link. Rings of that width are the join key, and one side is replicated to the
-   neighbouring rings (to all, where a distance was not measured).
+   tighter places in the order. Blocks get pivots anew. A block of more than
+   REGION members gets PIVOTS of them and falls into Voronoi regions: a member is
+   at home with its nearest pivot and replicated to every pivot whose distance is
+   within the window of twice the threshold, so that two members that link meet
+   where one is at home. Regions still too large are cut again (DEPTH times).
+   Inside a region, members outside its largest component meet the others by the
+   triangle inequality: only if their distances to the pivot differ by at most
+   the threshold can they link. Rings of that width are the join key, and one side
+   is replicated to the neighbouring rings (to all, where a distance was not
+   measured).
 5. Components of all links are found by star contraction.
 
 Links found are exact (verified on whole texts, up to 64-bit hash collisions
@@ -43,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posekit.llm.common import arrow_slices, hashes, hold, slices, small_batches, stored
+from posekit.llm.common import arrow_slices, forget, hashes, hold, slices, small_batches, stored
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -53,6 +58,10 @@ SHARE = 0.35
 #: A shingle in more than this part of the documents is very frequent; at most (mean set size) / HOT of them exist.
 HOT = 0.005
 SALTS = 64
+#: Distance within which documents link.
+WIDTH = 1 - PERCENT / 100
+#: Larger regions are cut into Voronoi regions of so many pivots, so many times.
+REGION, PIVOTS, DEPTH = 256, 8, 3
 #: Rounds of star contraction, which needs about the logarithm of the largest component's size.
 MAX_ROUNDS = 60
 #: Frequent shingles are looked for in pieces of so many documents or shingles.
@@ -300,7 +309,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 out.append((x, y, 1.0 - both / union if union else 0.0, 100 * both >= PERCENT * union))
             yield pd.DataFrame(out, columns=["x", "y", "d", "linked"])
 
-    return stored(both.select("x", "y", "tx", "ty").mapInPandas(run, "x long, y long, d double, linked boolean"), "verified")
+    out = stored(both.select("x", "y", "tx", "ty").mapInPandas(run, "x long, y long, d double, linked boolean"), "verified")
+    forget(texts)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,7 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small_star = large.join(low, "a")
-        e = stored(small_star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        held, e = e, stored(small_star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        forget(held)
         now = e.agg(F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
@@ -365,21 +377,47 @@ def links(docs: DataFrame, reps: DataFrame, hot: dict[int, int], n_docs: int) ->
     found = stored(found.union(star.where("linked").select("x", "y")), "links")
     d = star.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
     rows = blocks.join(d, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-    rest = ring_pairs(stored(mixed_blocks(rows, components(found)), "rows"))
-    return found.union(verified(rest, again).where("linked").select("x", "y"))
+    rows = stored(mixed_blocks(rows.select("key", "doc", "n", "i", "lone", "d", F.lit(True).alias("home")), components(found)), "rows")
+    for _ in range(DEPTH):
+        large = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > REGION).select("key")
+        if large.isEmpty():
+            break
+        cut, found = regions(stored(rows.join(large, "key", "left_semi"), "large"), again, found)
+        rows = stored(rows.join(large, "key", "left_anti").unionByName(cut), "regions")
+    return found.union(verified(ring_pairs(rows), again).where("linked").select("x", "y"))
+
+
+def regions(rows: DataFrame, docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Voronoi regions of the blocks, as rows of blocks again, and the links found with those to their pivots.
+
+    Pivots are the most central members of a block's largest components. All
+    members are measured against all pivots of their block.
+    """
+    central = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct("lone", "doc")).alias("p"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), "comp"))
+    pivots = stored(central.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("p.doc").alias("pivot")), "pivots")
+    members = rows.drop("d", "home", "comp", "largest").join(pivots, "key")
+    measured = verified(members.where("doc <> pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y")).distinct(), docs)
+    found = stored(found.union(measured.where("linked").select("x", "y")), "links")
+    d = measured.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
+    members = members.join(d, ["doc", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))  # a pivot itself
+    nearest = F.min(F.struct("d", "pivot")).over(Window.partitionBy("key", "doc"))
+    near = members.withColumn("nearest", nearest).where(F.col("d") - F.col("nearest.d") <= 2 * WIDTH + 1e-9)
+    cut = near.select(F.xxhash64("key", "pivot").alias("key"), "doc", "n", "i", "lone", "d", (F.col("pivot") == F.col("nearest.pivot")).alias("home"))
+    return mixed_blocks(cut, components(found)), found
 
 
 def ring_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of a block in different components and in one window of distance to its pivot; one side is outside the largest component."""
-    width = 1 - PERCENT / 100
-    ring = F.when(F.col("d").isNull(), F.lit(-9)).otherwise(F.floor(F.col("d") / width).cast("int"))
-    x = rows.where(F.col("comp") != F.col("largest")).select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("comp").alias("cx"), F.col("d").alias("dx"), ring.alias("ring"))
+    """Pairs of a region in different components and in one window of distance to its pivot; one is at home there, one is outside the largest component."""
+    ring = F.when(F.col("d").isNull(), F.lit(-9)).otherwise(F.floor(F.col("d") / WIDTH).cast("int"))
+    x = rows.where(F.col("comp") != F.col("largest")).select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("comp").alias("cx"), F.col("d").alias("dx"), F.col("home").alias("hx"), ring.alias("ring"))
     all_rings = F.array(*[F.lit(k) for k in [-9, *range(6)]])
     near = F.when(ring == -9, all_rings).otherwise(F.array(F.lit(-9), ring - 1, ring, ring + 1))
-    y = rows.select("key", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("comp").alias("cy"), (F.col("comp") == F.col("largest")).alias("big"), F.col("d").alias("dy"), F.explode(near).alias("ring"))
-    window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= width + 1e-9, F.lit(True))
+    y = rows.select("key", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("comp").alias("cy"), (F.col("comp") == F.col("largest")).alias("big"), F.col("d").alias("dy"), F.col("home").alias("hy"), F.explode(near).alias("ring"))
+    window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= WIDTH + 1e-9, F.lit(True))
     once = F.col("big") | (F.col("x") < F.col("y"))
-    pairs = x.join(y, [x["key"] == y["key"], x["ring"] == y["ring"], x["cx"] != y["cy"], once, window, may_link(x["nx"], x["ix"], y["ny"], y["iy"])])
+    home = F.col("hx") | F.col("hy")
+    pairs = x.join(y, [x["key"] == y["key"], x["ring"] == y["ring"], x["cx"] != y["cy"], once, window, home, may_link(x["nx"], x["ix"], y["ny"], y["iy"])])
     return pairs.select("x", "y").distinct()
 
 
