@@ -24,9 +24,14 @@ def statistic_of(name: str | Callable[[Column], Column]) -> Callable[[Column], C
     return STATISTICS[name]
 
 
+def draw_text(seed: int, *parts: str | Column) -> Column:
+    """32 random bits as eight hexadecimal digits, which sort as their number does."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 8)
+
+
 def draw(seed: int, *parts: str | Column) -> Column:
     """32 random bits as a long."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+    return F.conv(draw_text(seed, *parts), 16, 10).cast("long")
 
 
 def repeated(df: DataFrame, n: int) -> DataFrame:
@@ -54,7 +59,10 @@ def bootstrap_ci(df: DataFrame, keys: list[str], unit: str, value: str, n: int =
 
 
 def bootstrap_band(matrix: DataFrame, subject: str, bin_: str, value: str, n: int = 1000, ci: float = 95.0, seed: int = 0) -> DataFrame:
-    """(bin, lo, hi) of the mean over resampled subjects; a resample takes whole subjects, gaps are left out."""
+    """(bin, lo, hi) of the mean over resampled subjects; a resample takes whole subjects, gaps are left out.
+
+    Subjects are numbered in one task: one short row each.
+    """
     matrix = matrix.where(F.col(value).isNotNull())
     subjects = matrix.select(subject).distinct()
     w = Window.partitionBy(F.lit(0)).orderBy(subject)  # one row a subject
@@ -80,7 +88,7 @@ def permutation_test(df: DataFrame, keys: list[str], unit: str, value: str, arm:
     both = seen.where("n_a > 0 AND n_b > 0")
     test = [F.col(k).cast("string") for k in keys]
     rows = repeated(df.join(both.select(*keys, "n_a"), keys) if keys else df.join(F.broadcast(both.select("n_a"))), n)
-    rank = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(draw(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string")), unit))
+    rank = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(draw_text(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string")), unit))
     first = rows.withColumn("_first", rank <= F.col("n_a"))
     value_of = lambda flag: stat(F.when(flag, F.col("_v")))
     perm = first.groupBy(*keys, "rep").agg((value_of(F.col("_first")) - value_of(~F.col("_first"))).alias("_d"))
@@ -104,7 +112,10 @@ def paired_test(df: DataFrame, keys: list[str], unit: str, x: str, y: str, n: in
 
 
 def bh_adjust(df: DataFrame, p: str = "p", out: str = "p_adj", over: list[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg: p * m / rank, monotone, at most 1; nulls pass through. One row a test."""
+    """Benjamini-Hochberg: p * m / rank, monotone, at most 1; nulls pass through.
+
+    One row a test: without `over`, all tests (groups x bins) are ranked in one task.
+    """
     part = [*over, F.col(p).isNull()]
     up = Window.partitionBy(*part).orderBy(p)
     m = F.count(p).over(Window.partitionBy(*part))
