@@ -70,10 +70,10 @@ def p5(emb):
     return J.behaviour_map(wide.select("vec_id", "label", *cols), cols, 12, "label")
 
 
-@query("p6_fly_recording", "frames", f"SELECT f.recording, f.track, f.frame, CASE WHEN f.frame > 10 AND f.frame <= 30 THEN 'on' ELSE 'off' END AS light, v.speed, sum(v.speed) OVER (PARTITION BY f.recording, f.track ORDER BY f.frame) AS cumulated, f.grp AS genotype, 'female' AS sex, '3' AS age FROM frames f LEFT JOIN ({SG_SPEED}) v USING (recording, track, frame)", "speed cumulated")
+@query("p6_fly_recording", "frames", f"SELECT f.recording, f.track, f.frame, CASE WHEN f.frame > 10 AND f.frame <= 30 THEN 'on' ELSE 'off' END AS light, v.speed, round(sum(v.speed) OVER (PARTITION BY f.recording, f.track ORDER BY f.frame), 6) AS cumulated, f.grp AS genotype, 'female' AS sex, 3 AS age FROM frames f LEFT JOIN ({SG_SPEED}) v USING (recording, track, frame)", "speed cumulated")
 def p6(frames):
     named = frames.withColumn("folder", F.concat("grp", F.lit("_f_3d")))
-    return J.fly_recording(named, "folder", [("off", 10), ("on", 20)], 80.0).select("recording", "track", "frame", "light", "speed", "cumulated", "metadata.genotype", "metadata.sex", "metadata.age")
+    return J.fly_recording(named, "folder", [("off", 10), ("on", 20)], 80.0).select("recording", "track", "frame", "light", "speed", F.round("cumulated", 6).alias("cumulated"), "metadata.genotype", "metadata.sex", "metadata.age")
 
 
 @query("p7_name_harmonise", "names", "SELECT id, plain, row_number() OVER (PARTITION BY plain ORDER BY id) AS rank FROM (SELECT id, replace(replace(replace(coalesce(CASE name WHEN 'blue bolt (Brand#4)' THEN 'BB4' END, CASE WHEN name LIKE '%(Brand#4)' THEN 'B4' END, CASE WHEN name LIKE 'small ring (%' THEN 'SR' END, CASE WHEN lower(name) = 'hot gear (brand#3)' THEN 'HG3' END, name), '(', ''), ')', ''), ' ', '-') AS plain FROM names)")
