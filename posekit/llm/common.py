@@ -84,12 +84,17 @@ def slices(batches: Iterator[pd.DataFrame], column: str, max_chars: int = 4_000_
             stop = max(start + 1, int(size.searchsorted(done + max_chars, side="right")))
             yield pdf.iloc[start:stop]
             start = stop
+    give_back()
 
 
 #: Odd numbers for polynomial hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+#: Bytes hashed at a time.
+HASH_BYTES = 1 << 18
+
+
 def hashes(data: np.ndarray, offsets: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """64-bit hash of each piece (not empty) of the bytes between offsets: a polynomial in the position within the piece, mixed."""
     size = np.diff(offsets)
@@ -98,10 +103,15 @@ def hashes(data: np.ndarray, offsets: np.ndarray, base: int = BASES[0]) -> np.nd
     powers = np.full(int(size.max()), base, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    at = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], offsets[:-1])
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
+    out, a = np.empty(len(size), np.uint64), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + HASH_BYTES, side="right")) - 1)
+        first = offsets[a:b] - offsets[a]
+        at = np.arange(offsets[b] - offsets[a]) - np.repeat(first, size[a:b])
+        out[a:b] = np.add.reduceat((data[offsets[a] : offsets[b]].astype(np.uint64) + np.uint64(1)) * powers[at], first)
+        a = b
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    return out ^ (out >> np.uint64(29))
 
 
 _HELD: dict[str, Callable[[], object]] = {}
@@ -117,11 +127,16 @@ def hold(name: str, release: Callable[[], object] = lambda: None) -> None:
         while _HELD:
             _HELD.popitem()[1]()
         _HELD[name] = release
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; a worker may idle while the JVM works."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -134,6 +149,7 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             stop = max(start + 1, int(size.searchsorted(done + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def strip_spaces(c):

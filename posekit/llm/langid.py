@@ -45,6 +45,8 @@ MAX_WORD = 32
 LEAST = 1e-250
 #: Distinct words whose scores a worker keeps (about 200 bytes each).
 MAX_KEPT = 250_000
+#: Words whose lattices are built together.
+BATCH_WORDS = 1_000
 _SCORES: dict[str, WordScores] = {}
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -197,8 +199,8 @@ def train(docs: DataFrame, path: str, per_language: int = TRAIN_DOCS, rounds: in
             for pdf in batches:
                 for lang, part in pdf.groupby("lang"):
                     k = languages.index(lang)
-                    for a in range(0, len(part), 4000):
-                        some = part.iloc[a : a + 4000]
+                    for a in range(0, len(part), BATCH_WORDS):
+                        some = part.iloc[a : a + BATCH_WORDS]
                         total[k] += expected_counts(vocab, some["word"].tolist(), some["n"].to_numpy(float), model[:, k])
             k, i = np.nonzero(total)
             yield pd.DataFrame({"k": k, "i": i, "n": total[k, i]})
@@ -226,8 +228,8 @@ class WordScores:
         if new:
             new.sort(key=len)
             parts = [self.table]
-            for a in range(0, len(new), 4000):
-                some = new[a : a + 4000]
+            for a in range(0, len(new), BATCH_WORDS):
+                some = new[a : a + BATCH_WORDS]
                 parts.append(word_logs(self.vocab, some, self.prob))
             self.table = np.concatenate(parts)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from posekit.llm.common import BASES, hashes, hold
 
 #: Chunks kept at most (about 40 bytes each); what is over it is forgotten, which bounds memory and not results.
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 600_000
 #: Punctuation before which a text is cut where a letter of the first Unicode blocks precedes.
 TAIL = b".,#*%&$!?;:|"
 #: In two bytes: the signs of times and division, and the dotted capital I, whose lower case ends in a mark.
