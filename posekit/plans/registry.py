@@ -1,8 +1,8 @@
 """Registered queries and their DuckDB equivalents.
 
 A query is registered with the views it reads and the double columns that both
-sides round to nine decimals. Modules of queries are imported at the end, so
-importing this one fills QUERIES and ORACLES.
+sides round to nine decimals. The package imports all modules of queries, which
+fills QUERIES and ORACLES.
 """
 
 from __future__ import annotations
@@ -36,24 +36,3 @@ def query(name: str, reads: str, sql: str | None = None, doubles: str = ""):
         return f
 
     return add
-
-
-def load_all() -> None:
-    from posekit.plans import (  # noqa: F401
-        queries_aggregates,
-        queries_events,
-        queries_filters,
-        queries_joins,
-        queries_learn,
-        queries_names,
-        queries_pipelines,
-        queries_scalars,
-        queries_sources,
-        queries_stats,
-        queries_stim,
-        queries_tracks,
-        queries_windows,
-    )
-
-
-load_all()
