@@ -43,7 +43,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that texts reach Python workers in: by bytes, as one text may be long (a setting of the session)."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def lower_ascii(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def slices(batches: Iterator[pd.DataFrame], column: str, max_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pd.DataFrame], column: str, max_chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches so that one piece holds about max_chars of text (one row at least)."""
     for pdf in batches:
         size = pdf[column].str.len().fillna(0).to_numpy().cumsum() if len(pdf) else []
@@ -139,7 +139,7 @@ def give_back() -> None:
         trim(0)
 
 
-def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about max_bytes of text (one row at least)."""
     for batch in batches:
         size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()

@@ -65,7 +65,9 @@ REGION, PIVOTS, DEPTH = 256, 8, 3
 #: Rounds of star contraction, which needs about the logarithm of the largest component's size.
 MAX_ROUNDS = 60
 #: Frequent shingles are looked for in pieces of so many documents or shingles.
-PIECE_DOCS, PIECE_SHINGLES = 5_000, 2_000_000
+PIECE_DOCS, PIECE_SHINGLES = 5_000, 1_000_000
+#: Entries of the prefixes are dealt to buckets in pieces of so many.
+PIECE_ENTRIES = 700_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _CLASS1, _CLASS2 = 1 << 40, 1 << 41
@@ -195,11 +197,28 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int, share: fl
     shared_hot = spark.sparkContext.broadcast((hot_keys, np.array([hot[int(k)] for k in hot_keys], np.int64)))
     schema = "bucket int, docs binary, places binary, keys binary"
 
+    def packed_rows(keys: list[np.ndarray], docs_of: list[np.ndarray], used: list[np.ndarray], hot_rows: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+        """One row a bucket, and one for each document with hot shingles in its prefix."""
+        rows = []
+        if keys:
+            key, doc, u = np.concatenate(keys), np.concatenate(docs_of), np.concatenate(used)
+            bucket = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            key, doc, u, bucket = key[order], doc[order], u[order], bucket[order]
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 30))
+            packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rows.append((int(bucket[a]), small(doc[a:b]), small(u[a:b]), packed[a:b].tobytes()))
+        for d, u, rest in hot_rows:
+            packed = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            rows.append((-1 - d % SALTS, small(np.full(len(rest), d, np.int64)), small(np.full(len(rest), u, np.int64)), packed.tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "docs", "places", "keys"])
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold("shingles")
         hot_keys, hot_n = shared_hot.value
-        for pdf in slices(batches, "text", 8_000_000):
-            keys, docs_of, used, hot_rows = [], [], [], []
+        keys, docs_of, used, hot_rows, held = [], [], [], [], 0
+        for pdf in slices(batches, "text"):
             for d, s in zip(pdf["doc_id"].astype("int64"), each_set(pdf["text"].tolist()), strict=True):
                 if not len(s):
                     continue
@@ -218,20 +237,11 @@ def shared_shingles(docs: DataFrame, hot: dict[int, int], n_docs: int, share: fl
                 keys.append(take)
                 docs_of.append(np.full(len(take), d, np.int64))
                 used.append(np.full(len(take), u, np.int64))
-            rows = []
-            if keys:
-                key, doc, u = np.concatenate(keys), np.concatenate(docs_of), np.concatenate(used)
-                bucket = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                key, doc, u, bucket = key[order], doc[order], u[order], bucket[order]
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 30))
-                packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    rows.append((int(bucket[a]), small(doc[a:b]), small(u[a:b]), packed[a:b].tobytes()))
-            for d, u, rest in hot_rows:
-                packed = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((-1 - d % SALTS, small(np.full(len(rest), d, np.int64)), small(np.full(len(rest), u, np.int64)), packed.tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "docs", "places", "keys"])
+                held += len(take)
+            if held >= PIECE_ENTRIES:
+                yield packed_rows(keys, docs_of, used, hot_rows)
+                keys, docs_of, used, hot_rows, held = [], [], [], [], 0
+        yield packed_rows(keys, docs_of, used, hot_rows)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         hot_keys, hot_n = shared_hot.value

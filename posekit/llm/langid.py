@@ -45,6 +45,8 @@ MAX_WORD = 32
 LEAST = 1e-250
 #: Distinct words whose scores a worker keeps (about 200 bytes each).
 MAX_KEPT = 250_000
+#: Bytes of text whose words are looked up together.
+SLICE = 1_000_000
 #: Words whose lattices are built together.
 BATCH_WORDS = 1_000
 _SCORES: dict[str, WordScores] = {}
@@ -269,7 +271,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_slices(batches, "text"):
+        for batch in arrow_slices(batches, "text", SLICE):
             got = predicted(batch.column("text").to_pylist(), name, languages, shared.value, path)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -282,7 +284,7 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path:
     shared, name = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_slices(batches, "text"):
+        for batch in arrow_slices(batches, "text", SLICE):
             got = predicted(batch.column("text").to_pylist(), name, languages, shared.value, path)
             yield batch.filter(pa.array([g != "und" and s >= least for g, s in got], pa.bool_()))
 
