@@ -114,6 +114,19 @@ def hashes(data: np.ndarray, offsets: np.ndarray, base: int = BASES[0]) -> np.nd
     return out ^ (out >> np.uint64(29))
 
 
+def word_table(data: list[bytes], letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where those of each text begin (and end).
+
+    letters: which of the 256 bytes make up words; by default all but the six white spaces.
+    """
+    buf = np.frombuffer(b"\n".join([b"", *data, b""]), np.uint8)
+    space = ~letters[buf] if letters is not None else (buf == 32) | ((buf >= 9) & (buf <= 13))
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    size = np.flatnonzero(~space[:-1] & space[1:]) + 1 - start
+    begin = np.cumsum([1, *[len(d) + 1 for d in data]])
+    return hashes(buf[~space], np.append(0, np.cumsum(size))), np.searchsorted(start, begin)
+
+
 _HELD: dict[str, Callable[[], object]] = {}
 
 

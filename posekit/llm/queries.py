@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality
+from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality, runs
 from posekit.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.detect(table(spark, sf_dir, "documents"), runs.with_tails)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_word_runs": op11_word_runs,
 }
 
 OP3_SQL = r"""
