@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality, runs
+from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality, ranked, runs
 from posekit.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.detect(table(spark, sf_dir, "documents"), runs.with_tails)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
     "op11_word_runs": op11_word_runs,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 OP3_SQL = r"""
@@ -152,4 +157,19 @@ SELECT whole.doc_id, whole.digest, licence AS whole_licence, coalesce(line_licen
 FROM whole LEFT JOIN known USING (digest) LEFT JOIN byline USING (doc_id)
 """
 
-ORACLES = {"op4_license_scan": OP4_SQL, "op3_line_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
+TERMS_SQL = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES = {"op12_ranked_search": OP12_SQL, "op4_license_scan": OP4_SQL, "op3_line_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
