@@ -60,6 +60,24 @@ def forget(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._stored_at)
 
 
+class Scratch:
+    """Tables written on the way to a result; all are deleted at the end of the with block."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(stored(df, name))
+        return self.held[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in self.held:
+            forget(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

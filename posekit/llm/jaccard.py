@@ -73,8 +73,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the sorted distinct 64-bit hashes of its five-word shingles (A-Z lower-cased): all in one array, and how many each has."""
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles of so many words (A-Z lower-cased): all in one array, and how many each has."""
     data = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
     buf = np.frombuffer(b"\n".join([b"", *data, b""]), np.uint8)
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
@@ -84,17 +84,17 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum([1, *[len(d) + 1 for d in data]])
     bounds = np.searchsorted(start, begin)  # words before each text
     n = np.diff(bounds)
-    raw = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
+    raw = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     first = np.cumsum(raw) - raw
     flat = np.empty(int(raw.sum()), np.uint64)
-    if len(h) >= WORDS:
-        windows = h[: len(h) - WORDS + 1].copy()
-        for k in range(1, WORDS):
-            windows = windows * _M + h[k : len(h) - WORDS + 1 + k]
+    if len(h) >= words:
+        windows = h[: len(h) - words + 1].copy()
+        for k in range(1, words):
+            windows = windows * _M + h[k : len(h) - words + 1 + k]
         doc = np.repeat(np.arange(len(n)), n)
-        within = doc[: len(windows)] == doc[WORDS - 1 :]
-        flat[np.repeat(n >= WORDS, raw)] = mixed(windows[within])
-    for k in np.flatnonzero((n > 0) & (n < WORDS)).tolist():
+        within = doc[: len(windows)] == doc[words - 1 :]
+        flat[np.repeat(n >= words, raw)] = mixed(windows[within])
+    for k in np.flatnonzero((n > 0) & (n < words)).tolist():
         flat[first[k]] = mixed(np.array([hash_tuple(h[bounds[k] : bounds[k + 1]])], np.uint64))[0]
     for a, b in zip(first.tolist(), (first + raw).tolist(), strict=True):
         flat[a:b].sort()

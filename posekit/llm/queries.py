@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality, ranked, runs
+from posekit.llm import htmltext, huffman, jaccard, langid, licenses, linededup, multiindex, nbest, packing, quality, ranked, runs, sketches
 from posekit.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_sketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_word_runs": op11_word_runs,
     "op12_ranked_search": op12_ranked_search,
+    "op13_sketch_duplicates": op13_sketch_duplicates,
 }
 
 OP3_SQL = r"""
