@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posekit.functions import windows as W
+from posekit.operators.ranks import quantiles
 
 
 def not_null(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +62,7 @@ def mean_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def ranked_medians(df: DataFrame, group: str, value: str) -> DataFrame:
     """Groups by falling median of positive values."""
-    out = df.where(F.col(value) > 0).groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    out = quantiles(df.where(F.col(value) > 0), [group], value, [0.5]).select(group, F.col("q")[0].alias("median"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("median"), group)))
 
 
@@ -110,10 +111,10 @@ def constant_metadata(df: DataFrame, group: str, columns: list[str]) -> DataFram
 
 def histogram(df: DataFrame, group: str, value: str) -> DataFrame:
     """Counts in Freedman-Diaconis bins of each group, the last bin closed; no spread means one bin."""
-    stat = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    stat = quantiles(df, [group], value, [0.0, 0.25, 0.75, 1.0]).select(group, "n", F.slice("q", 2, 2).alias("q"), F.col("q")[0].alias("lo"), F.col("q")[3].alias("hi"))
     h = 2 * (F.col("q")[1] - F.col("q")[0]) / F.cbrt("n")
     stat = stat.withColumn("bins", F.greatest(F.lit(1), F.coalesce(F.ceil(F.try_divide(F.col("hi") - F.col("lo"), h)), F.lit(1))).cast("int"))
-    rows = df.where(F.col(value).isNotNull()).join(F.broadcast(stat), group)  # one row a category
+    rows = df.where(F.col(value).isNotNull()).join(stat, group)
     at = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")) * F.col("bins")), F.lit(0))
     return rows.withColumn("bin", F.least(at, F.col("bins") - 1).cast("int")).groupBy(group, "bin").agg(F.count("*").alias("count"))
 
@@ -129,17 +130,16 @@ def joint_counts(df: DataFrame, x: str, y: str, bins: tuple[int, int]) -> DataFr
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers inside 1.5 IQR, 0.95 quantile, extremes."""
-    p = [0.25, 0.5, 0.75, 0.95]
-    q = df.groupBy(group).agg(F.percentile(value, F.array(*[F.lit(x) for x in p])).alias("q"), F.min(value).alias("min"), F.max(value).alias("max"))
-    q = q.select(group, *[F.col("q")[k].alias(n) for k, n in enumerate(["q1", "median", "q3", "q95"])], "min", "max")
+    names = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "q95": 0.95, "max": 1.0}
+    q = quantiles(df, [group], value, list(names.values())).select(group, *[F.col("q")[k].alias(n) for k, n in enumerate(names)])
     iqr = F.col("q3") - F.col("q1")
-    inside = df.join(F.broadcast(q), group).where(F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr))
+    inside = df.join(q, group).where(F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr))
     return q.join(inside.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high")), group)
 
 
 def control_band(df: DataFrame, value: str, control: str) -> DataFrame:
     """Quartile band of the control rows."""
-    return df.where(F.col(control)).agg(F.percentile(value, F.lit(0.25)).alias("lo"), F.percentile(value, F.lit(0.75)).alias("hi"))
+    return quantiles(df.where(F.col(control)), [], value, [0.25, 0.75]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def file_audit(files: DataFrame, folder: str, processed: Column, match: Column) -> DataFrame:

@@ -72,12 +72,19 @@ def track_pairs(centroids: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where(F.col("ra") > F.col("rb"))
 
 
-def segments(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Both ends of every skeleton edge in a frame, if both were seen, and its length."""
+def segments(points: DataFrame, edges: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """Both ends of every skeleton edge in a frame, if both were seen, and its length.
+
+    A frame's nodes meet in one aggregation; the edges are laid out from its row, without a join.
+    """
+    nodes = list(dict.fromkeys(n for e in edges for n in e))
     seen = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    end = lambda k: seen.select(*keys, F.col("node").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}"))
-    out = end("src").join(F.broadcast(edges), "src").join(end("dst"), [*keys, "dst"])  # an edge list is one skeleton
-    return out.withColumn("length", F.hypot(F.col("x_dst") - F.col("x_src"), F.col("y_dst") - F.col("y_src")))
+    wide = seen.groupBy(*keys).agg(*[F.max(F.when(F.col("node") == n, F.struct("x", "y"))).alias(f"_{k}") for k, n in enumerate(nodes)])
+    at = {n: F.col(f"_{k}") for k, n in enumerate(nodes)}
+    ends = F.array(*[F.when(at[a].isNotNull() & at[b].isNotNull(), F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), at[a].alias("p"), at[b].alias("q"))) for a, b in edges])
+    rows = wide.select(*keys, F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e"))
+    rows = rows.select(*keys, "e.src", "e.dst", F.col("e.p.x").alias("x_src"), F.col("e.p.y").alias("y_src"), F.col("e.q.x").alias("x_dst"), F.col("e.q.y").alias("y_dst"))
+    return rows.withColumn("length", F.hypot(F.col("x_dst") - F.col("x_src"), F.col("y_dst") - F.col("y_src")))
 
 
 def in_cluster(events: DataFrame, clustered: DataFrame, keys: list[str], cluster: int) -> DataFrame:
@@ -107,7 +114,7 @@ def with_pooled_control(units: DataFrame, group: str, is_control: str) -> DataFr
     """Rows of every experimental group, and the control's rows once for each of them, as (test, arm)."""
     cases = units.where(~F.col(is_control)).withColumn("test", F.col(group)).withColumn("arm", F.lit("a"))
     tests = cases.select("test").distinct()
-    controls = units.where(F.col(is_control)).join(F.broadcast(tests)).withColumn("arm", F.lit("b"))  # groups are few
+    controls = units.where(F.col(is_control)).crossJoin(tests).withColumn("arm", F.lit("b"))  # the product is the result: controls x tests
     return cases.unionByName(controls)
 
 

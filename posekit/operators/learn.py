@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -47,17 +49,112 @@ def clusters(df: DataFrame, features: str, k: int = 20, seed: int = 0, out: str
     return model.transform(rows).drop("_f")
 
 
-def silhouette(df: DataFrame, features: str, cluster: str) -> float:
-    """Mean silhouette on squared Euclidean distances."""
-    rows = df.withColumn("_f", array_to_vector(features))
-    return float(ClusteringEvaluator(featuresCol="_f", predictionCol=cluster).evaluate(rows))
+#: Rows that are scored against all rows; of more rows, so many are drawn by a hash of their key.
+SCORED = 10_000
+#: Scored rows of a tile, and distance sums (scored rows x clusters) that a task may hold.
+TILE_ROWS, MOST_SUMS = 1024, 20_000_000
+
+
+def distance_sums(df: DataFrame, features: str, cluster: str, points: np.ndarray, names: list) -> DataFrame:
+    """(_i, _c, _total): the sum of Euclidean distances from each given point to the rows of each cluster.
+
+    Points come in tiles against the batches of rows as they are read; only the
+    sums of a task leave it. names: the clusters, _c is the position there.
+    """
+    at = {n: k for k, n in enumerate(names)}
+    shared = df.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        total = np.zeros((len(p), len(at)))
+        for pdf in batches:
+            x = np.array(pdf[features].tolist(), float).reshape(len(pdf), p.shape[1])
+            member = np.zeros((len(pdf), len(at)))
+            member[np.arange(len(pdf)), [at[c] for c in pdf[cluster]]] = 1.0
+            for a in range(0, len(p), TILE_ROWS):
+                square = np.zeros((len(p[a : a + TILE_ROWS]), len(x)))
+                for d in range(p.shape[1]):
+                    square += (p[a : a + TILE_ROWS, d, None] - x[None, :, d]) ** 2
+                total[a : a + TILE_ROWS] += np.sqrt(square) @ member
+        i, c = np.divmod(np.arange(total.size), max(len(at), 1))
+        yield pd.DataFrame({"_i": i, "_c": c, "_total": total.ravel()})
+
+    rows = df.select(features, cluster).mapInPandas(run, "_i long, _c long, _total double")
+    return rows.groupBy("_i", "_c").agg(F.sum("_total").alias("_total"))
+
+
+def silhouettes(df: DataFrame, key: str, features: str, cluster: str, most: int = SCORED, seed: int = 0) -> DataFrame:
+    """(key, cluster, own, other, silhouette) on Euclidean distances to all rows.
+
+    own: mean distance to the other rows of the row's cluster; other: the least
+    mean distance to another cluster. Exact for every row returned: all rows up
+    to `most`, else `most` of them. A cluster of one row has silhouette 0. Rows
+    without a cluster or features take no part.
+    """
+    rows = df.where(F.col(features).isNotNull() & F.col(cluster).isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy(cluster).count().collect()}  # one row a cluster
+    names = sorted(sizes)
+    if len(names) < 2:
+        raise ValueError("silhouettes need two clusters at least")
+    if len(names) * min(most, sum(sizes.values())) > MOST_SUMS:
+        raise ValueError(f"scored rows x clusters are more than {MOST_SUMS}: score fewer rows")
+    chosen = rows.select(key, cluster, features)
+    if sum(sizes.values()) > most:
+        chosen = chosen.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)
+    held = chosen.collect()  # at most `most` rows
+    sums = distance_sums(rows, features, cluster, np.array([r[2] for r in held], float), names)
+    spark = df.sparkSession
+    kind = dict(df.dtypes)
+    point = spark.createDataFrame([(k, r[0], r[1], names.index(r[1])) for k, r in enumerate(held)], f"_i long, `{key}` {kind[key]}, `{cluster}` {kind[cluster]}, _mine long")
+    size = spark.createDataFrame([(k, sizes[n]) for k, n in enumerate(names)], "_c long, _size long")
+    each = sums.join(size, "_c").join(point, "_i")
+    mine = F.col("_c") == F.col("_mine")
+    out = each.groupBy("_i", key, cluster).agg(
+        F.max(F.when(mine, F.try_divide(F.col("_total"), F.col("_size") - 1))).alias("own"),
+        F.min(F.when(~mine, F.col("_total") / F.col("_size"))).alias("other"),
+    )
+    s = F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0))
+    return out.select(key, cluster, "own", "other", F.when(F.col("own").isNull(), F.lit(0.0)).otherwise(s).alias("silhouette"))
+
+
+def silhouette(df: DataFrame, key: str, features: str, cluster: str, most: int = SCORED) -> float:
+    """Mean silhouette of the scored rows."""
+    return float(silhouettes(df, key, features, cluster, most).agg(F.avg("silhouette")).first()[0])
 
 
-def sweep(df: DataFrame, features: str, ks: list[int], seeds: list[int], best: int = 5) -> DataFrame:
-    """(k, seed, silhouette) of the best settings; one fit a setting, data cached once."""
-    spark, rows = df.sparkSession, df.select(features).persist()
+def sweep(df: DataFrame, key: str, features: str, ks: list[int], seeds: list[int], best: int = 5, most: int = SCORED) -> DataFrame:
+    """(k, seed, silhouette) of the best settings; one fit a setting, data cached once. A fit that leaves one cluster scores null."""
+    spark, rows = df.sparkSession, df.select(key, features).persist()
+
+    def score(k: int, seed: int) -> float | None:
+        labelled = clusters(rows, features, k, seed)
+        return silhouette(labelled, key, features, "cluster", most) if labelled.select("cluster").distinct().count() > 1 else None
+
     try:
-        got = [(k, s, silhouette(clusters(rows, features, k, s), features, "cluster")) for k in ks for s in seeds]
+        got = [(k, s, score(k, s)) for k in ks for s in seeds]
     finally:
         rows.unpersist()
-    return spark.createDataFrame(got, "k int, seed int, silhouette double").orderBy(F.desc("silhouette"), "k", "seed").limit(best)
+    return spark.createDataFrame(got, "k int, seed int, silhouette double").orderBy(F.desc_nulls_last("silhouette"), "k", "seed").limit(best)
+
+
+def fitted_scales(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The first half of a model as a table: (name, mean, std), one row a column; the std of a constant is 1."""
+    m = df.agg(*[F.struct(F.lit(c).alias("name"), F.avg(c).alias("mean"), F.when(F.min(c) == F.max(c), F.lit(1.0)).otherwise(F.stddev_pop(c)).alias("std")).alias(f"_{k}") for k, c in enumerate(columns)])
+    return m.select(F.inline(F.array(*[f"_{k}" for k in range(len(columns))])))
+
+
+def projected(df: DataFrame, columns: list[str], scales: DataFrame, loadings: list[list[float]], out: str = "scores") -> DataFrame:
+    """Scores by a given model: standardised columns times loadings (one list a component), as Column arithmetic."""
+    by = {r["name"]: (r["mean"], r["std"]) for r in scales.collect()}  # one row a column
+    z = [(F.col(c) - F.lit(by[c][0])) / F.lit(by[c][1]) for c in columns]
+    score = lambda w: sum((x * F.lit(float(v)) for x, v in zip(z[1:], w[1:], strict=True)), z[0] * F.lit(float(w[0])))
+    return df.withColumn(out, F.array(*[score(w) for w in loadings]))
+
+
+def assigned(df: DataFrame, features: str, centres: list[list[float]], out: str = "cluster", distance: str | None = None) -> DataFrame:
+    """Rows with their nearest given centre (from 0; ties to the first), and the distance to it if named."""
+    square = lambda c: sum((F.pow(F.col(features)[k] - F.lit(float(v)), F.lit(2)) for k, v in enumerate(c)), F.lit(0.0))
+    near = F.array_min(F.array(*[F.struct(square(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]))
+    df = df.withColumn("_near", F.when(F.col(features).isNotNull(), near))
+    extra = {distance: F.sqrt("_near.d")} if distance else {}
+    return df.withColumns({out: F.col("_near.k")} | extra).drop("_near")

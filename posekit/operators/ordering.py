@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posekit.functions import scalars as S
+from posekit.operators.ranks import quantiles
 
 
 def by_median(df: DataFrame, group: str, sub: str, metric: str) -> DataFrame:
     """Groups ranked by the median of their subgroups' medians, subgroups by their own; ties by name."""
-    m = df.groupBy(group, sub).agg(F.percentile(metric, F.lit(0.5)).alias("m"))
+    m = quantiles(df, [group, sub], metric, [0.5]).select(group, sub, F.col("q")[0].alias("m"))
     g = m.groupBy(group).agg(F.percentile("m", F.lit(0.5)).alias("gm"))
     ranked = g.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gm", group)))  # one row a group
-    out = m.join(F.broadcast(ranked), group)
+    out = m.join(ranked, group)
     return out.select(group, sub, "group_rank", F.row_number().over(Window.partitionBy(group).orderBy("m", sub)).alias("sub_rank"))
 
 

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posekit.operators.ranks import bh_adjust, numbered
+
 STATISTICS: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
 
 
@@ -41,8 +43,7 @@ def repeated(df: DataFrame, n: int) -> DataFrame:
 def bootstrap_reps(df: DataFrame, keys: list[str], unit: str, value: str, n: int, statistic="mean", seed: int = 0) -> DataFrame:
     """(keys, rep, stat): statistic of n resamples of each group's values."""
     df = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(unit)
-    placed = df.select(*keys, F.col(value).alias("_v"), (F.row_number().over(w) - 1).alias("_pos"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    placed = numbered(df.select(*keys, unit, F.col(value).alias("_v")), keys, unit).drop(unit)
     test = [F.col(k).cast("string") for k in keys]
     picks = repeated(placed.select(*keys, F.col("_pos").alias("_slot"), "_n"), n)
     picks = picks.withColumn("_pos", (draw(seed, *test, F.col("rep").cast("string"), F.col("_slot").cast("string")) % F.col("_n")).cast("int"))
@@ -59,20 +60,16 @@ def bootstrap_ci(df: DataFrame, keys: list[str], unit: str, value: str, n: int =
 
 
 def bootstrap_band(matrix: DataFrame, subject: str, bin_: str, value: str, n: int = 1000, ci: float = 95.0, seed: int = 0) -> DataFrame:
-    """(bin, lo, hi) of the mean over resampled subjects; a resample takes whole subjects, gaps are left out.
-
-    Subjects are numbered in one task: one short row each.
-    """
+    """(bin, point, lo, hi) of the mean over resampled subjects; a resample takes whole subjects, gaps are left out."""
     matrix = matrix.where(F.col(value).isNotNull())
-    subjects = matrix.select(subject).distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy(subject)  # one row a subject
-    placed = subjects.withColumns({"_pos": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    placed = numbered(matrix.select(subject).distinct(), [], subject)
     picks = repeated(placed.select(F.col("_pos").alias("_slot"), "_n"), n)
     picks = picks.withColumn("_pos", (draw(seed, F.lit("band"), F.col("rep").cast("string"), F.col("_slot").cast("string")) % F.col("_n")).cast("int"))
     drawn = picks.groupBy("rep", "_pos").agg(F.count("*").alias("_w")).join(placed.select("_pos", subject), "_pos")
     means = drawn.join(matrix, subject).groupBy("rep", bin_).agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("m"))
     tail = (100.0 - ci) / 200.0
-    return means.groupBy(bin_).agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1.0 - tail)).alias("hi"))
+    band = means.groupBy(bin_).agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1.0 - tail)).alias("hi"))
+    return matrix.groupBy(bin_).agg(F.avg(value).alias("point")).join(band, bin_)
 
 
 def permutation_test(df: DataFrame, keys: list[str], unit: str, value: str, arm: str, n: int = 1000, statistic="mean", seed: int = 0, plus_one: bool = True) -> DataFrame:
@@ -111,19 +108,6 @@ def paired_test(df: DataFrame, keys: list[str], unit: str, x: str, y: str, n: in
     return seen.join(reps.groupBy(*keys).agg(p.alias("p")), keys, "left")
 
 
-def bh_adjust(df: DataFrame, p: str = "p", out: str = "p_adj", over: list[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg: p * m / rank, monotone, at most 1; nulls pass through.
-
-    One row a test: without `over`, all tests (groups x bins) are ranked in one task.
-    """
-    part = [*over, F.col(p).isNull()]
-    up = Window.partitionBy(*part).orderBy(p)
-    m = F.count(p).over(Window.partitionBy(*part))
-    df = df.withColumn("_q", F.col(p) * m / F.row_number().over(up))
-    least = F.min("_q").over(Window.partitionBy(*part).orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("_q")
-
-
 def binned_test(df: DataFrame, bin_: str, unit: str, metric: str, group: str, control: str, n: int = 1000, seed: int = 0) -> DataFrame:
     """Per bin: all groups but the control against it; p may be 0, empty sides keep diff 0 and p 1, BH over all bins."""
     missing = [c for c in (bin_, unit, metric, group) if c not in df.columns]

@@ -34,15 +34,14 @@ def track_kinematics(points: DataFrame, nodes: list[str], fps: float, window: in
     return out.withColumns({"time": F.col("frame") / fps, "dt": F.lit(1.0 / fps)})
 
 
-def per_fly_speed(frames: DataFrame, fps: float) -> DataFrame:
-    """How fast each fly moves, forward and backward, by group: the speed of a filled track."""
+def per_fly_speed(points: DataFrame, labels: DataFrame, nodes: list[str], fps: float, window: int, order: int, centroid: list[str], px_per_mm: float | None = None) -> DataFrame:
+    """How fast each fly walks along its body axis, forward and backward, and how fast it turns; with its group.
+
+    labels: recording, track, grp, is_control, one row a track; tracks without labels are groups of their own.
+    """
+    kin = track_kinematics(points, nodes, fps, window, order, centroid, px_per_mm)
     keys = ["recording", "track"]
-    w = Window.partitionBy(*keys).orderBy("frame")
-    f = W.interpolated_columns(frames, {"x": "fx", "y": "fy"}, w)
-    vx, vy = W.gradient(F.col("fx"), w) * fps, W.gradient(F.col("fy"), w) * fps
-    seen = F.col("x").isNotNull() | F.col("y").isNotNull()
-    kin = f.withColumns({"forward_velocity": F.when(seen, vx), "speed": F.when(seen, F.hypot(vx, vy)), "rotational_velocity": F.when(seen, vy)})
-    return stim.per_fly(kin, ["grp", "is_control", "recording", "track"])
+    return stim.per_fly(kin, keys).join(labels.select(*keys, "grp", "is_control"), keys, "left")
 
 
 def directional_velocity(kin: DataFrame, pulses: DataFrame, n: int = 1000) -> dict[str, DataFrame]:

@@ -34,5 +34,5 @@ def w13(frames):
 @query("x24_padded_window", "frames", "SELECT recording, track, greatest(0, min(time) - 2) AS start, least(max(d), max(time) + 2) AS end_ FROM (SELECT *, max(time) OVER (PARTITION BY recording) AS d FROM frames) WHERE event_type = 'view' GROUP BY 1, 2", "start end_")
 def x24(frames):
     length = frames.groupBy("recording").agg(F.max("time").alias("d"))
-    spans = frames.where("event_type = 'view'").groupBy(*KEYS).agg(F.min("time").alias("a"), F.max("time").alias("b")).join(F.broadcast(length), "recording")
+    spans = frames.where("event_type = 'view'").groupBy(*KEYS).agg(F.min("time").alias("a"), F.max("time").alias("b")).join(length, "recording")
     return spans.select(*KEYS, S.padded_window("a", "b", "d").alias("w")).select(*KEYS, "w.start", F.col("w.end").alias("end_"))

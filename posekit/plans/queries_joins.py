@@ -69,10 +69,13 @@ def j8(points):
     return pairs.select("recording", "frame", "a", "b", S.distance("ax", "ay", "bx", "by").alias("d"))
 
 
-@query("j9_segments", "points", "SELECT a.recording, a.track, a.frame, a.node AS src, b.node AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS length FROM points a JOIN points b ON a.recording = b.recording AND a.track = b.track AND a.frame = b.frame AND b.node = CASE a.node WHEN 'head' THEN 'thorax' WHEN 'thorax' THEN 'abdomen' END WHERE a.x IS NOT NULL AND b.x IS NOT NULL", "length")
+NODES_SQL = "(SELECT recording, track, frame, " + ", ".join(f"max(CASE WHEN node = '{n}' THEN {c} END) AS {c}_{n}" for n in ("head", "thorax", "abdomen") for c in "xy") + " FROM points WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3)"
+SEGMENT_SQL = " UNION ALL ".join(f"SELECT recording, track, frame, '{a}' AS src, '{b}' AS dst, sqrt((x_{a} - x_{b}) ** 2 + (y_{a} - y_{b}) ** 2) AS length FROM {NODES_SQL} WHERE x_{a} IS NOT NULL AND x_{b} IS NOT NULL" for a, b in (("head", "thorax"), ("thorax", "abdomen")))
+
+
+@query("j9_segments", "points", SEGMENT_SQL, "length")
 def j9(points):
-    edges = points.sparkSession.createDataFrame([("head", "thorax"), ("thorax", "abdomen")], "src string, dst string")
-    return O.segments(points, edges, KEY).select(*KEY, "src", "dst", "length")
+    return O.segments(points, [("head", "thorax"), ("thorax", "abdomen")], KEY).select(*KEY, "src", "dst", "length")
 
 
 MAP_SQL = "(SELECT 'small ring' AS k, 'SR' AS v UNION ALL SELECT 'Brand#4', 'B4' UNION ALL SELECT 'HOT GEAR (BRAND#3)', 'HG3' UNION ALL SELECT 'blue bolt (Brand#4)', 'BB4')"

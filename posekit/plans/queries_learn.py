@@ -33,21 +33,55 @@ def ml3(emb):
     return learn.clusters(scored(emb), "scores", 12).select("vec_id", "label", "cluster")
 
 
-@query("ml4_silhouette", "embeddings")
+VECTORS = "(SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS f FROM embeddings WHERE label IS NOT NULL)"
+SILHOUETTE = f"""SELECT vec_id, label, own, other, CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END AS silhouette FROM (
+  SELECT vec_id, label, max(CASE WHEN c = label THEN total / nullif(n - 1, 0) END) AS own, min(CASE WHEN c <> label THEN total / n END) AS other FROM (
+    SELECT a.vec_id, a.label, b.label AS c, sum(list_distance(a.f, b.f)) AS total, count(*) AS n FROM {VECTORS} a CROSS JOIN {VECTORS} b GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+def vectors(emb):
+    return emb.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("f"))
+
+
+@query("ml4_silhouette", "embeddings", SILHOUETTE, "own other silhouette")
 def ml4(emb):
-    s = scored(emb)
-    got = learn.silhouette(learn.clusters(s, "scores", 12), "scores", "cluster")
-    return s.agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(got))
+    """Euclidean silhouettes of the given labels, every row against all rows."""
+    return learn.silhouettes(vectors(emb), "vec_id", "f", "label")
 
 
 @query("ml5_sweep", "embeddings")
 def ml5(emb):
-    return learn.sweep(scored(emb), "scores", [4, 8, 12], [0, 1], 5)
+    return learn.sweep(scored(emb), "vec_id", "scores", [4, 8, 12], [0, 1], 5)
 
 
 @query("o7_best_settings", "embeddings")
 def o7(emb):
-    return learn.sweep(scored(emb, 2), "scores", [3, 6], [0], 1)
+    return learn.sweep(scored(emb, 2), "vec_id", "scores", [3, 6], [0], 1)
+
+
+#: A given model: loadings of two components over XY, and centres among the scores.
+LOADINGS = [[0.5, 0.1, -0.4, 0.3, 0.2, -0.6, 0.25, 0.15], [-0.2, 0.45, 0.3, 0.1, -0.5, 0.2, 0.4, -0.35]]
+CENTRES = [[x, y] for x in (-0.8, 0.0, 0.8) for y in (-0.6, 0.6)]
+Z_SQL = "(SELECT vec_id, label, " + ", ".join(f"(v{k} - avg(v{k}) OVER ()) / coalesce(nullif(stddev_pop(v{k}) OVER (), 0), 1) AS z{k}" for k in range(8)) + " FROM (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS v{k}" for k in range(8)) + " FROM embeddings))"
+SCORES_SQL = "(SELECT vec_id, label, " + ", ".join(" + ".join(f"z{k} * ({w})" for k, w in enumerate(row)) + f" AS s{c}" for c, row in enumerate(LOADINGS)) + f" FROM {Z_SQL})"
+ASSIGNED_SQL = f"(SELECT vec_id, label, s0, s1, min_by(c, (d, c)) AS cluster, sqrt(min(d)) AS far FROM (SELECT *, (s0 - x) ** 2 + (s1 - y) ** 2 AS d FROM {SCORES_SQL} CROSS JOIN (VALUES {', '.join(f'({k}, {x}, {y})' for k, (x, y) in enumerate(CENTRES))}) AS t(c, x, y)) GROUP BY 1, 2, 3, 4)"
+
+
+def by_model(emb):
+    """Scores and clusters of all rows by the given model; its scales are fitted on them."""
+    wide = embedded(emb).select("vec_id", "label", *XY)
+    scores = learn.projected(wide, XY, learn.fitted_scales(wide, XY), LOADINGS)
+    return learn.assigned(scores, "scores", CENTRES, distance="far")
+
+
+@query("ml3_assigned", "embeddings", f"SELECT vec_id, label, cluster, far FROM {ASSIGNED_SQL}", "far")
+def ml3b(emb):
+    return by_model(emb).select("vec_id", "label", "cluster", "far")
+
+
+@query("ml6_projected", "embeddings", f"SELECT vec_id, label, s0 AS map_x, s1 AS map_y FROM {SCORES_SQL}", "map_x map_y")
+def ml6b(emb):
+    return by_model(emb).select("vec_id", "label", F.col("scores")[0].alias("map_x"), F.col("scores")[1].alias("map_y"))
 
 
 @query("ml6_behaviour_map", "embeddings")

@@ -8,18 +8,28 @@ from posekit.plans.queries_joins import PATHS, files, name_map
 from posekit.plans.queries_names import folders  # noqa: F401
 from posekit.plans.queries_stats import BINNED, REPS, _bh, _perm  # noqa: F401
 from posekit.plans.queries_tracks import SELECTED, every
-from posekit.plans.queries_windows import OVER, SG_SPEED
+from posekit.plans.queries_windows import OVER, SG_SPEED, SMOOTHED
 from posekit.plans.registry import query
 
-FILLED2 = "(SELECT *, " + ", ".join(f"coalesce({c}, {c}0 + ({c}1 - {c}0) * (frame - i{c}0) / nullif(i{c}1 - i{c}0, 0), {c}0, {c}1) AS f{c}" for c in "xy") + " FROM (SELECT *, " + ", ".join(
-    f"last_value({c} IGNORE NULLS) OVER p AS {c}0, last_value(CASE WHEN {c} IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS i{c}0, first_value({c} IGNORE NULLS) OVER n AS {c}1, first_value(CASE WHEN {c} IS NOT NULL THEN frame END IGNORE NULLS) OVER n AS i{c}1" for c in "xy"
-) + f" FROM frames WINDOW p AS ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS ({OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"
-SLOPE = "80 * CASE WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END"
-SPEED = f"""SELECT grp, is_control, recording, track, count(f) AS n_frames, avg(speed) AS mean_speed, avg(f) AS mean_forward_velocity, avg(CASE WHEN f > 0 THEN f END) AS mean_forward_speed,
+NODES = ["head", "thorax", "abdomen"]
+#: Every node's x and y as a series of its own, smoothed in SQL as W4 is; then one row a frame.
+LIMBS = "(SELECT recording, track || '|' || node || '|' || a AS track, '' AS grp, frame, 0.0 AS time, CASE a WHEN 'x' THEN x ELSE y END AS x FROM bodies CROSS JOIN (SELECT unnest(['x', 'y']) AS a))"
+WIDE = "(SELECT recording, CAST(split_part(track, '|', 1) AS BIGINT) AS track, frame, " + ", ".join(f"max(CASE WHEN track LIKE '%|{n}|{c}' THEN s END) AS {c}_{n}" for n in NODES for c in "xy") + f" FROM ({SMOOTHED.replace('FROM frames', 'FROM ' + LIMBS)}) GROUP BY 1, 2, 3)"
+SLOPE = "80 * CASE WHEN rn = 1 AND rn = n THEN NULL WHEN rn = 1 THEN lead({c}) OVER w - {c} WHEN rn = n THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END"
+AXIS = f"""(SELECT *, row_number() OVER ({OVER}) AS rn, count(*) OVER (PARTITION BY recording, track) AS n, (x_head - x_abdomen) / nullif(sqrt((x_head - x_abdomen) ** 2 + (y_head - y_abdomen) ** 2), 0) AS ux,
+  (y_head - y_abdomen) / nullif(sqrt((x_head - x_abdomen) ** 2 + (y_head - y_abdomen) ** 2), 0) AS uy FROM {WIDE} JOIN (SELECT recording, track, frame, x IS NOT NULL AS seen FROM bodies WHERE node = 'thorax') USING (recording, track, frame))"""
+TURNS = f"(SELECT *, h - lag(h) OVER (PARTITION BY recording, track, h IS NULL ORDER BY frame) AS step FROM (SELECT *, CASE WHEN ux IS NOT NULL THEN atan2(uy, ux) END AS h FROM {AXIS}))"
+UNWRAPPED = f"(SELECT *, CASE WHEN h IS NOT NULL THEN h - 2 * pi() * sum(CASE WHEN step > pi() THEN 1 WHEN step < -pi() THEN -1 ELSE 0 END) OVER (PARTITION BY recording, track, h IS NULL ORDER BY frame) END AS hu FROM {TURNS})"
+SLOPES = f"(SELECT *, {SLOPE.format(c='x_thorax')} AS vx, {SLOPE.format(c='y_thorax')} AS vy, {SLOPE.format(c='hu')} AS vh FROM {UNWRAPPED} WINDOW w AS ({OVER}))"
+KINEMATICS = f"""SELECT recording, track, frame, CASE WHEN seen THEN x_thorax / 26 END AS centroid_x, CASE WHEN seen THEN y_thorax / 26 END AS centroid_y, CASE WHEN seen THEN degrees(h) END AS heading_deg,
+  CASE WHEN seen THEN sqrt(vx ** 2 + vy ** 2) / 26 END AS speed, CASE WHEN seen THEN (vx * ux + vy * uy) / 26 END AS forward_velocity,
+  CASE WHEN seen AND vx * ux + vy * uy IS NOT NULL THEN greatest(-(vx * ux + vy * uy) / 26, 0) END AS backward_speed, CASE WHEN seen THEN (-vx * uy + vy * ux) / 26 END AS lateral_velocity,
+  CASE WHEN seen THEN degrees(vh) END AS rotational_velocity FROM {SLOPES}"""
+SPEED = f"""SELECT k.*, grp, is_control FROM (SELECT recording, track, count(f) AS n_frames, avg(speed) AS mean_speed, avg(f) AS mean_forward_velocity, avg(CASE WHEN f > 0 THEN f END) AS mean_forward_speed,
   avg(CASE WHEN f < 0 THEN f END) AS mean_backward_speed, avg(CASE WHEN f < 0 THEN -f WHEN f >= 0 THEN 0 END) AS mean_backward_speed_rect, count(CASE WHEN f > 0 THEN 1 END) / greatest(count(f), 1) AS frac_forward,
-  count(CASE WHEN f < 0 THEN 1 END) / greatest(count(f), 1) AS frac_backward, avg(abs(r)) AS mean_abs_rotational
-  FROM (SELECT *, CASE WHEN seen THEN vx END AS f, CASE WHEN seen THEN sqrt(vx ** 2 + vy ** 2) END AS speed, CASE WHEN seen THEN vy END AS r FROM (
-    SELECT *, x IS NOT NULL OR y IS NOT NULL AS seen, {SLOPE.format(c='fx')} AS vx, {SLOPE.format(c='fy')} AS vy FROM {FILLED2} WINDOW w AS ({OVER}))) GROUP BY 1, 2, 3, 4"""
+  count(CASE WHEN f < 0 THEN 1 END) / greatest(count(f), 1) AS frac_backward, avg(abs(rotational_velocity)) AS mean_abs_rotational
+  FROM (SELECT *, forward_velocity AS f FROM ({KINEMATICS})) GROUP BY 1, 2) k LEFT JOIN (SELECT DISTINCT recording, track, grp, is_control FROM frames) USING (recording, track)"""
+MOTION = ["centroid_x", "centroid_y", "heading_deg", "speed", "forward_velocity", "backward_speed", "lateral_velocity", "rotational_velocity"]
 FLY = "mean_speed mean_forward_velocity mean_forward_speed mean_backward_speed mean_backward_speed_rect frac_forward frac_backward mean_abs_rotational"
 
 
@@ -38,14 +48,15 @@ def p1b(points):
     return kept.select("recording", "track", "frame", "node")
 
 
-@query("p2_per_fly_speed", "frames", SPEED, FLY)
-def p2(frames):
-    return J.per_fly_speed(frames, 80.0)
+@query("p2_per_fly_speed", "bodies frames", SPEED, FLY, digits=6)
+def p2(bodies, frames):
+    labels = frames.select("recording", "track", "grp", "is_control").distinct()
+    return J.per_fly_speed(bodies, labels, NODES, 80.0, 11, 1, ["thorax"], 26.0)
 
 
-@query("p2_track_kinematics", "points")
-def p2b(points):
-    return J.track_kinematics(points, ["head", "thorax", "abdomen"], 80.0, 11, 1, ["thorax"], 26.0)
+@query("p2_track_kinematics", "bodies", KINEMATICS, " ".join(MOTION), digits=6)
+def p2b(bodies):
+    return J.track_kinematics(bodies, NODES, 80.0, 11, 1, ["thorax"], 26.0).select("recording", "track", "frame", *MOTION)
 
 
 BACKWARD = "(SELECT k.grp AS g, k.is_control, k.track, p.on_index, sum(greatest(-forward_velocity, 0) * dt) AS v FROM kin k JOIN pulses p ON p.seq = 'long' AND k.time >= p.start_s AND k.time < p.end_s WHERE forward_velocity IS NOT NULL GROUP BY ALL)"

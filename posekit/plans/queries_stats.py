@@ -19,8 +19,8 @@ def _boot(keys: str, src: str, value: str, stat: str = "avg", reps: int = REPS)
     ks = [k.strip() for k in keys.split(",")]
     text = ", ".join(f"CAST({k} AS VARCHAR)" for k in ks)
     return f"""SELECT {keys}, rep, {stat}(v) AS stat FROM (
-  SELECT {keys}, rep, ({_draw(text, 'CAST(rep AS VARCHAR)', 'CAST(slot AS VARCHAR)')}) % n AS pos FROM (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY track) - 1 AS slot, count(*) OVER (PARTITION BY {keys}) AS n FROM {src} WHERE {value} IS NOT NULL) CROSS JOIN (SELECT unnest(range(1, {reps + 1})) AS rep))
-  JOIN (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY track) - 1 AS pos FROM {src} WHERE {value} IS NOT NULL) USING ({keys}, pos) GROUP BY {keys}, rep"""
+  SELECT {keys}, rep, ({_draw(text, 'CAST(rep AS VARCHAR)', 'CAST(slot AS VARCHAR)')}) % n AS pos FROM (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY md5(CAST(track AS VARCHAR)), track) - 1 AS slot, count(*) OVER (PARTITION BY {keys}) AS n FROM {src} WHERE {value} IS NOT NULL) CROSS JOIN (SELECT unnest(range(1, {reps + 1})) AS rep))
+  JOIN (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY md5(CAST(track AS VARCHAR)), track) - 1 AS pos FROM {src} WHERE {value} IS NOT NULL) USING ({keys}, pos) GROUP BY {keys}, rep"""
 
 
 def _perm(keys: str, src: str, value: str, plus: int = 1, reps: int = REPS, stat: str = "avg") -> str:
@@ -56,9 +56,9 @@ def st2(units):
 MATRIX = "(SELECT track, floor(time / 200.0) * 200.0 AS tbin, avg(x) AS v FROM frames WHERE x IS NOT NULL GROUP BY 1, 2)"
 
 
-@query("st3_bootstrap_band", "frames", f"""SELECT tbin, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (
-  SELECT rep, tbin, sum(v * w) / sum(w) AS m FROM (SELECT rep, pos, count(*) AS w FROM (SELECT rep, ({_draw("'band'", 'CAST(rep AS VARCHAR)', 'CAST(slot AS VARCHAR)')}) % n AS pos FROM (SELECT row_number() OVER (ORDER BY track) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT track FROM {MATRIX})) CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)) GROUP BY 1, 2)
-  JOIN (SELECT track, row_number() OVER (ORDER BY track) - 1 AS pos FROM (SELECT DISTINCT track FROM {MATRIX})) USING (pos) JOIN {MATRIX} USING (track) GROUP BY 1, 2) GROUP BY 1""", "tbin lo hi")
+@query("st3_bootstrap_band", "frames", f"""SELECT tbin, point, lo, hi FROM (SELECT tbin, avg(v) AS point FROM {MATRIX} GROUP BY 1) JOIN (SELECT tbin, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (
+  SELECT rep, tbin, sum(v * w) / sum(w) AS m FROM (SELECT rep, pos, count(*) AS w FROM (SELECT rep, ({_draw("'band'", 'CAST(rep AS VARCHAR)', 'CAST(slot AS VARCHAR)')}) % n AS pos FROM (SELECT row_number() OVER (ORDER BY md5(CAST(track AS VARCHAR)), track) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT track FROM {MATRIX})) CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep)) GROUP BY 1, 2)
+  JOIN (SELECT track, row_number() OVER (ORDER BY md5(CAST(track AS VARCHAR)), track) - 1 AS pos FROM (SELECT DISTINCT track FROM {MATRIX})) USING (pos) JOIN {MATRIX} USING (track) GROUP BY 1, 2) GROUP BY 1) USING (tbin)""", "tbin point lo hi")
 def st3(frames):
     binned = frames.where("x IS NOT NULL").groupBy("track", (F.floor(F.col("time") / 200.0) * 200.0).alias("tbin")).agg(F.avg("x").alias("v"))
     return O.bootstrap_band(binned, "track", "tbin", "v", REPS)

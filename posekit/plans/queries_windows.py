@@ -82,7 +82,10 @@ def _short_fit_sql(window: int, order: int) -> str:
   JOIN {FILLED} b ON a.recording = b.recording AND a.track = b.track AND b.frame = w.k GROUP BY 1, 2, 3"""
 
 
-@query("w4_clamped_smooth", "frames", f"SELECT f.recording, f.track, f.frame, CASE WHEN seen < 3 THEN v ELSE coalesce(l.s, t.s, f.x) END AS s FROM {FILLED} f LEFT JOIN ({_fit_sql(11, 1)}) l USING (recording, track, frame) LEFT JOIN ({_short_fit_sql(11, 1)}) t USING (recording, track, frame)", "s")
+SMOOTHED = f"SELECT f.recording, f.track, f.frame, CASE WHEN seen < 3 THEN v ELSE coalesce(l.s, t.s, f.x) END AS s FROM {FILLED} f LEFT JOIN ({_fit_sql(11, 1)}) l USING (recording, track, frame) LEFT JOIN ({_short_fit_sql(11, 1)}) t USING (recording, track, frame)"
+
+
+@query("w4_clamped_smooth", "frames", SMOOTHED, "s")
 def w4(frames):
     """All tracks, those of 3 to 10 rows with a window that fits them."""
     return stim.smoothed(frames.select(*KEY, "frame", "x"), ["x"], KEY, "frame", 11, 1).select(*KEY, "frame", F.col("x").alias("s"))

@@ -19,19 +19,19 @@ ORACLES: dict[str, str] = {}
 FLAGSHIP = "p2_per_fly_speed"
 
 
-def query(name: str, reads: str, sql: str | None = None, doubles: str = ""):
-    """Register f(*views) under name; sql may use the same views by name."""
+def query(name: str, reads: str, sql: str | None = None, doubles: str = "", digits: int = 9):
+    """Register f(*views) under name; sql may use the same views by name. digits: decimals of the doubles (fewer after long sums and steep scales)."""
     names, rounded = reads.split(), doubles.split()
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = f(*[views.load(spark, sf_dir, v) for v in names])
-            return out.withColumns({c: F.round(F.col(c), 9) + F.lit(0.0) for c in rounded}) if rounded else out
+            return out.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in rounded}) if rounded else out
 
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run
         if sql is not None:
-            body = f"SELECT * REPLACE ({', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in rounded)}) FROM ({sql})" if rounded else sql
+            body = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in rounded)}) FROM ({sql})" if rounded else sql
             ORACLES[name] = views.with_views(names, body)
         return f
 

@@ -26,6 +26,11 @@ SELECT f.recording, f.track, f.frame, n.node,
   f.x + n.dx AS x, f.y + n.dy AS y, CASE WHEN f.x IS NULL THEN NULL ELSE f.y / 100e0 END AS score
 FROM {frames} f CROSS JOIN (SELECT 'head' AS node, 2e0 AS dx, 1e0 AS dy UNION ALL
   SELECT 'thorax', 0e0, 0e0 UNION ALL SELECT 'abdomen', -2e0, -1e0) n""",
+    "bodies": """
+SELECT f.recording, f.track, f.frame, n.node, CASE WHEN n.node = 'head' AND f.frame % 9 = 4 THEN NULL ELSE f.x + n.side * cos(f.a) END AS x,
+  CASE WHEN n.node = 'head' AND f.frame % 9 = 4 THEN NULL ELSE f.y + n.side * sin(f.a) END AS y
+FROM (SELECT *, frame * 35e-2 + coalesce(y, 0e0) / 25e0 AS a FROM {frames}) f CROSS JOIN (SELECT 'head' AS node, 2e0 AS side UNION ALL
+  SELECT 'thorax', 0e0 UNION ALL SELECT 'abdomen', -2e0) n""",
     "units": """
 SELECT grp, is_control, recording, track, avg(x) AS v, avg(CASE WHEN event_type = 'view' THEN x END) AS v_on,
   avg(CASE WHEN event_type <> 'view' THEN x END) AS v_off
