@@ -21,7 +21,9 @@ central document that holds it. The steps:
    block's largest component meet the others by the triangle inequality: only
    if their distances to the pivot differ by at most the threshold can they
    link. Rings of that width are the join key, and one side is replicated to the
-   neighbouring rings (to all, where a distance was not measured).
+   neighbouring rings (to all, where a distance was not measured). A pair is
+   taken in the block of its first common shingle, and only if the first
+   shingles of both sets, up to twice a prefix, have enough in common.
 5. Components of all links are found by star contraction.
 
 Links found are exact (verified on whole texts, up to 64-bit hash collisions
@@ -62,6 +64,8 @@ MAX_ROUNDS = 60
 PIECE_DOCS, PIECE_SHINGLES = 5_000, 1_000_000
 #: Entries of the prefixes are dealt to buckets in pieces of so many.
 PIECE_ENTRIES = 700_000
+#: Entries of a set's head that a row carries into the last join.
+MOST_HEAD = 96
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _CLASS1, _CLASS2 = 1 << 40, 1 << 41
@@ -272,15 +276,31 @@ def wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, kind, offset=9).astype(np.int64) + int.from_bytes(x[1:9], "little", signed=True)
 
 
-def prefixes(shared: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, doc, n, i, lone) of the prefix entries of class representatives; i: entries before it, at least."""
+def ordered(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """Entries of class representatives in the global order; k: entries of the list before it, i: all entries of the set before it."""
     rows = shared.join(reps, "doc_id")
     w = Window.partitionBy("doc_id")
     rows = rows.withColumn("k", F.row_number().over(w.orderBy("ord", "key")) - 1).withColumn("s", F.sum((F.col("ord") < _CLASS1).cast("int")).over(w))
-    rows = rows.withColumn("i", F.col("u") - F.col("s") + F.col("k"))
-    n = F.col("n_shingles")
-    p = n - F.floor((PERCENT * n + 99) / 100) + 1
-    return rows.where(F.col("i") < p).select("key", F.col("doc_id").alias("doc"), n.alias("n"), "i", ((F.col("u") - F.col("s")) / F.greatest(F.col("u"), F.lit(1))).alias("lone"))
+    return rows.withColumn("i", F.col("u") - F.col("s") + F.col("k")).withColumn("p", prefix_of(F.col("n_shingles")))
+
+
+def prefix_of(n):
+    """Column: n - ceil(0.8 n) + 1."""
+    return n - F.floor((PERCENT * n + 99) / 100) + 1
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """(key, doc, n, i, lone) of the prefix entries of ordered rows."""
+    return rows.where(F.col("i") < F.col("p")).select("key", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "i", ((F.col("u") - F.col("s")) / F.greatest(F.col("u"), F.lit(1))).alias("lone"))
+
+
+def heads(rows: DataFrame) -> DataFrame:
+    """(doc, head, reach): the shared entries among the first `reach` of a set, in order: up to twice the prefix, MOST_HEAD entries at most."""
+    reach = F.least(2 * F.col("p"), F.greatest("u", "p"), F.col("n_shingles"))  # very frequent entries are known in the prefix only
+    few = rows.where((F.col("k") <= MOST_HEAD) & (F.col("i") < reach))
+    held = few.groupBy(F.col("doc_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("k", "key", "i"))).alias("h"), F.max(reach).alias("reach"))
+    cut = F.size("h") > MOST_HEAD
+    return held.select("doc", F.transform(F.slice("h", 1, MOST_HEAD), lambda e: e["key"]).alias("head"), F.when(cut, F.get("h", F.lit(MOST_HEAD))["i"]).otherwise(F.col("reach")).alias("reach"))
 
 
 def may_link(nx, ix, ny, iy):
@@ -367,7 +387,7 @@ def possible(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, hot: dict[int, int], n_docs: int) -> DataFrame:
     """(x, y): links between class representatives that span all components."""
-    rows = stored(possible(prefixes(shared_shingles(docs, hot, n_docs), reps)), "prefixes")
+    rows = stored(possible(prefixes(ordered(shared_shingles(docs, hot, n_docs), reps))), "prefixes")
     blocks = stored(with_pivot(rows, ["key"]), "blocks")
     found = verified(star_pairs(blocks), docs).where("linked").select("x", "y")
     left = stored(mixed_blocks(rows, components(found)).select(F.col("doc").alias("doc_id")).distinct(), "left")
@@ -375,26 +395,37 @@ def links(docs: DataFrame, reps: DataFrame, hot: dict[int, int], n_docs: int) ->
     again = stored(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "again")
     n_again = left.count()
     shared = shared_shingles(again, frequent(surveyed(again, 1.0), n_again), n_again, 1.0)
-    rows = stored(possible(prefixes(shared, reps.join(left, "doc_id", "left_semi"))), "prefixes2")
+    every = stored(ordered(shared, reps.join(left, "doc_id", "left_semi")), "ordered")
+    rows = stored(possible(prefixes(every)), "prefixes2")
     blocks = stored(mixed_blocks(with_pivot(rows, ["key"]), components(found)).drop("comp", "largest"), "blocks2")
     star = verified(star_pairs(blocks), again)
     found = stored(found.union(star.where("linked").select("x", "y")), "links")
     d = star.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
     rows = blocks.join(d, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-    rest = ring_pairs(stored(mixed_blocks(rows, components(found)), "rows"))
+    rows = mixed_blocks(rows, components(found))
+    rest = ring_pairs(stored(rows.join(heads(every.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc"), "rows"))
     return found.union(verified(rest, again).where("linked").select("x", "y"))
 
 
 def ring_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of a block in different components and in one window of distance to its pivot; one side is outside the largest component."""
+    """Pairs of a block in different components and in one window of distance to its pivot; one side is outside the largest component.
+
+    A pair is taken in the block of its first common entry only. Of the first
+    entries of both sets (heads) it must share enough: what the sets hold after
+    the shorter head is all that could be added.
+    """
     ring = F.when(F.col("d").isNull(), F.lit(-9)).otherwise(F.floor(F.col("d") / WIDTH).cast("int"))
-    x = rows.where(F.col("comp") != F.col("largest")).select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("comp").alias("cx"), F.col("d").alias("dx"), ring.alias("ring"))
+    side = lambda t: [F.col(c).alias(f"{a}{t}") for c, a in (("n", "n"), ("i", "i"), ("comp", "c"), ("d", "d"), ("head", "h"), ("reach", "r"))]
+    x = rows.where(F.col("comp") != F.col("largest")).select("key", F.col("doc").alias("x"), *side("x"), ring.alias("ring"))
     all_rings = F.array(*[F.lit(k) for k in [-9, *range(6)]])
     near = F.when(ring == -9, all_rings).otherwise(F.array(F.lit(-9), ring - 1, ring, ring + 1))
-    y = rows.select("key", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("comp").alias("cy"), (F.col("comp") == F.col("largest")).alias("big"), F.col("d").alias("dy"), F.explode(near).alias("ring"))
+    y = rows.select("key", F.col("doc").alias("y"), *side("y"), (F.col("comp") == F.col("largest")).alias("big"), F.explode(near).alias("ring"))
     window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= WIDTH + 1e-9, F.lit(True))
     once = F.col("big") | (F.col("x") < F.col("y"))
-    pairs = x.join(y, [x["key"] == y["key"], x["ring"] == y["ring"], x["cx"] != y["cy"], once, window, may_link(x["nx"], x["ix"], y["ny"], y["iy"])])
+    both = F.array_intersect("hx", "hy")
+    first = F.coalesce(F.get(both, F.lit(0)) == x["key"], F.lit(True))
+    enough = (100 + PERCENT) * (F.size(both) + F.greatest(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))) >= PERCENT * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, [x["key"] == y["key"], x["ring"] == y["ring"], x["cx"] != y["cy"], once, window, may_link(x["nx"], x["ix"], y["ny"], y["iy"]), first & enough])
     return pairs.select("x", "y").distinct()
 
 
