@@ -255,6 +255,68 @@ def test_wrappers_and_teasers(html):
     assert htmltext.main_text(html) == WANT
 
 
+PARAGRAPHS = [f"Paragraph {k} of the text, which is long enough for a surge." for k in range(3)]
+SHORT_BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+THREAD = "".join(f'<div class="item"><p>Comment {k}: I agree with nothing of what was said above, and will say so at length.</p></div>' for k in range(12))
+ADVERT = "Buy this wonderful thing now, it is very cheap and very good for you."
+CONSENT = "We use cookies and other things to make this site better for everyone."
+
+
+@pytest.mark.parametrize("thread", ['section id="comments"', 'ol class="comment-list"', 'div id="disqus_thread"', 'div class="replies"', 'div class="comments-area"', 'div id="respond"', 'div class="sidebar"', 'div class="cookie-notice"'])
+@pytest.mark.parametrize("text", ["<article>%s</article>", "<div class=post>%s</div>", "<main><div class=widget>%s</div></main>", "<div class=widget><h1>Paragraph</h1>%s</div>", "<article>%s"])
+def test_threads_longer_than_the_text_go(thread, text):
+    got = htmltext.main_text(f"<body>{text % SHORT_BODY}<{thread}>{THREAD}</{thread.split()[0]}></body>")
+    assert got.removeprefix("Paragraph\n\n") == "\n\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<body><div class="cc-window">{CONSENT}</div><article>{SHORT_BODY}</article><div>{ADVERT}</div></body>', PARAGRAPHS),
+        (f"<body><div>{CONSENT}</div><div id=x>{SHORT_BODY}</div><div>{ADVERT}</div></body>", PARAGRAPHS),
+        (f"<body><div><div>{CONSENT}</div><div><section>{SHORT_BODY}</section><section>{SHORT_BODY}</section></div></div></body>", PARAGRAPHS * 2),
+        (f"<body><div class=overlay><div class=modal>{SHORT_BODY}</div></div><div class=ad>{ADVERT * 20}</div></body>", PARAGRAPHS),
+        (f"<body>{SHORT_BODY}</body>", PARAGRAPHS),
+        ("<body><p>Only one short line.</p></body>", ["Only one short line."]),
+        ("<article>Hi</article>", ["Hi"]),
+        (f"<article><p>Read on.</p></article><div>{SHORT_BODY}</div>", PARAGRAPHS),
+    ],
+)
+def test_notices_adverts_and_pages_without_article(html, want):
+    assert htmltext.main_text(html) == "\n\n".join(want)
+
+
+def test_pages_against_their_trees():
+    """Random well-formed trees: what stands in the article and under no dropped element, block by block."""
+    rng = random.Random(9)
+    drops = ["nav", "aside", "form", "footer", 'div class="ads"', 'div class="social-share"', 'ul id="related-posts"', 'section id="comments"']
+
+    def tree(depth, inside, want):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind, words = rng.random(), " ".join(rng.choice(["one", "zwei", "été", "&amp;", "x<b>y</b>"]) for _ in range(rng.randint(8, 14)))
+            if kind < 0.5 or not depth:
+                out.append(f"<p>{words}</p>")
+                if inside:
+                    want.append(words.replace("<b>", "").replace("</b>", "").replace("&amp;", "&"))
+            elif kind < 0.75:
+                out.append(f"<div>{tree(depth - 1, inside, want)}</div>")
+            else:
+                tag = rng.choice(drops)
+                out.append(f"<{tag}>{tree(depth - 1, False, want)}</{tag.split()[0]}>")
+        return "".join(out)
+
+    for _ in range(300):
+        want = []
+        before, article, after = tree(2, False, []), tree(3, True, want), tree(2, False, [])
+        if sum(map(len, want)) >= 200:
+            assert htmltext.main_text(f"<body>{before}<article>{article}</article>{after}</body>") == "\n\n".join(want)
+
+
+def test_no_pages(spark):
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_extract_keeps_every_page(spark):
     df = spark.createDataFrame([(1, "u", None, "z"), (2, None, "<article>é&eacute;</article>", "z"), (2, None, "<article>é&eacute;</article>", "z")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()) == [(1, "", 0), (2, "éé", 2), (2, "éé", 2)]
@@ -462,8 +524,9 @@ def test_n_best_of_odd_documents(spark):
 def brute_main_lines(found):
     """Window by window, without running state."""
     marks = {a for _, _, a in found if a}
-    marked = bool(marks) and (len(marks) == 1 or -1 in marks or 2 * sum(n for _, n, a in found if a) >= sum(n for _, n, _ in found))
-    weight = [(n + htmltext.BONUS if a else n // htmltext.OUTSIDE) if marked else n for _, n, a in found]
+    own, every = sum(n for _, n, a in found if a), sum(n for _, n, _ in found)
+    marked = bool(marks) and (2 * own >= every or own >= 120 and (len(marks) == 1 or -1 in marks))
+    weight = [(n + htmltext.BONUS if a else 0) if marked else n for _, n, a in found]
     total = lambda k: sum(w for j, w in enumerate(weight) if k <= j < k + htmltext.WINDOW)
     surges = [k for k in range(len(found)) if total(k) >= htmltext.THRESHOLD]
     kept = set()
@@ -474,7 +537,10 @@ def brute_main_lines(found):
         full = [j for j in range(k, dive) if weight[j] and any(total(i) >= htmltext.THRESHOLD for i in (j - htmltext.WINDOW + 1,))]
         full += [j for j in range(k, dive) if weight[j] and j < htmltext.WINDOW - 1 and sum(weight[: j + 1]) >= htmltext.THRESHOLD]
         first = min(j for j in range(k, dive) if weight[j])
-        kept |= {j for j in range(first, max(full) + 1) if found[j][2] or not marked or weight[j] * htmltext.WINDOW >= htmltext.THRESHOLD}
+        kept |= {j for j in range(first, max(full) + 1) if found[j][2] or not marked}
+    few = {j for j, w in enumerate(weight) if w}
+    if not surges and (marked or len(few) <= htmltext.WINDOW):
+        kept = few
     return [found[j][0] for j in sorted(kept)]
 
 
