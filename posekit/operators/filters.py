@@ -124,6 +124,12 @@ def scopes(df: DataFrame, shared_end: float, long_flag: Column, column: str = "t
     return df.where(F.col(column) <= shared_end), df.where(long_flag)
 
 
+def scoped(df: DataFrame, shared_end: float, long_flag: Column, column: str = "time", out: str = "scope") -> DataFrame:
+    """Rows once for each scope they are in: `shared` up to the shared end, `long` for the long protocol; one pass for both."""
+    at = F.array(F.when(F.col(column) <= shared_end, F.lit("shared")), F.when(long_flag, F.lit("long")))
+    return df.withColumn(out, F.explode(F.filter(at, lambda s: s.isNotNull())))
+
+
 def without_start(df: DataFrame, frames: int, keys: list[str], order_by: str = "frame") -> DataFrame:
     """Drop the first frames of every series."""
     w = Window.partitionBy(*keys).orderBy(order_by)

@@ -59,9 +59,9 @@ def labelled_times(df: DataFrame, pulses: DataFrame, keys: list[str] = ()) -> Da
     return out.withColumn("stim_on", F.col("on_index").isNotNull()).drop("start_s", "end_s")
 
 
-def onset_windows(df: DataFrame, pulses: DataFrame, pre: float, post: float) -> DataFrame:
-    """Rows within [onset - pre, onset + post) of every pulse, repeated for each, with time since the onset."""
-    out = in_intervals(df, pulses, how="inner", before=pre, after=post)
+def onset_windows(df: DataFrame, pulses: DataFrame, pre: float, post: float, keys: list[str] = ()) -> DataFrame:
+    """Rows within [onset - pre, onset + post) of every pulse (of the same keys), repeated for each, with time since the onset."""
+    out = in_intervals(df, pulses, keys=list(keys), how="inner", before=pre, after=post)
     return out.withColumn("rel", F.col("time") - F.col("start_s")).drop("end_s")
 
 

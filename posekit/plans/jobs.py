@@ -9,6 +9,7 @@ from posekit.functions import scalars as S
 from posekit.functions import windows as W
 from posekit.operators import aggregates as A
 from posekit.operators import events, filters, joins, learn, naming, stats, stim, tracks
+from posekit.sources import io
 
 
 def clean_tracks(points: DataFrame, n_frames: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
@@ -44,19 +45,75 @@ def per_fly_speed(points: DataFrame, labels: DataFrame, nodes: list[str], fps: f
     return stim.per_fly(kin, keys).join(labels.select(*keys, "grp", "is_control"), keys, "left")
 
 
-def directional_velocity(kin: DataFrame, pulses: DataFrame, n: int = 1000) -> dict[str, DataFrame]:
-    """Labelled frames, then per fly, on / off, onset-locked, per pulse, path integrals and tests."""
-    fly = ["recording", "grp", "is_control", "track"]
-    lab = joins.labelled_times(kin, pulses)
-    pulse = stim.path_integrals(lab, fly)
-    return {
-        "per_fly": stim.per_fly(lab, fly),
-        "on_off": stim.on_off(lab, fly, {"speed": "speed", "forward": "forward_velocity"}),
-        "psth": stim.psth(kin, pulses, "speed", 10.0, 70.0, 1.0, ["grp", "recording", "track"]),
-        "per_pulse": stim.per_pulse(lab, fly, ["speed", "forward_velocity"]),
-        "paths": pulse,
-        "tests": stats.pooled_control_test(joins.with_pooled_control(pulse, "grp", "is_control"), ["test", "on_index"], "track", "back_dist", 3, n),
+#: Metrics of a fly: the column of a frame, and its summary.
+METRICS = {"speed": "mean_speed", "forward_velocity": "mean_forward_velocity", "backward_speed": "mean_backward_speed_rect", "rotational_velocity": "mean_abs_rotational"}
+#: Seconds for which the protocols run alike.
+SHARED_END = 360.5
+
+
+def labelled_kinematics(points: DataFrame, recordings: DataFrame, pulses: DataFrame, nodes: list[str], fps: float, window: int, order: int, centroid: list[str], px_per_mm: float | None = None, tokens: list[str] = (), most_tracks: int = 0) -> DataFrame:
+    """Frames of a collection with kinematics, group, protocol and stimulus state.
+
+    recordings: (recording, path); the genotype is the third folder above a
+    file, the protocol the fourth. Recordings whose genotype holds a token, or
+    that have more than most_tracks tracks (0: no limit), are left out; those of
+    an unknown protocol have no stimulus.
+    """
+    known = recordings.select("recording", S.parent("path", 3).alias("genotype"), S.protocol_of(S.parent("path", 4)).alias("sequence"))
+    known = filters.without_tokens(known, "genotype", list(tokens)) if tokens else known
+    known = known.select("recording", S.genotype_group("genotype").alias("grp"), "sequence").withColumn("is_control", S.is_control_group("grp"))
+    points = points.join(known.select("recording"), "recording", "left_semi")
+    points = filters.at_most_tracks(points, most_tracks) if most_tracks else points
+    kin = track_kinematics(points, nodes, fps, window, order, centroid, px_per_mm)
+    timed = kin.select("recording", "track", "frame", "time", "dt", *METRICS).join(known, "recording")
+    return joins.labelled_times(timed, pulses.withColumnRenamed("seq", "sequence"), ["sequence"])
+
+
+def directional_velocity(lab: DataFrame, pulses: DataFrame, n: int = 1000, pre: float = 10.0, post: float = 70.0, bin_s: float = 0.25, seed: int = 0, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables (by name; None: all nine) of labelled frames in two scopes: all flies up to SHARED_END, and those of the long protocol.
+
+    The scope is a column: a frame stands once in each scope it is in, so every
+    table is one aggregation for both, and tests are keyed by it. Write `lab`
+    first (io.written) if several of the tables are wanted; tests write their
+    units, a row a fly, as they go through them several times.
+    """
+    frames = filters.scoped(lab, SHARED_END, F.coalesce(F.col("sequence") == "long", F.lit(False)))
+    fly = ["scope", "recording", "grp", "is_control", "track"]
+    named = lambda df: df.withColumn("fly", F.concat_ws("/", "recording", "track"))
+    means = [F.avg(c).alias(c) for c in METRICS]
+    over = ["scope", "metric"]
+
+    def stacked(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, ...]], names: list[str]) -> DataFrame:
+        """One row a metric, with its columns under common names."""
+        each = [F.struct(F.lit(k).alias("metric"), *[F.col(c).alias(name) for c, name in zip(cs, names, strict=True)]) for k, cs in columns.items()]
+        return named(df).select(*keys, "fly", F.explode(F.array(*each)).alias("m")).select(*keys, "fly", "m.*")
+
+    def around() -> DataFrame:
+        """Frames around onsets; those of the short protocol in the shared scope."""
+        seen = frames.where(F.col("speed").isNotNull()).drop("on_index", "stim_on").withColumn("seq", F.when(F.col("scope") == "shared", "short").otherwise("long"))
+        return joins.onset_windows(seen, pulses, pre, post, ["seq"]).withColumn("rb", F.floor(F.col("rel") / bin_s) * bin_s)
+
+    def against_control(df: DataFrame, keys: list[str]) -> DataFrame:
+        arms = io.written(joins.with_pooled_control(io.written(df, "units"), "grp", "is_control"), "arms")  # a row a fly and test
+        return stats.permutation_test(arms, ["scope", "metric", "test", *keys], "fly", "value", "arm", n, "mean", seed)
+
+    starred = lambda df: stats.bh_adjust(io.written(df, "tests"), over=over).withColumn("stars", S.stars("p_adj"))
+    per_fly = lambda: stim.per_fly(frames, fly)
+    on_off = lambda: stim.on_off(frames, fly, {"speed": "speed", "forward": "forward_velocity"})
+    per_stim = lambda: stim.path_integrals(frames, fly)
+    control = ["scope", "grp", "is_control"]
+    makers = {
+        "per_fly": per_fly,
+        "on_off": on_off,
+        "psth": lambda: around().groupBy(*fly, "rb").agg(*means),
+        "psth_per_pulse": lambda: around().groupBy(*fly, "on_index", "rb").agg(*means).groupBy("scope", "grp", "on_index", "rb").agg(*means),
+        "per_pulse": lambda: stim.per_pulse(frames, fly, list(METRICS)),
+        "per_stim": per_stim,
+        "summary_tests": lambda: starred(against_control(stacked(per_fly(), control, {k: (c,) for k, c in METRICS.items()}, ["value"]), [])),
+        "on_off_tests": lambda: starred(stats.paired_test(io.written(stacked(on_off(), ["scope", "grp"], {k: (f"{k}_on", f"{k}_off") for k in ("speed", "forward")}, ["on", "off"]), "pairs"), ["scope", "metric", "grp"], "fly", "on", "off", n, "mean", seed)),
+        "per_stim_tests": lambda: starred(against_control(stacked(per_stim(), [*control, "on_index"], {k: (k,) for k in ("back_dist", "net_forward")}, ["value"]), ["on_index"]).where("n_a >= 3 AND n_b >= 3")),
     }
+    return {k: makers[k]() for k in tables or makers}
 
 
 def binned_group_test(frames: DataFrame, time: str, value: str, group: str, subject: str, control: str, bins: int, n: int) -> DataFrame:
@@ -70,6 +127,37 @@ def behaviour_map(rows: DataFrame, features: list[str], k: int, by: str) -> Data
     return A.shares(learn.clusters(scores, "scores", k), [by], "cluster")
 
 
+def behaviour_over_time(rows: DataFrame, cluster: str, kind: str, subject: str, bin_: str, displacement: str, n: int = 1000, seed: int = 0, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """How often each behaviour cluster occurs over time bins, and how efficient it is: tables by name (None: all).
+
+    shares: by kind and bin; subject_shares: by subject too, 0 where a cluster is
+    absent from a cell; intervals: their means over subjects with bootstrap
+    limits; ranks: clusters by median displacement; efficient: percentage of
+    rows in clusters at or above the median of the ranks; weighted and
+    weighted_intervals: the mean of the clusters' medians, by subject and over subjects.
+    """
+    keys = [kind, bin_]
+
+    def per_subject() -> DataFrame:
+        cells = rows.select(kind, subject, bin_).dropna().distinct()
+        grid = cells.crossJoin(rows.select(cluster).dropna().distinct())  # cells x clusters is the result
+        return A.grid_shares(grid, A.counts(rows, [kind, subject, bin_, cluster]), [kind, subject, bin_], cluster)
+
+    ranks = lambda: A.ranked_medians(rows, cluster, displacement)
+    scores = lambda: ranks().select(cluster, F.col("median").alias("score"))
+    weighted = lambda: A.weighted_score(rows, scores(), cluster, [kind, subject, bin_])
+    makers = {
+        "shares": lambda: A.shares(rows, keys, cluster),
+        "subject_shares": per_subject,
+        "intervals": lambda: stats.bootstrap_ci(per_subject(), [*keys, cluster], subject, "share", n, seed=seed),
+        "ranks": ranks,
+        "efficient": lambda: A.efficient_share(rows, scores(), cluster, bin_),
+        "weighted": weighted,
+        "weighted_intervals": lambda: stats.bootstrap_ci(weighted(), keys, subject, "weighted", n, seed=seed),
+    }
+    return {k: makers[k]() for k in tables or makers}
+
+
 def fly_recording(frames: DataFrame, folder: str, light: list[tuple[str, int]], fps: float) -> DataFrame:
     """Metadata, speed, running distance and light state of every frame."""
     keys = ["recording", "track"]

@@ -31,6 +31,10 @@ SELECT f.recording, f.track, f.frame, n.node, CASE WHEN n.node = 'head' AND f.fr
   CASE WHEN n.node = 'head' AND f.frame % 9 = 4 THEN NULL ELSE f.y + n.side * sin(f.a) END AS y
 FROM (SELECT *, frame * 35e-2 + coalesce(y, 0e0) / 25e0 AS a FROM {frames}) f CROSS JOIN (SELECT 'head' AS node, 2e0 AS side UNION ALL
   SELECT 'thorax', 0e0 UNION ALL SELECT 'abdomen', -2e0) n""",
+    "videos": """
+SELECT recording, concat('/data/', CASE WHEN recording % 4 = 3 THEN 'old' WHEN recording % 2 = 0 THEN 'PG_20240131' ELSE 'PG' END, '/',
+  CASE WHEN recording % 5 = 0 THEN 'B6VF_1min' WHEN recording = 6 THEN 'PG_7_bad' ELSE concat('PG_', CAST(recording % 5 AS STRING), '_f') END, '/d1/v', CAST(recording AS STRING), '/v.h5') AS path
+FROM (SELECT DISTINCT recording FROM {frames}) r""",
     "units": """
 SELECT grp, is_control, recording, track, avg(x) AS v, avg(CASE WHEN event_type = 'view' THEN x END) AS v_on,
   avg(CASE WHEN event_type <> 'view' THEN x END) AS v_off

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else our own default (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, else our own default (local sessions only)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (base or "file:///tmp/posekit-shared").rstrip("/")
 
 
@@ -18,6 +21,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/posekit/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, read back: what many results are made of is computed once, and survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing data is null everywhere; NaN comes from array files only."""
     doubles = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")]
