@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -106,28 +105,42 @@ def savgol(df: DataFrame, column: str, keys: list[str], order_by: str, window: i
     return savgol_columns(df, {column: out}, keys, order_by, window, order, derivative)
 
 
+def gram_polynomials(t: Column, m: Column, order: int) -> list[Column]:
+    """Discrete orthogonal polynomials of degree 0 to order on the points -m to m, at t, by their three-term recurrence."""
+    out = [F.lit(1.0), F.try_divide(t.cast("double"), m)]
+    for r in range(2, order + 1):
+        scale = r * (2 * m - r + 1)
+        out.append(F.try_divide(2.0 * (2 * r - 1) * t * out[-1] - (r - 1.0) * (2 * m + r) * out[-2], scale))
+    return out[: order + 1]
+
+
+def gram_norms(m: Column, order: int) -> list[Column]:
+    """What a fit multiplies the moments of those polynomials by."""
+    falling = lambda x, k: math.prod([x - j for j in range(k)], start=F.lit(1.0))
+    return [(2 * r + 1) * F.try_divide(falling(2 * m, r), falling(2 * m + r + 1, r + 1)) for r in range(order + 1)]
+
+
 def clamped_columns(df: DataFrame, columns: dict[str, str], keys: list[str], order_by: str, window: int, order: int) -> DataFrame:
     """Savitzky-Golay of series shorter than the window, by the widest odd window that fits them; else null.
 
-    Weights depend on the length of the series and the row, so they are a table
-    by both, each row as long as its series. Only short series are collected.
+    Such a series holds one window, or two if its length is even: its first
+    values and its last. A fit is a few moments of the window, and a row takes
+    the fit of its window at its place, so there are no tables of weights.
     """
-    table = []
-    for n in range(1, window):
-        width = n if n % 2 else n - 1
-        h, rows = width // 2, []
-        for i in range(n if width > order else 0):
-            centre = min(max(i, h), n - 1 - h)
-            rows.append([0.0] * (centre - h) + fit_weights(width, order, i - centre) + [0.0] * (n - 1 - centre - h))
-        table.append(rows)
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    df = df.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys)), "_i": F.row_number().over(w)})
-    short = F.col("_n") < window
-    df = df.withColumns({f"_v{k}": F.collect_list(F.when(short, F.col(c))).over(w.rowsBetween(*WHOLE)) for k, c in enumerate(columns)})
-    weights = F.get(F.get(F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>"), F.col("_n").cast("int") - 1), F.col("_i") - 1)
-    total = lambda v: F.aggregate(F.zip_with(v, "_w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    df = df.withColumn("_w", F.when(short, weights)).withColumns({out: F.when(short, total(f"_v{k}")) for k, out in enumerate(columns.values())})
-    return df.drop("_n", "_i", "_w", *[f"_v{k}" for k in range(len(columns))])
+    w, whole = Window.partitionBy(*keys).orderBy(order_by), Window.partitionBy(*keys)
+    df = df.withColumns({"_n": F.count("*").over(whole), "_i": F.row_number().over(w) - 1})
+    df = df.withColumn("_h", F.floor((F.col("_n") - 1) / 2))
+    centre = {"a": F.col("_h"), "z": F.col("_n") - 1 - F.col("_h")}
+    powers = [f"_p{side}{r}" for side in centre for r in range(order + 1)]
+    df = df.withColumns(dict(zip(powers, [p for c in centre.values() for p in gram_polynomials(F.col("_i") - c, F.col("_h"), order)], strict=True)))
+    inside = {side: F.abs(F.col("_i") - c) <= F.col("_h") for side, c in centre.items()}
+    moments = {f"_m{side}{r}_{k}": F.sum(F.when(inside[side], F.col(f"_p{side}{r}") * F.col(c))).over(whole) for side in centre for r in range(order + 1) for k, c in enumerate(columns)}
+    df = df.withColumns(moments)
+    norms = gram_norms(F.col("_h"), order)
+    fit = lambda side, k: sum((norms[r] * F.col(f"_p{side}{r}") * F.col(f"_m{side}{r}_{k}") for r in range(1, order + 1)), norms[0] * F.col(f"_m{side}0_{k}"))
+    fits = (F.col("_n") < window) & (2 * F.col("_h") + 1 > order)
+    value = lambda k: F.when(fits, F.when(F.col("_i") <= F.col("_h"), fit("a", k)).otherwise(fit("z", k)))
+    return df.withColumns({out: value(k) for k, out in enumerate(columns.values())}).drop("_n", "_i", "_h", *powers, *moments)
 
 
 def moving_average_columns(df: DataFrame, columns: dict[str, str], keys: list[str], order_by: str, window: int) -> DataFrame:

@@ -125,17 +125,25 @@ def companions(folders: DataFrame, files: DataFrame, names: list[str]) -> DataFr
     return wanted.join(have, ["folder", "name"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def matches_by_stem(recordings: DataFrame, files: DataFrame, least: int = 8) -> DataFrame:
+def matches_by_stem(recordings: DataFrame, files: DataFrame, size: int = 5) -> DataFrame:
     """Per recording, the number of files whose name contains its stem (not empty).
 
-    A name that contains a stem contains the stem's start, so parts of names are
-    an equi join key: parts of `least` characters, and of one for shorter stems.
+    An index lists the names of every part of `size` characters. A stem is looked
+    up by the rarest of its parts, and the names found there are compared with it;
+    a stem one of whose parts no name has is in no name. The number of names of a
+    stem of `size` characters or fewer is that of the part itself, so no name is
+    compared with it.
     """
-    size = F.when(F.length("stem") >= least, least).otherwise(1)
-    stems = recordings.select("stem").distinct().withColumn("_key", F.substring(F.col("stem"), F.lit(1), size))
-    part = lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, F.lit(n)))
-    long = F.when(F.length("name") >= least, part(least)).otherwise(F.array().cast("array<string>"))
-    short = F.when(F.length("name") >= 1, part(1)).otherwise(F.array().cast("array<string>"))
-    names = files.select("name").groupBy("name").agg(F.count("*").alias("_n")).withColumn("_key", F.explode(F.array_distinct(F.concat(long, short))))
-    hits = stems.join(names, "_key").where(F.contains("name", "stem")).groupBy("stem").agg(F.sum("_n").alias("n"))
-    return recordings.select("stem").join(hits, "stem", "left").groupBy("stem").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    stems = recordings.select("stem").where(F.length("stem") > 0).distinct()
+    names = files.select("name").groupBy("name").agg(F.count("*").alias("_n"))
+    parts = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    each = lambda df, c, sizes: df.withColumn("_part", F.explode(F.array_distinct(F.concat(*[parts(c, n) for n in sizes]))))
+    few = each(names, "name", range(1, size + 1)).groupBy(F.col("_part").alias("stem")).agg(F.sum("_n").alias("n"))
+    short = stems.where(F.length("stem") <= size).join(few, "stem")
+    listed = each(names, "name", [size])
+    known = listed.groupBy("_part").agg(F.count("*").alias("_names"))
+    wanted = each(stems.where(F.length("stem") > size), "stem", [size]).join(known, "_part", "left")
+    rarest = wanted.groupBy("stem").agg(F.min_by("_part", F.struct("_names", "_part")).alias("_part"), F.count_if(F.col("_names").isNull()).alias("_gone")).where("_gone = 0")
+    long = rarest.join(listed, "_part").where(F.contains("name", "stem")).groupBy("stem").agg(F.sum("_n").alias("n"))
+    hits = short.select("stem", "n").union(long)
+    return recordings.select("stem").distinct().join(hits, "stem", "left").select("stem", F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,12 +7,16 @@ shuffle key is (test, repetition), which spreads a large test by itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posekit.operators.ranks import bh_adjust, numbered
+from posekit.operators.ranks import bh_adjust, joined, numbered
+from posekit.sources.io import written
 
 STATISTICS: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
 
@@ -72,28 +76,93 @@ def bootstrap_band(matrix: DataFrame, subject: str, bin_: str, value: str, n: in
     return matrix.groupBy(bin_).agg(F.avg(value).alias("point")).join(band, bin_)
 
 
+#: Units of a test that one task may hold; larger tests are selected by cells of their draws.
+SMALL_TEST = 20_000
+#: Repetitions that one row of a small test stands for; bits of a draw that name its cell.
+REP_BLOCK, CELL_BITS = 50, 12
+
+
+def _small_tests(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n: int, statistic: str, seed: int) -> DataFrame:
+    """(keys, _x): how many repetitions are extreme, a row a block of repetitions. A test's units meet in one row, whose repetitions need no exchange."""
+    test = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("_v").alias("v")))).alias("_units"))
+    held = joined(held, both, keys).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(REP_BLOCK))))
+    flat = held.select(*keys, test.alias("_test"), "_rep", "n_a", "diff", F.transform("_units", lambda x: x["u"].cast("string")).alias("_u"), F.transform("_units", lambda x: x["v"].cast("double")).alias("_w"))
+    types = dict(flat.dtypes)
+    middle = {"mean": np.mean, "median": np.median}[statistic]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for name, first, n_a, diff, units, values in zip(pdf["_test"], pdf["_rep"], pdf["n_a"], pdf["diff"], pdf["_u"], pdf["_w"], strict=True):
+                values, extreme = np.asarray(values, float), 0
+                for rep in range(first, min(first + REP_BLOCK, n + 1)):
+                    draws = [hashlib.md5(f"{name}|{rep}|{u}".encode()).hexdigest()[:8] for u in units]
+                    order = np.argsort(np.array(draws), kind="stable")
+                    d = middle(values[order[:n_a]]) - middle(values[order[n_a:]])
+                    extreme += round(abs(d), 9) >= round(abs(diff), 9)
+                found.append(extreme)
+            yield pdf[keys].assign(_x=found)
+
+    return flat.mapInPandas(run, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "_x long"]))
+
+
+def _large_means(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n: int, seed: int) -> DataFrame:
+    """(keys, _x) of tests of any size, for means: repetitions are summed by cells of the draws, which leave a task as one row each; only the units of the cell that n_a ends in are put in order."""
+    test = [F.col(k).cast("string") for k in keys]
+    d = draw(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string"))
+    drawn = repeated(rows, n).withColumn("_d", d).withColumn("_cell", F.shiftright("_d", 32 - CELL_BITS))
+    cells = drawn.groupBy(*keys, "rep", "_cell").agg(F.count("*").alias("c"), F.sum("_v").alias("s"))
+    lists = joined(cells.groupBy(*keys, "rep").agg(F.array_sort(F.collect_list(F.struct("_cell", "c", "s"))).alias("_l"), F.sum("s").alias("_all")), both, keys)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(-1).cast("long").alias("cell"))
+    walked = F.aggregate("_l", start, lambda z, x: F.when((z["cell"] >= 0) | (z["n"] + x["c"] > F.col("n_a")), F.struct(z["n"].alias("n"), z["s"].alias("s"), F.when(z["cell"] >= 0, z["cell"]).otherwise(x["_cell"]).alias("cell"))).otherwise(F.struct((z["n"] + x["c"]).alias("n"), (z["s"] + x["s"]).alias("s"), z["cell"].alias("cell"))))
+    edge = lists.withColumn("_z", walked).select(*keys, "rep", "_all", "n_a", "n_b", "diff", F.col("_z.n").alias("_under"), F.col("_z.s").alias("_sum"), F.col("_z.cell").alias("_cell"))
+    last = joined(drawn, edge.select(*keys, "rep", "_cell", "_under", "n_a"), [*keys, "rep", "_cell"])
+    some = F.slice(F.array_sort(F.collect_list(F.struct("_d", unit, "_v"))), F.lit(1), F.max(F.col("n_a") - F.col("_under")).cast("int"))
+    taken = last.groupBy(*keys, "rep").agg(F.aggregate(some, F.lit(0.0), lambda z, x: z + x["_v"]).alias("_rest"))
+    out = joined(edge, taken, [*keys, "rep"], "left").withColumn("_a", F.col("_sum") + F.coalesce("_rest", F.lit(0.0)))
+    delta = F.col("_a") / F.col("n_a") - (F.col("_all") - F.col("_a")) / F.col("n_b")
+    return out.groupBy(*keys).agg(F.count_if(F.round(F.abs(delta), 9) >= F.round(F.abs("diff"), 9)).alias("_x"))
+
+
+def _by_windows(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n: int, stat: Callable[[Column], Column], seed: int) -> DataFrame:
+    """(keys, _x) for any statistic: every repetition in the order of its draws."""
+    test = [F.col(k).cast("string") for k in keys]
+    every = repeated(joined(rows, both.select(*keys, "n_a"), keys), n)
+    rank = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(draw_text(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string")), unit))
+    first = every.withColumn("_first", rank <= F.col("n_a"))
+    value_of = lambda flag: stat(F.when(flag, F.col("_v")))
+    perm = first.groupBy(*keys, "rep").agg((value_of(F.col("_first")) - value_of(~F.col("_first"))).alias("_d"))
+    extreme = F.count_if(F.round(F.abs("_d"), 9) >= F.round(F.abs("diff"), 9))
+    return joined(perm, both, keys).groupBy(*keys).agg(extreme.alias("_x"))
+
+
 def permutation_test(df: DataFrame, keys: list[str], unit: str, value: str, arm: str, n: int = 1000, statistic="mean", seed: int = 0, plus_one: bool = True) -> DataFrame:
     """(keys, n_a, n_b, diff, p) of arms 'a' and 'b': stat(a) - stat(b), two-sided.
 
     Differences count as extreme when they are equal to nine decimals. An empty
-    side gives null; plus_one is the (count + 1) / (n + 1) estimate.
+    side gives null; plus_one is the (count + 1) / (n + 1) estimate. A
+    repetition gives arm a the units of the n_a smallest draws. Tests of up to
+    SMALL_TEST units are repeated in one row, larger ones (means) by cells of
+    their draws; other statistics sort every repetition.
     """
     stat = statistic_of(statistic)
-    df = df.where(F.col(value).isNotNull()).select(*keys, unit, F.col(value).alias("_v"), F.col(arm).alias("_arm"))
+    df = written(df.where(F.col(value).isNotNull()).select(*keys, unit, F.col(value).alias("_v"), F.col(arm).alias("_arm")), "arms")  # a row a unit, read several times
     a, b = (F.when(F.col("_arm") == x, F.col("_v")) for x in "ab")
     seen = df.groupBy(*keys).agg(F.count(a).alias("n_a"), F.count(b).alias("n_b"), (stat(a) - stat(b)).alias("diff"))
     both = seen.where("n_a > 0 AND n_b > 0")
-    test = [F.col(k).cast("string") for k in keys]
-    rows = repeated(df.join(both.select(*keys, "n_a"), keys) if keys else df.join(F.broadcast(both.select("n_a"))), n)
-    rank = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(draw_text(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string")), unit))
-    first = rows.withColumn("_first", rank <= F.col("n_a"))
-    value_of = lambda flag: stat(F.when(flag, F.col("_v")))
-    perm = first.groupBy(*keys, "rep").agg((value_of(F.col("_first")) - value_of(~F.col("_first"))).alias("_d"))
-    joined = perm.join(both.select(*keys, F.col("diff").alias("_o")), keys) if keys else perm.join(F.broadcast(both.select(F.col("diff").alias("_o"))))
-    extreme = F.count_if(F.round(F.abs("_d"), 9) >= F.round(F.abs("_o"), 9))
-    p = (extreme + 1) / (n + 1) if plus_one else extreme / n
-    out = joined.groupBy(*keys).agg(p.alias("p"))
-    return seen.join(out, keys, "left") if keys else seen.join(F.broadcast(out), how="left")
+    size = F.col("n_a") + F.col("n_b")
+    small, large = both.where(size <= SMALL_TEST), both.where(size > SMALL_TEST)
+    of = lambda tests: joined(df, tests.select(*keys), keys, "left_semi") if keys else joined(df, tests.select(F.lit(1).alias("_1")), keys).drop("_1")
+    if statistic == "mean":
+        found = _small_tests(of(small), small, keys, unit, n, statistic, seed).unionByName(_large_means(of(large), large, keys, unit, n, seed))
+    elif statistic == "median":
+        found = _small_tests(of(small), small, keys, unit, n, statistic, seed).unionByName(_by_windows(of(large), large, keys, unit, n, stat, seed))
+    else:
+        found = _by_windows(of(both), both, keys, unit, n, stat, seed)
+    x = F.sum("_x")
+    out = found.groupBy(*keys).agg(((x + 1) / (n + 1) if plus_one else x / n).alias("p"))
+    return joined(seen, out, keys, "left")
 
 
 def paired_test(df: DataFrame, keys: list[str], unit: str, x: str, y: str, n: int = 1000, statistic="mean", seed: int = 0) -> DataFrame:

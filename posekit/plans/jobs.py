@@ -94,7 +94,7 @@ def directional_velocity(lab: DataFrame, pulses: DataFrame, n: int = 1000, pre:
         return joins.onset_windows(seen, pulses, pre, post, ["seq"]).withColumn("rb", F.floor(F.col("rel") / bin_s) * bin_s)
 
     def against_control(df: DataFrame, keys: list[str]) -> DataFrame:
-        arms = io.written(joins.with_pooled_control(io.written(df, "units"), "grp", "is_control"), "arms")  # a row a fly and test
+        arms = joins.with_pooled_control(io.written(df, "units"), "grp", "is_control")
         return stats.permutation_test(arms, ["scope", "metric", "test", *keys], "fly", "value", "arm", n, "mean", seed)
 
     starred = lambda df: stats.bh_adjust(io.written(df, "tests"), over=over).withColumn("stars", S.stars("p_adj"))

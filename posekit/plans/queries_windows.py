@@ -63,11 +63,22 @@ def w3b(frames):
     return out.where("s IS NOT NULL").select(*KEY, "frame", "s")
 
 
-@query("w3_savgol_long", "frames", f"SELECT recording, track, count(*) AS n, count(CASE WHEN n >= 221 THEN 1 END) AS n_smoothed FROM {FILLED} GROUP BY 1, 2")
+#: Ten tracks end to end, as series that are longer than the widest window.
+LONG = "(SELECT CAST(floor(track / 10) AS BIGINT) AS recording, 0 AS track, '' AS grp, row_number() OVER (PARTITION BY CAST(floor(track / 10) AS BIGINT) ORDER BY track, frame) AS frame, time, x FROM frames)"
+LINES = f"""(SELECT *, avg(x) OVER w AS m, regr_slope(x, frame) OVER w AS b FROM {FILLED.replace("FROM frames", "FROM " + LONG)} WHERE n >= 221 WINDOW w AS (PARTITION BY recording ORDER BY frame ROWS BETWEEN 110 PRECEDING AND 110 FOLLOWING))"""
+LONG_FIT = f"""SELECT recording, frame, CASE WHEN frame <= 110 THEN m1 + b1 * (frame - 111) WHEN frame > n - 110 THEN m2 + b2 * (frame - n + 110) ELSE m END AS s FROM {LINES}
+  JOIN (SELECT recording, max(CASE WHEN frame = 111 THEN m END) AS m1, max(CASE WHEN frame = 111 THEN b END) AS b1, max(CASE WHEN frame = n - 110 THEN m END) AS m2, max(CASE WHEN frame = n - 110 THEN b END) AS b2 FROM {LINES} GROUP BY 1) USING (recording)"""
+
+
+@query("w3_savgol_long", "frames", LONG_FIT, "s")
 def w3c(frames):
-    """The default window (221, 1): series too short for it have no smoothed value."""
-    out = W.moving_average(filled(frames), "x_filled", KEY, "frame", 221, "s")
-    return out.groupBy(*KEY).agg(F.count("*").alias("n"), F.count("s").alias("n_smoothed"))
+    """The default window (221, 1) over ten tracks end to end; a series too short for it has no smoothed value."""
+    ten = F.floor(F.col("track") / 10)
+    row = F.row_number().over(Window.partitionBy(ten).orderBy("track", "frame"))
+    ends = frames.select(ten.alias("recording"), row.alias("frame"), "x")
+    filled_in = W.interpolated(ends, "x", Window.partitionBy("recording").orderBy("frame"), "f")
+    out = W.moving_average(filled_in, "f", ["recording"], "frame", 221, "s")
+    return out.where("s IS NOT NULL").select("recording", "frame", "s")
 
 
 def _short_fit_sql(window: int, order: int) -> str:

@@ -98,6 +98,15 @@ def test_stems(spark):
     assert {r["stem"]: r["n"] for r in joins.matches_by_stem(stems, names).collect()} == {"recording_1": 3, "ab": 1, "zz": 0}
 
 
+def test_stems_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abé_"), n))
+    names = [word(int(rng.integers(0, 25))) for _ in range(400)] + [None, "aaaaaaaaaa"]
+    stems = [word(int(rng.integers(1, 9))) for _ in range(150)] + ["a", "aaaaaaa", "zzzzzzz", "", None]
+    got = {r["stem"]: r["n"] for r in joins.matches_by_stem(spark.createDataFrame([(x,) for x in stems], "stem string"), spark.createDataFrame([(x,) for x in names], "name string")).collect()}
+    assert got == {x: sum(n is not None and x in n for n in names) if x else 0 for x in stems}
+
+
 @pytest.mark.parametrize("b, a", [signal.butterworth(3, 0.2), signal.chebyshev1(3, 0.5, 0.2)])
 def test_filters_by_blocks_equal_the_recursion(b, a):
     x = np.random.default_rng(0).normal(size=300)

@@ -121,3 +121,18 @@ def test_given_models(spark):
     assert np.allclose([r["scores"][0] for r in out], s)
     assert [r["cluster"] for r in out] == [int(abs(v - 2) < abs(v + 2)) for v in s]
     assert np.allclose([r["far"] for r in out], np.minimum(abs(s - 2), abs(s + 2)))
+
+
+@pytest.mark.parametrize("statistic", ["mean", "median"])
+def test_permutation_tests_of_all_sizes_agree(spark, monkeypatch, statistic):
+    """In one row, by cells of the draws, and by sorting every repetition."""
+    rng = np.random.default_rng(4)
+    rows = [(g, k, "a" if rng.random() < 0.3 else "b", float(rng.normal())) for g, n in (("x", 300), (None, 40), ("y", 7)) for k in range(n)] + [("z", 1, "a", 1.0), ("x", 9999, "a", None)]
+    df = spark.createDataFrame(rows, "g string, u int, arm string, v double")
+    test = lambda s: {r["g"]: (r["n_a"], r["n_b"], r["p"]) for r in stats.permutation_test(df, ["g"], "u", "v", "arm", 120, s).collect()}
+    by_windows = test(stats.STATISTICS[statistic])
+    assert by_windows["z"][2] is None and set(by_windows) == {"x", "y", "z", None}
+    assert test(statistic) == by_windows
+    monkeypatch.setattr(stats, "SMALL_TEST", 50)
+    monkeypatch.setattr(stats, "CELL_BITS", 4)
+    assert test(statistic) == by_windows
