@@ -120,6 +120,23 @@ def test_filters_by_blocks_equal_the_recursion(b, a):
         assert np.allclose(signal._run(b, a, x[:n], state), want[:n], atol=1e-12)
 
 
+@pytest.mark.parametrize("b, a", [signal.butterworth(3, 0.2), signal.chebyshev1(3, 0.5, 0.2)])
+def test_long_series_spread_over_tasks(spark, b, a):
+    """Chunks with states carried on equal the recursion over whole series; a last chunk may be tiny."""
+    rng = np.random.default_rng(1)
+    series = {"long": rng.normal(size=4000).cumsum(), "rest": rng.normal(size=1003), "one": rng.normal(size=50), "tiny": np.arange(4.0), None: rng.normal(size=777)}
+    rows = [(g, k, None if k % 17 == 5 and len(x) > 20 else float(v)) for g, x in series.items() for k, v in enumerate(x)] + [("gone", k, None) for k in range(30)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(5)
+    got = {}
+    for r in signal.low_pass(df, ["g"], "k", "v", b, a, chunk=100).collect():
+        got.setdefault(r["g"], {})[r["k"]] = r["filtered"]
+    for g, x in series.items():
+        at = [k for k in range(len(x)) if not (k % 17 == 5 and len(x) > 20)]
+        want = signal.zero_phase(b, a, np.interp(range(len(x)), at, x[at]))
+        assert np.allclose([got[g][k] for k in range(len(x))], want, atol=1e-9), g
+    assert set(got["gone"].values()) == {None} and len(got["gone"]) == 30
+
+
 def blobs(spark, k=3, n=40):
     rng = np.random.default_rng(5)
     centres = np.array([[0, 0, 0], [20, 0, 5], [0, 30, -9]], float)[:k]
