@@ -511,11 +511,22 @@ def test_n_best_against_all_paths():
         assert {tuple(i) for _, i in got} <= {p for _, p in want}
 
 
+def test_token_files_of_repeated_rows_and_null_ids(spark):
+    df = docs(spark, ["same text", "same text", None]).select("doc_id", "text")
+    rows = df.union(df.where("doc_id = 0")).union(df.where("doc_id = 1").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text"))
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in huffman.roundtrip(rows, BYTES, 0).collect()))
+    assert len(got) == 5 and len({r[2:] for r in got if r[0] != 2}) == 1
+    starts = sorted((r[1], r[2]) for r in got)
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:k]) for k in range(5)]  # every id lies in exactly one row
+    assert [r[0] for r in sorted(got, key=lambda r: r[1])] in ([-1, 0, 0, 1, 2], [0, 0, 1, 2, -1])
+
+
 def test_n_best_of_odd_documents(spark):
     got = by_id(nbest.digest(docs(spark, [None, "", "  two  blanks ", "x" * 5000, "a▁b"]), PIECES))
     assert got[0]["n_pieces"] == got[1]["n_pieces"] == 0 and all(r["decodes"] for r in got.values())
     full = by_id(nbest.segment(docs(spark, ["hello world", None]), PIECES))
     assert len(full[0]["segmentations"]) == 3 and len(full[1]["segmentations"]) == 1
+    assert nbest.digest(docs(spark, []), PIECES).count() == 0
 
 
 # Line blocks against their definition
