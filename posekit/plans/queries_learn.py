@@ -79,6 +79,26 @@ def ml3b(emb):
     return by_model(emb).select("vec_id", "label", "cluster", "far")
 
 
+#: Given settings, as many centres each, for a choice by silhouette.
+SETTINGS = {"two": CENTRES[1:5:3], "four": CENTRES[:4], "six": CENTRES}
+
+
+def _setting_sql(name: str) -> str:
+    near = f"(SELECT vec_id, s0, s1, min_by(c, (d, c)) AS cluster FROM (SELECT *, (s0 - x) ** 2 + (s1 - y) ** 2 AS d FROM {SCORES_SQL} CROSS JOIN (VALUES {', '.join(f'({k}, {x}, {y})' for k, (x, y) in enumerate(SETTINGS[name]))}) AS t(c, x, y)) GROUP BY 1, 2, 3)"
+    sums = f"SELECT a.vec_id, a.cluster, b.cluster AS c, sum(sqrt((a.s0 - b.s0) ** 2 + (a.s1 - b.s1) ** 2)) AS total, count(*) AS n FROM {near} a CROSS JOIN {near} b GROUP BY 1, 2, 3"
+    each = f"SELECT vec_id, max(CASE WHEN c = cluster THEN total / nullif(n - 1, 0) END) AS own, min(CASE WHEN c <> cluster THEN total / n END) AS other FROM ({sums}) GROUP BY 1"
+    return f"SELECT '{name}' AS setting, avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette FROM ({each})"
+
+
+@query("o7_scored_settings", "embeddings", f"SELECT setting, silhouette FROM ({' UNION ALL '.join(map(_setting_sql, SETTINGS))}) ORDER BY silhouette DESC LIMIT 2", "silhouette")
+def o7b(emb):
+    """The two best of given settings by the exact silhouette of their clusters."""
+    rows = by_model(emb).select("vec_id", "scores")
+    score = lambda name: learn.silhouettes(learn.assigned(rows, "scores", SETTINGS[name]), "vec_id", "scores", "cluster").agg(F.avg("silhouette").alias("silhouette")).select(F.lit(name).alias("setting"), "silhouette")
+    scored_all = [score(name) for name in SETTINGS]
+    return scored_all[0].union(scored_all[1]).union(scored_all[2]).orderBy(F.desc("silhouette"), "setting").limit(2)
+
+
 @query("ml6_projected", "embeddings", f"SELECT vec_id, label, s0 AS map_x, s1 AS map_y FROM {SCORES_SQL}", "map_x map_y")
 def ml6b(emb):
     return by_model(emb).select("vec_id", "label", F.col("scores")[0].alias("map_x"), F.col("scores")[1].alias("map_y"))
