@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posekit.llm.common import arrow_slices, forget, hashes, hold, slices, small_batches, stored
+from posekit.llm.common import Scratch, arrow_slices, forget, hashes, hold, slices, small_batches, stored
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -309,7 +309,7 @@ def may_link(nx, ix, ny, iy):
     return fits & ((100 + PERCENT) * F.least(nx - ix, ny - iy) >= PERCENT * (nx + ny))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, keep: Scratch) -> DataFrame:
     """(x, y, d, linked) of pairs (x, y) by the sets of their whole texts.
 
     Only the texts of documents in pairs are read on; they meet their pairs by
@@ -333,7 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 out.append((x, y, 1.0 - both / union if union else 0.0, 100 * both >= PERCENT * union))
             yield pd.DataFrame(out, columns=["x", "y", "d", "linked"])
 
-    out = stored(both.select("x", "y", "tx", "ty").mapInPandas(run, "x long, y long, d double, linked boolean"), "verified")
+    out = keep(both.select("x", "y", "tx", "ty").mapInPandas(run, "x long, y long, d double, linked boolean"), "verified")
     forget(texts)
     return out
 
@@ -387,24 +387,27 @@ def possible(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, hot: dict[int, int], n_docs: int) -> DataFrame:
     """(x, y): links between class representatives that span all components."""
-    rows = stored(possible(prefixes(ordered(shared_shingles(docs, hot, n_docs), reps))), "prefixes")
-    blocks = stored(with_pivot(rows, ["key"]), "blocks")
-    found = verified(star_pairs(blocks), docs).where("linked").select("x", "y")
-    left = stored(mixed_blocks(rows, components(found)).select(F.col("doc").alias("doc_id")).distinct(), "left")
-    # The documents left over join again, as a collection of their own with all shingles counted.
-    again = stored(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "again")
-    n_again = left.count()
-    shared = shared_shingles(again, frequent(surveyed(again, 1.0), n_again), n_again, 1.0)
-    every = stored(ordered(shared, reps.join(left, "doc_id", "left_semi")), "ordered")
-    rows = stored(possible(prefixes(every)), "prefixes2")
-    blocks = stored(mixed_blocks(with_pivot(rows, ["key"]), components(found)).drop("comp", "largest"), "blocks2")
-    star = verified(star_pairs(blocks), again)
-    found = stored(found.union(star.where("linked").select("x", "y")), "links")
-    d = star.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
-    rows = blocks.join(d, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-    rows = mixed_blocks(rows, components(found))
-    rest = ring_pairs(stored(rows.join(heads(every.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc"), "rows"))
-    return found.union(verified(rest, again).where("linked").select("x", "y"))
+    with Scratch() as keep:
+        rows = keep(possible(prefixes(ordered(shared_shingles(docs, hot, n_docs), reps))), "prefixes")
+        blocks = keep(with_pivot(rows, ["key"]), "blocks")
+        found = verified(star_pairs(blocks), docs, keep).where("linked").select("x", "y")
+        left = keep(mixed_blocks(rows, components(found)).select(F.col("doc").alias("doc_id")).distinct(), "left")
+        # The documents left over join again, as a collection of their own with all shingles counted.
+        again = keep(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "again")
+        n_again = left.count()
+        survey = surveyed(again, 1.0)
+        shared = shared_shingles(again, frequent(survey, n_again), n_again, 1.0)
+        forget(survey)
+        every = keep(ordered(shared, reps.join(left, "doc_id", "left_semi")), "ordered")
+        rows = keep(possible(prefixes(every)), "prefixes2")
+        blocks = keep(mixed_blocks(with_pivot(rows, ["key"]), components(found)).drop("comp", "largest"), "blocks2")
+        star = verified(star_pairs(blocks), again, keep)
+        found = keep(found.union(star.where("linked").select("x", "y")), "links")
+        d = star.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "d")
+        rows = blocks.join(d, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
+        rows = mixed_blocks(rows, components(found))
+        rest = ring_pairs(keep(rows.join(heads(every.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc"), "rows"))
+        return stored(found.union(verified(rest, again, keep).where("linked").select("x", "y")), "links")
 
 
 def ring_pairs(rows: DataFrame) -> DataFrame:
