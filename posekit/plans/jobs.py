@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from posekit.functions import scalars as S
 from posekit.functions import windows as W
 from posekit.operators import aggregates as A
-from posekit.operators import events, filters, joins, learn, naming, stats, stim, tracks
+from posekit.operators import filters, joins, learn, naming, stats, stim, tracks
 from posekit.sources import io
 
 
@@ -184,8 +184,3 @@ def instance_pruning(points: DataFrame, node: str, least_score: float, gap: floa
     keys = ["recording", "frame"]
     two = tracks.two_best(rows.where(~controls), keys, gap)
     return two.unionByName(tracks.two_best(rows.where(controls), keys, gap, most=1))
-
-
-def contacts(frames: DataFrame, limit: float) -> DataFrame:
-    return events.contact_onsets(filters.time_range(frames, 0.0), ["recording", "track"], "frame", "x", limit)
-

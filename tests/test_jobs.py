@@ -55,6 +55,30 @@ def test_kinematics(spark, order):
                 assert (r[k] is None) if absent else abs(r[k] - v) < 1e-6, (t, f, k)
 
 
+def test_kept_tracks_in_nested_arrays(spark):
+    recordings = spark.createDataFrame([(1, [[1.0], [2.0], [3.0]]), (2, [[4.0]])], "recording int, tracks array<array<double>>")
+    kept = spark.createDataFrame([(1, 2), (1, 0), (2, 0)], "recording int, index int")
+    got = {r["recording"]: r["tracks"] for r in jobs.keep_in_tensor(recordings, kept).collect()}
+    assert got == {1: [[1.0], [3.0]], 2: [[4.0]]}
+
+
+def test_collection_filters_and_scopes(spark):
+    """Recordings by genotype and number of tracks; a frame is in each of its scopes; an unknown protocol has no stimulus."""
+    rows = [(r, t, f, n, float(f * (t + 1)) + x, float(f)) for r in range(4) for t in range(3 if r == 3 else 2) for f in range(1, 13) for n, x in (("head", 2.0), ("thorax", 0.0), ("abdomen", -2.0))]
+    points = spark.createDataFrame(rows, "recording int, track int, frame int, node string, x double, y double")
+    paths = ["/d/PG/PG_3_f/a/b/v.h5", "/d/PG_20240101/B6VF/a/b/v.h5", "/d/PG/PG_4_BAD/a/b/v.h5", "/d/PG/PG_5/a/b/v.h5"]
+    recordings = spark.createDataFrame(list(enumerate(paths)), "recording int, path string")
+    pulses = spark.createDataFrame([("short", 1, 20.0, 60.0), ("long", 1, 20.0, 60.0), ("long", 2, 400.0, 460.0)], "seq string, on_index int, start_s double, end_s double")
+    lab = jobs.labelled_kinematics(points, recordings, pulses, ["head", "thorax", "abdomen"], 0.025, 5, 1, ["thorax"], tokens=["bad"], most_tracks=2)
+    seen = {(r["recording"], r["grp"], r["sequence"], r["is_control"]) for r in lab.collect()}
+    assert seen == {(0, "PG3", "short", False), (1, "B6VF", "long", True)}
+    got = jobs.directional_velocity(lab, pulses, 10, tables=["per_fly", "per_stim"])
+    assert set(got) == {"per_fly", "per_stim"}
+    n = {(r["scope"], r["recording"], r["track"]): r["n_frames"] for r in got["per_fly"].collect()}
+    assert n == {("shared", r, t): 9 for r in (0, 1) for t in (0, 1)} | {("long", 1, t): 12 for t in (0, 1)}
+    assert {(r["scope"], r["recording"], r["on_index"]) for r in got["per_stim"].collect()} == {("shared", 0, 1), ("shared", 1, 1), ("long", 1, 1), ("long", 1, 2)}
+
+
 def test_kinematics_checks(spark):
     wide = spark.createDataFrame([(1, 1, 0.0, 0.0)], "track int, frame int, x_head double, y_head double")
     with pytest.raises(ValueError, match="fps"):
