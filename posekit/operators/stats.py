@@ -44,6 +44,11 @@ def repeated(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all shuffle partitions: they are few and small, and what is made of each is not."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def bootstrap_reps(df: DataFrame, keys: list[str], unit: str, value: str, n: int, statistic="mean", seed: int = 0) -> DataFrame:
     """(keys, rep, stat): statistic of n resamples of each group's values."""
     df = df.where(F.col(value).isNotNull())
@@ -76,7 +81,7 @@ def bootstrap_band(matrix: DataFrame, subject: str, bin_: str, value: str, n: in
     return matrix.groupBy(bin_).agg(F.avg(value).alias("point")).join(band, bin_)
 
 
-#: Units of a test that one task may hold; larger tests are selected by cells of their draws.
+#: Units of a test that one task may hold; of larger tests only the units near the arms' border meet.
 SMALL_TEST = 20_000
 #: Repetitions that one row of a small test stands for; bits of a draw that name its cell.
 REP_BLOCK, CELL_BITS = 50, 12
@@ -88,6 +93,7 @@ def _small_tests(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n
     held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("_v").alias("v")))).alias("_units"))
     held = joined(held, both, keys).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(REP_BLOCK))))
     flat = held.select(*keys, test.alias("_test"), "_rep", "n_a", "diff", F.transform("_units", lambda x: x["u"].cast("string")).alias("_u"), F.transform("_units", lambda x: x["v"].cast("double")).alias("_w"))
+    flat = spread(flat, *keys, "_rep")
     types = dict(flat.dtypes)
     middle = {"mean": np.mean, "median": np.median}[statistic]
 
@@ -107,22 +113,48 @@ def _small_tests(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n
     return flat.mapInPandas(run, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "_x long"]))
 
 
+def near_bounds(n_a: Column, size: Column) -> tuple[Column, Column]:
+    """Draws (as draw_text gives them) between which the n_a-th smallest of `size` lies, whole cells of CELL_BITS bits.
+
+    By Chernoff's bound it lies outside in less than one of 10^17 repetitions;
+    the bounds are about 18 * sqrt(n_a) units apart.
+    """
+    cells = 1 << CELL_BITS
+    under = F.greatest(n_a - F.sqrt(80.0 * n_a), F.lit(0.0)) / size
+    upto = (n_a + 40.0 + F.sqrt(80.0 * n_a + 1600.0)) / size
+    text = lambda cell: F.lpad(F.lower(F.hex(cell * (1 << (32 - CELL_BITS)))), 8, "0")
+    low = text(F.floor(under * cells).cast("long"))
+    return low, F.when(upto < 1.0, text(F.least(F.floor(upto * cells).cast("long") + 1, F.lit(cells - 1).cast("long"))))
+
+
 def _large_means(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n: int, seed: int) -> DataFrame:
-    """(keys, _x) of tests of any size, for means: repetitions are summed by cells of the draws, which leave a task as one row each; only the units of the cell that n_a ends in are put in order."""
+    """(keys, _x) of tests of any size, for means, in one pass over the draws.
+
+    What a repetition surely gives arm a leaves a task as one row, what it
+    surely leaves to arm b does not leave it, and only the few units with draws
+    near the n_a-th are put in order.
+    """
     test = [F.col(k).cast("string") for k in keys]
-    d = draw(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string"))
-    drawn = repeated(rows, n).withColumn("_d", d).withColumn("_cell", F.shiftright("_d", 32 - CELL_BITS))
-    cells = drawn.groupBy(*keys, "rep", "_cell").agg(F.count("*").alias("c"), F.sum("_v").alias("s"))
-    lists = joined(cells.groupBy(*keys, "rep").agg(F.array_sort(F.collect_list(F.struct("_cell", "c", "s"))).alias("_l"), F.sum("s").alias("_all")), both, keys)
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(-1).cast("long").alias("cell"))
-    walked = F.aggregate("_l", start, lambda z, x: F.when((z["cell"] >= 0) | (z["n"] + x["c"] > F.col("n_a")), F.struct(z["n"].alias("n"), z["s"].alias("s"), F.when(z["cell"] >= 0, z["cell"]).otherwise(x["_cell"]).alias("cell"))).otherwise(F.struct((z["n"] + x["c"]).alias("n"), (z["s"] + x["s"]).alias("s"), z["cell"].alias("cell"))))
-    edge = lists.withColumn("_z", walked).select(*keys, "rep", "_all", "n_a", "n_b", "diff", F.col("_z.n").alias("_under"), F.col("_z.s").alias("_sum"), F.col("_z.cell").alias("_cell"))
-    last = joined(drawn, edge.select(*keys, "rep", "_cell", "_under", "n_a"), [*keys, "rep", "_cell"])
-    some = F.slice(F.array_sort(F.collect_list(F.struct("_d", unit, "_v"))), F.lit(1), F.max(F.col("n_a") - F.col("_under")).cast("int"))
-    taken = last.groupBy(*keys, "rep").agg(F.aggregate(some, F.lit(0.0), lambda z, x: z + x["_v"]).alias("_rest"))
-    out = joined(edge, taken, [*keys, "rep"], "left").withColumn("_a", F.col("_sum") + F.coalesce("_rest", F.lit(0.0)))
+    size = F.col("n_a") + F.col("n_b")
+    low, high = near_bounds(F.col("n_a"), size)
+    tests = both.withColumns({"_low": low, "_high": high})  # SMALL_TEST units a row at least
+    sums = joined(rows.groupBy(*keys).agg(F.sum("_v").alias("_all")), F.broadcast(tests.select(*keys, "n_a", "n_b", "diff")), keys)
+    drawn = repeated(joined(spread(rows), F.broadcast(tests.select(*keys, "_low", "_high")), keys), n)
+    drawn = drawn.withColumn("_d", draw_text(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string")))
+    drawn = drawn.where(F.col("_high").isNull() | (F.col("_d") < F.col("_high")))
+    near = F.col("_d") >= F.col("_low")
+    parts = drawn.groupBy(*keys, "rep", F.when(near, F.col("_d")).alias("_d"), F.when(near, F.col(unit)).alias("_u")).agg(F.count("*").alias("_c"), F.sum("_v").alias("_v"))
+    edge = F.array_sort(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_u", "_v", "_c"))))
+    sure = lambda c: F.coalesce(F.sum(F.when(F.col("_d").isNull(), F.col(c))), F.lit(0))
+    reps = parts.groupBy(*keys, "rep").agg(sure("_c").alias("_under"), sure("_v").alias("_sum"), edge.alias("_edge"))
+    reps = joined(reps, F.broadcast(sums), keys)
+    left = (F.col("n_a") - F.col("_under")).cast("int")
+    rest = F.aggregate(F.slice("_edge", F.lit(1), left), F.lit(0.0), lambda z, x: z + x["_v"])
+    inside = left.between(0, F.size("_edge"))
+    a = F.when(inside, F.col("_sum") + rest).otherwise(F.raise_error(F.lit("a draw lies outside its bounds")).cast("double"))
     delta = F.col("_a") / F.col("n_a") - (F.col("_all") - F.col("_a")) / F.col("n_b")
-    return out.groupBy(*keys).agg(F.count_if(F.round(F.abs(delta), 9) >= F.round(F.abs("diff"), 9)).alias("_x"))
+    out = reps.withColumn("_a", a).select(*keys, "diff", delta.alias("_delta"))
+    return out.groupBy(*keys).agg(F.count_if(F.round(F.abs("_delta"), 9) >= F.round(F.abs("diff"), 9)).alias("_x"))
 
 
 def _by_windows(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n: int, stat: Callable[[Column], Column], seed: int) -> DataFrame:
@@ -143,8 +175,9 @@ def permutation_test(df: DataFrame, keys: list[str], unit: str, value: str, arm:
     Differences count as extreme when they are equal to nine decimals. An empty
     side gives null; plus_one is the (count + 1) / (n + 1) estimate. A
     repetition gives arm a the units of the n_a smallest draws. Tests of up to
-    SMALL_TEST units are repeated in one row, larger ones (means) by cells of
-    their draws; other statistics sort every repetition.
+    SMALL_TEST units are repeated in one row, larger ones (means) in partial
+    sums and a few units near the arms' border; other statistics sort every
+    repetition.
     """
     stat = statistic_of(statistic)
     df = written(df.where(F.col(value).isNotNull()).select(*keys, unit, F.col(value).alias("_v"), F.col(arm).alias("_arm")), "arms")  # a row a unit, read several times

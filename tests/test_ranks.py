@@ -136,3 +136,27 @@ def test_permutation_tests_of_all_sizes_agree(spark, monkeypatch, statistic):
     monkeypatch.setattr(stats, "SMALL_TEST", 50)
     monkeypatch.setattr(stats, "CELL_BITS", 4)
     assert test(statistic) == by_windows
+
+
+def test_large_tests_broadcast_no_draws(spark, monkeypatch):
+    """Only tables of tests are broadcast; draws, a row a unit and repetition, never are."""
+    rng = np.random.default_rng(5)
+    rows = [(g, k, "a" if k % 3 else "b", float(rng.normal())) for g in "xy" for k in range(900)]
+    monkeypatch.setattr(stats, "SMALL_TEST", 100)
+    df = spark.createDataFrame(rows, "g string, u int, arm string, v double")
+    out = stats.permutation_test(df, ["g"], "u", "v", "arm", 50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [part for part in plan.split("BroadcastExchange")[1:] if "md5" in part.split("Join")[0]] == []
+    by_windows = stats.permutation_test(df, ["g"], "u", "v", "arm", 50, stats.STATISTICS["mean"])
+    assert {tuple(r) for r in out.select("g", "n_a", "p").collect()} == {tuple(r) for r in by_windows.select("g", "n_a", "p").collect()}
+
+
+@pytest.mark.parametrize("n_a, size", [(1, 20_001), (300, 30_000), (15_000, 30_000), (29_999, 30_000)])
+def test_the_border_of_an_arm_lies_between_its_bounds(spark, n_a, size):
+    low, high = spark.range(1).select(*stats.near_bounds(F.lit(n_a), F.lit(size))).first()
+    low, high = int(low, 16), int(high, 16) if high else 2**32
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        at = np.sort(rng.integers(0, 2**32, size))[n_a - 1]
+        assert low <= at < high
+    assert (high - low) / 2**32 * size < 20 * n_a**0.5 + 100
