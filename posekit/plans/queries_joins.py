@@ -92,8 +92,7 @@ def j10(names):
 
 @query("j11_name_map", "names", "SELECT key, max(value) AS value FROM (SELECT name AS key, genotype AS value, 3 AS p FROM names UNION ALL SELECT lower(name), genotype, 2 FROM names WHERE lower(name) NOT IN (SELECT name FROM names) UNION ALL SELECT genotype, genotype, 1 FROM names) GROUP BY key")
 def j11(names):
-    latest = names.groupBy("name").agg(F.max("genotype").alias("genotype"))
-    return N.build_map(latest, ["name", "genotype"], "genotype", later_wins=True)
+    return N.build_map(names, ["name", "genotype"], "genotype", later_wins=True)
 
 
 @query("j12_name_match", "names", "SELECT id, CASE WHEN name LIKE 'small%' THEN 'small' WHEN split_part(name, ' ', 1) = 'hot' THEN 'hot' END AS matched FROM names")

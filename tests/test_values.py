@@ -246,3 +246,12 @@ def test_results_do_not_depend_on_partitions(spark):
     df = series(spark, y)
     run = lambda d: column(W.interpolated(W.savgol(d, "x", ["track"], "frame", 9, 2, "s"), "s", w1(), "f"), "f")
     assert run(df.repartition(7)) == run(df.coalesce(1))
+
+
+def test_a_map_keeps_every_key_of_every_column(spark):
+    """A genotype that is no name's largest is a key too."""
+    from posekit.plans.queries_joins import j11
+
+    names = spark.createDataFrame([("Ring", "SMALL"), ("Ring", "ECONOMY"), ("bolt", "LARGE")], "name string, genotype string")
+    got = {(r["key"], r["value"]) for r in j11(names).collect()}
+    assert got == {("Ring", "SMALL"), ("ring", "SMALL"), ("bolt", "LARGE"), ("SMALL", "SMALL"), ("ECONOMY", "ECONOMY"), ("LARGE", "LARGE")}
