@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 PX_TO_MM = 32.0 / 832.0
 
@@ -242,6 +245,12 @@ def sample_label(name, n) -> Column:
     return F.concat(col(name).cast("string"), F.lit(" (n="), col(n).cast("string"), F.lit(")"))
 
 
+@F.pandas_udf(DoubleType())
+def angle(y: pd.Series, x: pd.Series) -> pd.Series:
+    """atan2 by the C library, as SQL engines have it; Java's differs in the last bit, which decides steps of just pi."""
+    return pd.Series([math.atan2(b, a) if b == b and a == a else None for b, a in zip(y, x, strict=True)], dtype="float64")
+
+
 def identifier(path) -> Column:
     """date, arena and corridor lines of a path; Unknown where a part is missing."""
     pick = lambda p: F.coalesce(F.nullif(F.regexp_extract(col(path), p, 1), F.lit("")), F.lit("Unknown"))

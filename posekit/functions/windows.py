@@ -177,8 +177,8 @@ def unwrapped(df: DataFrame, column: str, keys: list[str], order_by: str, out: s
     """Angles (radians) with jumps beyond pi taken out, over the rows that have one; other rows stay null."""
     w = Window.partitionBy(*keys, F.col(column).isNull()).orderBy(order_by)
     step = F.col(column) - F.lag(column).over(w)
-    turns = F.floor((step + math.pi) / (2 * math.pi))
-    turns = F.when((step + math.pi) % (2 * math.pi) == 0, F.when(step > 0, turns - 1).otherwise(turns)).otherwise(turns)
+    over = lambda s: F.ceil((s - math.pi) / (2 * math.pi))  # noqa: E731  at least 1 of a step the least beyond pi
+    turns = F.when(step > math.pi, over(step)).when(step < -math.pi, -over(-step))
     df = df.withColumn("_t", F.coalesce(turns, F.lit(0)))
     return df.withColumn(out, F.when(F.col(column).isNotNull(), F.col(column) - 2 * math.pi * F.sum("_t").over(w.rowsBetween(*PAST)))).drop("_t")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from posekit.functions import scalars as S
 from posekit.functions import windows as W
 from posekit.operators import stim
 from posekit.plans.registry import query
@@ -109,7 +110,7 @@ def w5(frames):
 
 @query("w6_unwrap", "frames", f"SELECT recording, track, frame, a - 2 * pi() * sum(CASE WHEN step > pi() THEN 1 WHEN step < -pi() THEN -1 ELSE 0 END) OVER ({OVER}) AS u FROM (SELECT *, a - lag(a) OVER ({OVER}) AS step FROM (SELECT *, atan2(y - 50, x - 50) AS a FROM frames WHERE x IS NOT NULL AND y IS NOT NULL)) UNION ALL SELECT recording, track, frame, NULL FROM frames WHERE x IS NULL OR y IS NULL", "u")
 def w6(frames):
-    angles = frames.withColumn("a", F.atan2(F.col("y") - 50, F.col("x") - 50))
+    angles = frames.withColumn("a", S.angle(F.col("y") - 50, F.col("x") - 50))
     return W.unwrapped(angles, "a", KEY, "frame", "u").select(*KEY, "frame", "u")
 
 

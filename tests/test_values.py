@@ -255,3 +255,17 @@ def test_a_map_keeps_every_key_of_every_column(spark):
     names = spark.createDataFrame([("Ring", "SMALL"), ("Ring", "ECONOMY"), ("bolt", "LARGE")], "name string, genotype string")
     got = {(r["key"], r["value"]) for r in j11(names).collect()}
     assert got == {("Ring", "SMALL"), ("ring", "SMALL"), ("bolt", "LARGE"), ("SMALL", "SMALL"), ("ECONOMY", "ECONOMY"), ("LARGE", "LARGE")}
+
+
+def test_steps_of_just_pi_and_the_least_beyond(spark):
+    pi, up = math.pi, np.nextafter(math.pi, 4)
+    for step, turns in ((pi, 0), (-pi, 0), (up, 1), (-up, -1), (np.nextafter(pi, 0), 0), (3 * pi, 1), (7.0, 1), (10.0, 2), (-10.0, -2)):
+        rows = W.unwrapped(series(spark, [0.0, step]), "x", ["track"], "frame", "u")
+        assert abs(column(rows, "u")[1] - (step - turns * 2 * pi)) < 1e-12, step
+
+
+def test_angles_are_those_of_the_c_library(spark):
+    rng = np.random.default_rng(7)
+    places = [(float(y), round(float(x), 2)) for y, x in zip(rng.integers(-50, 50, 3000), rng.normal(0, 50, 3000), strict=True)]
+    rows = spark.createDataFrame([*places, (0.0, -1.0), (None, 1.0), (1.0, None)], "y double, x double").withColumn("a", S.angle("y", "x")).collect()
+    assert [r["a"] for r in rows[:-2]] == [math.atan2(r["y"], r["x"]) for r in rows[:-2]] and [r["a"] for r in rows[-2:]] == [None, None]
