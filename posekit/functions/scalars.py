@@ -252,9 +252,13 @@ def angle(y: pd.Series, x: pd.Series) -> pd.Series:
 
 
 def identifier(path) -> Column:
-    """date, arena and corridor lines of a path; Unknown where a part is missing."""
+    """date, arena and corridor lines of a path; Unknown where a part is missing.
+
+    A date is six to eight digits at the start or the end of a folder's name;
+    digits inside a name are a number of something else.
+    """
     pick = lambda p: F.coalesce(F.nullif(F.regexp_extract(col(path), p, 1), F.lit("")), F.lit("Unknown"))
-    return F.concat_ws("\n", pick(r"(\d{6,8})"), pick(r"(arena\d+)"), pick(r"(corridor\d+)"))
+    return F.concat_ws("\n", pick(r"((?<![^/])\d{6,8}(?!\d)(?=[^/]*/)|(?<!\d)\d{6,8}(?=/))"), pick(r"(arena\d+)"), pick(r"(corridor\d+)"))
 
 
 def padded_window(start, end, duration, pad: float = 2.0) -> Column:

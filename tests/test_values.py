@@ -269,3 +269,11 @@ def test_angles_are_those_of_the_c_library(spark):
     places = [(float(y), round(float(x), 2)) for y, x in zip(rng.integers(-50, 50, 3000), rng.normal(0, 50, 3000), strict=True)]
     rows = spark.createDataFrame([*places, (0.0, -1.0), (None, 1.0), (1.0, None)], "y double, x double").withColumn("a", S.angle("y", "x")).collect()
     assert [r["a"] for r in rows[:-2]] == [math.atan2(r["y"], r["x"]) for r in rows[:-2]] and [r["a"] for r in rows[-2:]] == [None, None]
+
+
+@pytest.mark.parametrize("path, date", [
+    ("/data/PG/pg_1234560_x/arena3/fly1/clip.mp4", "Unknown"), ("/data/PG_20240107/pg_123460_x/arena3/fly1/clip.mp4", "20240107"), ("/data/231115_TNT_Fine/arena3/c.mp4", "231115"),
+    ("/data/20240107/arena3/20230101.mp4", "20240107"), ("/data/PG_202401071/arena3/c.mp4", "Unknown"), ("/data/other/arena3/20230101.mp4", "Unknown"),
+])
+def test_a_date_is_a_folder_s_start_or_end(spark, path, date):
+    assert spark.createDataFrame([(path,)], "path string").select(S.identifier("path")).first()[0] == f"{date}\narena3\nUnknown"
