@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posekit.sources.io import written
+
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns minus mean over population std; a zero std counts as 1. One pass for all moments (one row)."""
@@ -49,80 +52,119 @@ def clusters(df: DataFrame, features: str, k: int = 20, seed: int = 0, out: str
     return model.transform(rows).drop("_f")
 
 
-#: Rows that are scored against all rows; of more rows, so many are drawn by a hash of their key.
-SCORED = 10_000
-#: Scored rows of a tile, and distance sums (scored rows x clusters) that a task may hold.
-TILE_ROWS, MOST_SUMS = 1024, 20_000_000
+#: Rows of a tile, and distance sums (rows of a tile x clusters) that a task may hold.
+TILE_ROWS, MOST_SUMS = 512, 20_000_000
+#: Bytes of a batch of tiles between Spark and Python.
+TILE_BYTES = 8 << 20
 
 
-def distance_sums(df: DataFrame, features: str, cluster: str, points: np.ndarray, names: list) -> DataFrame:
-    """(_i, _c, _total): the sum of Euclidean distances from each given point to the rows of each cluster.
+def tiles(df: DataFrame, key: str, features: str, cluster: str, names: list) -> DataFrame:
+    """(_tile, _keys, _mine, _x): up to TILE_ROWS rows each, clusters as positions in names, features as doubles in a row. Written once."""
+    at = {n: k for k, n in enumerate(names)}
 
-    Points come in tiles against the batches of rows as they are read; only the
-    sums of a task leave it. names: the clusters, _c is the position there.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), TILE_ROWS):
+                part = pdf.iloc[a : a + TILE_ROWS]
+                x = np.array(part[features].tolist(), float)
+                yield pd.DataFrame({"_tile": [uuid.uuid4().hex], "_keys": [part[key].tolist()], "_mine": [[at[c] for c in part[cluster]]], "_x": [x.tobytes()]})
+
+    rows = df.select(key, cluster, features).mapInPandas(run, f"_tile string, _keys array<{dict(df.dtypes)[key]}>, _mine array<long>, _x binary")
+    return written(rows, "tiles")
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x and y; of many columns by products, and near ones, where these cancel, by differences."""
+    if x.shape[1] <= 8:
+        square = np.zeros((len(x), len(y)))
+        for d in range(x.shape[1]):
+            square += (x[:, d, None] - y[None, :, d]) ** 2
+        return np.sqrt(square)
+    size = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None]
+    square = size - 2 * (x @ y.T)
+    i, j = np.nonzero(~(square > 1e-4 * size))
+    for a in range(0, len(i), 20_000):
+        at = slice(a, a + 20_000)
+        square[i[at], j[at]] = ((x[i[at]] - y[j[at]]) ** 2).sum(axis=1)
+    return np.sqrt(square)
+
+
+def distance_sums(scored: DataFrame, every: DataFrame, n_clusters: int) -> DataFrame:
+    """(_tile, _keys, _mine, _sums): sums of distances from each row of a scored tile to the rows of each cluster, of the tiles that met in a task.
+
+    All pairs of tiles are Spark's cross join; a task holds two tiles and the
+    sums of one.
     """
-    at = {n: k for k, n in enumerate(names)}
-    shared = df.sparkSession.sparkContext.broadcast(points)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        total = np.zeros((len(p), len(at)))
+        held, total = None, None
+        done = lambda: pd.DataFrame({"_tile": [held[0]], "_keys": [held[1]], "_mine": [held[2]], "_sums": [total.tobytes()]})
         for pdf in batches:
-            x = np.array(pdf[features].tolist(), float).reshape(len(pdf), p.shape[1])
-            member = np.zeros((len(pdf), len(at)))
-            member[np.arange(len(pdf)), [at[c] for c in pdf[cluster]]] = 1.0
-            for a in range(0, len(p), TILE_ROWS):
-                square = np.zeros((len(p[a : a + TILE_ROWS]), len(x)))
-                for d in range(p.shape[1]):
-                    square += (p[a : a + TILE_ROWS, d, None] - x[None, :, d]) ** 2
-                total[a : a + TILE_ROWS] += np.sqrt(square) @ member
-        i, c = np.divmod(np.arange(total.size), max(len(at), 1))
-        yield pd.DataFrame({"_i": i, "_c": c, "_total": total.ravel()})
-
-    rows = df.select(features, cluster).mapInPandas(run, "_i long, _c long, _total double")
-    return rows.groupBy("_i", "_c").agg(F.sum("_total").alias("_total"))
-
-
-def silhouettes(df: DataFrame, key: str, features: str, cluster: str, most: int = SCORED, seed: int = 0) -> DataFrame:
+            for tile, keys, mine, x, codes, y in zip(*[pdf[c] for c in ("_tile", "_keys", "_mine", "_x", "_codes", "_y")], strict=True):
+                if held is None or held[0] != tile:
+                    if held is not None:
+                        yield done()
+                    held, total = (tile, keys, mine), np.zeros((len(mine), n_clusters))
+                member = np.zeros((len(codes), n_clusters))
+                member[np.arange(len(codes)), codes] = 1.0
+                total += distances(np.frombuffer(x).reshape(len(mine), -1), np.frombuffer(y).reshape(len(codes), -1)) @ member
+        if held is not None:
+            yield done()
+
+    spark = scored.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TILE_BYTES))
+    left = scored.repartition(2 * spark.sparkContext.defaultParallelism)
+    pairs = left.crossJoin(every.select(F.col("_mine").alias("_codes"), F.col("_x").alias("_y")))
+    return pairs.mapInPandas(run, f"_tile string, _keys {dict(scored.dtypes)['_keys']}, _mine array<long>, _sums binary")
+
+
+def silhouettes(df: DataFrame, key: str, features: str, cluster: str, most: int | None = None, seed: int = 0) -> DataFrame:
     """(key, cluster, own, other, silhouette) on Euclidean distances to all rows.
 
     own: mean distance to the other rows of the row's cluster; other: the least
-    mean distance to another cluster. Exact for every row returned: all rows up
-    to `most`, else `most` of them. A cluster of one row has silhouette 0. Rows
-    without a cluster or features take no part.
+    mean distance to another cluster. Exact for every row returned: all rows, or
+    `most` of them, drawn by a hash of their key, if given. A cluster of one row
+    has silhouette 0. Rows without a cluster or features take no part. The work
+    is rows scored x rows, in tiles of bounded size.
     """
     rows = df.where(F.col(features).isNotNull() & F.col(cluster).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(cluster).count().collect()}  # one row a cluster
     names = sorted(sizes)
     if len(names) < 2:
         raise ValueError("silhouettes need two clusters at least")
-    if len(names) * min(most, sum(sizes.values())) > MOST_SUMS:
-        raise ValueError(f"scored rows x clusters are more than {MOST_SUMS}: score fewer rows")
-    chosen = rows.select(key, cluster, features)
-    if sum(sizes.values()) > most:
-        chosen = chosen.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)
-    held = chosen.collect()  # at most `most` rows
-    sums = distance_sums(rows, features, cluster, np.array([r[2] for r in held], float), names)
-    spark = df.sparkSession
+    if len(names) * TILE_ROWS > MOST_SUMS:
+        raise ValueError(f"rows of a tile x clusters are more than {MOST_SUMS}")
+    every = tiles(rows, key, features, cluster, names)
+    scored = every
+    if most is not None and sum(sizes.values()) > most:
+        scored = tiles(rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most), key, features, cluster, names)
+    size = np.array([sizes[n] for n in names], float)
     kind = dict(df.dtypes)
-    point = spark.createDataFrame([(k, r[0], r[1], names.index(r[1])) for k, r in enumerate(held)], f"_i long, `{key}` {kind[key]}, `{cluster}` {kind[cluster]}, _mine long")
-    size = spark.createDataFrame([(k, sizes[n]) for k, n in enumerate(names)], "_c long, _size long")
-    each = sums.join(size, "_c").join(point, "_i")
-    mine = F.col("_c") == F.col("_mine")
-    out = each.groupBy("_i", key, cluster).agg(
-        F.max(F.when(mine, F.try_divide(F.col("_total"), F.col("_size") - 1))).alias("own"),
-        F.min(F.when(~mine, F.col("_total") / F.col("_size"))).alias("other"),
-    )
-    s = F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0))
-    return out.select(key, cluster, "own", "other", F.when(F.col("own").isNull(), F.lit(0.0)).otherwise(s).alias("silhouette"))
-
-
-def silhouette(df: DataFrame, key: str, features: str, cluster: str, most: int = SCORED) -> float:
+
+    def finish(parts: pd.DataFrame) -> pd.DataFrame:
+        mine = np.array(parts["_mine"].iloc[0], int)
+        total = sum(np.frombuffer(t).reshape(len(mine), -1) for t in parts["_sums"])
+        at = np.arange(len(mine))
+        alone = size[mine] == 1
+        own = total[at, mine] / np.maximum(size[mine] - 1, 1)
+        mean = total / size
+        mean[at, mine] = np.inf
+        other = mean.min(axis=1)
+        most_of = np.maximum(own, other)
+        s = np.where(alone | (most_of == 0), 0.0, (other - own) / np.where(most_of == 0, 1.0, most_of))
+        own = [None if a else v for a, v in zip(alone, own, strict=True)]
+        return pd.DataFrame({key: list(parts["_keys"].iloc[0]), cluster: [names[k] for k in mine], "own": pd.Series(own, dtype="float64"), "other": other, "silhouette": s})
+
+    sums = distance_sums(scored, every, len(names))
+    return sums.groupBy("_tile").applyInPandas(finish, f"`{key}` {kind[key]}, `{cluster}` {kind[cluster]}, own double, other double, silhouette double")
+
+
+def silhouette(df: DataFrame, key: str, features: str, cluster: str, most: int | None = None) -> float:
     """Mean silhouette of the scored rows."""
     return float(silhouettes(df, key, features, cluster, most).agg(F.avg("silhouette")).first()[0])
 
 
-def sweep(df: DataFrame, key: str, features: str, ks: list[int], seeds: list[int], best: int = 5, most: int = SCORED) -> DataFrame:
+def sweep(df: DataFrame, key: str, features: str, ks: list[int], seeds: list[int], best: int = 5, most: int | None = None) -> DataFrame:
     """(k, seed, silhouette) of the best settings; one fit a setting, data cached once. A fit that leaves one cluster scores null."""
     spark, rows = df.sparkSession, df.select(key, features).persist()
 

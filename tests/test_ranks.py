@@ -160,3 +160,16 @@ def test_the_border_of_an_arm_lies_between_its_bounds(spark, n_a, size):
         at = np.sort(rng.integers(0, 2**32, size))[n_a - 1]
         assert low <= at < high
     assert (high - low) / 2**32 * size < 20 * n_a**0.5 + 100
+
+
+def test_silhouettes_return_every_row_of_more_than_ten_thousand(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_300, 9))
+    x[5000:5020] = x[0]  # copies, whose distance is 0
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "c": np.arange(len(x)) % 3, "v": x.tolist()})).repartition(4)
+    got = learn.silhouettes(df, "id", "v", "c").toPandas().sort_values("id")
+    assert len(got) == len(x)
+    d = np.sqrt(((x[5000] - x) ** 2).sum(axis=1))
+    c = np.arange(len(x)) % 3
+    means = [d[c == k].sum() / ((c == k).sum() - (k == c[5000])) for k in range(3)]
+    assert abs(got["own"].iloc[5000] - means[c[5000]]) < 1e-9 and abs(got["other"].iloc[5000] - min(m for k, m in enumerate(means) if k != c[5000])) < 1e-9
