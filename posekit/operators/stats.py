@@ -41,7 +41,8 @@ def draw(seed: int, *parts: str | Column) -> Column:
 
 
 def repeated(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    """Rows times repetitions, made by all shuffle partitions; as Spark plans with the size before, joins of the result need a hint."""
+    return spread(df).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -56,7 +57,7 @@ def bootstrap_reps(df: DataFrame, keys: list[str], unit: str, value: str, n: int
     test = [F.col(k).cast("string") for k in keys]
     picks = repeated(placed.select(*keys, F.col("_pos").alias("_slot"), "_n"), n)
     picks = picks.withColumn("_pos", (draw(seed, *test, F.col("rep").cast("string"), F.col("_slot").cast("string")) % F.col("_n")).cast("int"))
-    return picks.join(placed.select(*keys, "_pos", "_v"), [*keys, "_pos"]).groupBy(*keys, "rep").agg(statistic_of(statistic)(F.col("_v")).alias("stat"))
+    return picks.hint("merge").join(placed.select(*keys, "_pos", "_v"), [*keys, "_pos"]).groupBy(*keys, "rep").agg(statistic_of(statistic)(F.col("_v")).alias("stat"))
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], unit: str, value: str, n: int = 1000, ci: float = 95.0, statistic="mean", seed: int = 0) -> DataFrame:
@@ -74,8 +75,9 @@ def bootstrap_band(matrix: DataFrame, subject: str, bin_: str, value: str, n: in
     placed = numbered(matrix.select(subject).distinct(), [], subject)
     picks = repeated(placed.select(F.col("_pos").alias("_slot"), "_n"), n)
     picks = picks.withColumn("_pos", (draw(seed, F.lit("band"), F.col("rep").cast("string"), F.col("_slot").cast("string")) % F.col("_n")).cast("int"))
-    drawn = picks.groupBy("rep", "_pos").agg(F.count("*").alias("_w")).join(placed.select("_pos", subject), "_pos")
-    means = drawn.join(matrix, subject).groupBy("rep", bin_).agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("m"))
+    own = matrix.groupBy(subject).agg(F.collect_list(F.struct(bin_, F.col(value).alias("_v"))).alias("_cells"))  # a subject's bins
+    own = placed.select("_pos", subject).join(own, subject).select("_pos", "_cells")
+    means = picks.select("rep", "_pos").hint("merge").join(own, "_pos").select("rep", F.inline("_cells")).groupBy("rep", bin_).agg(F.avg("_v").alias("m"))
     tail = (100.0 - ci) / 200.0
     band = means.groupBy(bin_).agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1.0 - tail)).alias("hi"))
     return matrix.groupBy(bin_).agg(F.avg(value).alias("point")).join(band, bin_)
@@ -139,7 +141,7 @@ def _large_means(rows: DataFrame, both: DataFrame, keys: list[str], unit: str, n
     low, high = near_bounds(F.col("n_a"), size)
     tests = both.withColumns({"_low": low, "_high": high})  # SMALL_TEST units a row at least
     sums = joined(rows.groupBy(*keys).agg(F.sum("_v").alias("_all")), F.broadcast(tests.select(*keys, "n_a", "n_b", "diff")), keys)
-    drawn = repeated(joined(spread(rows), F.broadcast(tests.select(*keys, "_low", "_high")), keys), n)
+    drawn = repeated(joined(rows, F.broadcast(tests.select(*keys, "_low", "_high")), keys), n)
     drawn = drawn.withColumn("_d", draw_text(seed, *test, F.col("rep").cast("string"), F.col(unit).cast("string")))
     drawn = drawn.where(F.col("_high").isNull() | (F.col("_d") < F.col("_high")))
     near = F.col("_d") >= F.col("_low")

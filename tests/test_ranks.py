@@ -173,3 +173,12 @@ def test_silhouettes_return_every_row_of_more_than_ten_thousand(spark):
     c = np.arange(len(x)) % 3
     means = [d[c == k].sum() / ((c == k).sum() - (k == c[5000])) for k in range(3)]
     assert abs(got["own"].iloc[5000] - means[c[5000]]) < 1e-9 and abs(got["other"].iloc[5000] - min(m for k, m in enumerate(means) if k != c[5000])) < 1e-9
+
+
+def test_bootstrap_draws_are_neither_broadcast_nor_made_in_one_task(spark):
+    df = spark.range(0, 300, 1, 1).select("id", (F.col("id") % 3).alias("bin"), (F.col("id") * 1.5).alias("v"))
+    for out in (stats.bootstrap_band(df, "id", "bin", "v", 20), stats.bootstrap_reps(df, ["bin"], "id", "v", 20)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert [part for part in plan.split("BroadcastExchange")[1:] if "Generate explode" in part.split("Join")[0]] == []
+        below = plan.split("Generate explode")[1]
+        assert "RoundRobinPartitioning(4)" in below.split("Join")[0]
