@@ -18,9 +18,14 @@ to chance.
    least_shared(k) / k it goes. What is left is verified exactly on whole sets:
    in the sketches, where these are whole, else in the documents' shingle sets.
 5. Documents of lists that still lie in several components are sketched anew
-   with a larger k among themselves, where the order is much tighter; then all
-   pairs of their lists across components are generated, estimated and verified.
-6. Components of the links by star contraction.
+   with a larger k among themselves, where the order is much tighter.
+6. What is still undecided then is listed by whole sets. Sketches leave room for
+   pairs from a similarity of least_shared(k) / k on, and near copies between
+   that and the threshold, m^2 / 2 pairs in a family of m, would all meet; whole
+   sets leave room for what the threshold allows. Rows without room for any
+   member of their list go first; then members meet the most central one again,
+   and last all pairs of lists across components are generated and verified.
+7. Components of the links by star contraction.
 
 No list is cut and no candidate dropped; hot values (a third of all documents
 may share one) are counted by partial sums, and joins on lists may be split.
@@ -43,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posekit.llm.common import Scratch, arrow_slices, hold, small_batches, stored
-from posekit.llm.jaccard import components, mixed, mixed_blocks, shingle_sets, with_pivot
+from posekit.llm.jaccard import components, mixed, mixed_blocks, possible, shingle_sets, with_pivot
 
 WORDS = 4
 #: Similarity threshold in percent.
@@ -65,8 +70,8 @@ def least_shared(k: int) -> int:
     return t
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two sums f1, f2 that name the whole set, and the sketch: the k smallest hashes, rising, 8 bytes each."""
+def sketched(docs: DataFrame, k: int | None) -> DataFrame:
+    """doc_id, n_shingles, two sums f1, f2 that name the whole set, and the sketch: the k smallest hashes (k None: all), rising, 8 bytes each."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,46 +83,52 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
             f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             np.add.at(f1, at, mixed(flat))
             np.add.at(f2, at, mixed(~flat))
-            low = flat[np.arange(len(flat)) - np.repeat(first, n) < k]
-            edge = np.append(0, np.cumsum(np.minimum(n, k))) * 8
+            low = flat[np.arange(len(flat)) - np.repeat(first, n) < k] if k else flat
+            edge = np.append(0, np.cumsum(np.minimum(n, k) if k else n)) * 8
             sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge.astype("<i4").tobytes()), pa.py_buffer(low.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sketch], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
-def needed(n: Column, k: int) -> Column:
+def size(n: Column, k: int | None) -> Column:
+    """Values that a set of n retains."""
+    return F.least(n, F.lit(k)) if k else n
+
+
+def needed(n: Column, k: int | None) -> Column:
     """Retained values that a set of n shares with any set it links with."""
     whole = F.ceil(n * PERCENT / 100)
+    if not k:
+        return whole
     return F.when(100 * n <= PERCENT * k, whole).otherwise(F.least(whole, F.lit(least_shared(k))))
 
 
-def inverted(sketches: DataFrame, k: int) -> DataFrame:
+def inverted(sketches: DataFrame, k: int | None) -> DataFrame:
     """(key, doc, n, i, lone): lists of the values in prefixes; i: values of doc before it in the order; lone: share of values retained once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<i8")
             n = batch.column("n_shingles").to_numpy()
-            size = np.minimum(n, k)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(batch.column("doc_id").to_numpy(), size)), pa.array(np.repeat(n, size))], ["key", "doc", "n"])
+            held = np.minimum(n, k) if k else n
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(batch.column("doc_id").to_numpy(), held)), pa.array(np.repeat(n, held))], ["key", "doc", "n"])
 
     rows = sketches.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "key long, doc long, n long")
     often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(often, "key")
     one = Window.partitionBy("doc", "n")
-    size = F.least("n", F.lit(k))
-    shared = shared.withColumn("once", size - F.count("*").over(one)).withColumn("i", F.col("once") + F.row_number().over(one.orderBy("c", "key")) - 1)
-    return shared.where(F.col("i") <= size - needed(F.col("n"), k)).select("key", "doc", "n", "i", (F.col("once") / size).alias("lone"))
+    held = size(F.col("n"), k)
+    shared = shared.withColumn("once", held - F.count("*").over(one)).withColumn("i", F.col("once") + F.row_number().over(one.orderBy("c", "key")) - 1)
+    return shared.where(F.col("i") <= held - needed(F.col("n"), k)).select("key", "doc", "n", "i", (F.col("once") / held).alias("lone"))
 
 
-def room(nx: Column, ix: Column, ny: Column, iy: Column, k: int) -> Column:
+def room(nx: Column, ix: Column, ny: Column, iy: Column, k: int | None) -> Column:
     """Column: sizes and places leave room for a link, if this is the first value that both lists hold."""
     fits = 100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)
     whole = F.ceil(PERCENT * (nx + ny) / (100 + PERCENT))
-    overlap = F.when((nx <= k) & (ny <= k), whole).otherwise(F.least(whole, F.lit(least_shared(k))))
-    size = lambda n: F.least(n, F.lit(k))
-    return fits & (F.least(size(nx) - ix, size(ny) - iy) >= overlap)
+    overlap = F.when((nx <= k) & (ny <= k), whole).otherwise(F.least(whole, F.lit(least_shared(k)))) if k else whole
+    return fits & (F.least(size(nx, k) - ix, size(ny, k) - iy) >= overlap)
 
 
 def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -166,9 +177,11 @@ def compared(pairs: DataFrame, k: int | None) -> DataFrame:
     return pairs.mapInArrow(run, "x long, nx long, y long, ny long, sure boolean")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, keep: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int | None, keep: Scratch) -> DataFrame:
     """(x, y) of the pairs that link."""
     sets = sketches.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    if not k:
+        return compared(with_both(pairs, sets, "sketch"), None).select("x", "y")
     near = keep(compared(with_both(pairs, sets, "sketch"), k), "estimated")
     maybe = near.where("NOT sure").drop("sure")
     ids = maybe.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
@@ -176,13 +189,13 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, kee
     return near.where("sure").select("x", "y").union(exact.select("x", "y"))
 
 
-def star_pairs(blocks: DataFrame, k: int) -> DataFrame:
+def star_pairs(blocks: DataFrame, k: int | None) -> DataFrame:
     """Members with the most central one of their list."""
     fits = room(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"), k)
     return blocks.where(F.col("doc") != F.col("pivot")).where(fits).select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pivot").alias("y"), F.col("pn").alias("ny")).distinct()
 
 
-def cross_pairs(rows: DataFrame, k: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, k: int | None) -> DataFrame:
     """Pairs of a list in different components; one side is outside the list's largest."""
     x = rows.where(F.col("comp") != F.col("largest")).select("key", *[F.col(c).alias(f"{c}x") for c in ("doc", "n", "i", "comp")])
     y = rows.select("key", (F.col("comp") == F.col("largest")).alias("big"), *[F.col(c).alias(f"{c}y") for c in ("doc", "n", "i", "comp")])
@@ -203,8 +216,12 @@ def links(docs: DataFrame, sketches: DataFrame, first: int, again: int) -> DataF
         longer = keep(sketched(texts, again), "sketches")
         blocks = keep(with_pivot(inverted(longer, again), ["key"]), "lists")
         found = keep(found.union(verified(star_pairs(blocks, again), longer, texts, again, keep)), "links")
+        left = keep(mixed_blocks(blocks.select(*own), components(found)).select(F.col("doc").alias("doc_id")).distinct(), "undecided")
+        whole = keep(sketched(texts.join(left, "doc_id", "left_semi"), None), "whole")
+        blocks = keep(with_pivot(possible(inverted(whole, None)), ["key"]), "lists")
+        found = keep(found.union(verified(star_pairs(blocks, None), whole, texts, None, keep)), "links")
         rows = keep(mixed_blocks(blocks.select(*own), components(found)), "across")
-        return stored(found.union(verified(cross_pairs(rows, again), longer, texts, again, keep)), "links")
+        return stored(found.union(verified(cross_pairs(rows, None), whole, texts, None, keep)), "links")
 
 
 def near_duplicates(docs: DataFrame, first: int = RETAINED, again: int = RETAINED_AGAIN) -> DataFrame:

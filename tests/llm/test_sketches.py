@@ -94,6 +94,24 @@ def test_threshold_is_exact(spark):
     assert run(spark, texts) == brute(texts)
 
 
+def test_near_copies_below_the_threshold_do_not_all_meet(spark, monkeypatch):
+    """A family without its original, of more values than sketches retain: its pairs are at 0.7 to 0.8, where sketches alone leave room."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 9999)}"
+    base = [word() for _ in range(800)]
+    near = base[:]
+    for k in range(0, 800, 25):
+        near[k] = word()
+    family = {d: " ".join(word() if rng.random() < 0.04 else w for w in base) for d in range(40)}
+    texts = family | {40: " ".join(near), 41: " ".join([*near, "x"]), 42: " ".join(base[:700]), 43: " ".join(base[:640])}
+    made, plain = [], sketches.cross_pairs
+    monkeypatch.setattr(sketches, "cross_pairs", lambda rows, k: made.append(plain(rows, k)) or made[-1].persist())
+    got = run(spark, texts)
+    assert got == brute(texts)
+    assert len({c for _, c, _ in got.values()}) > 30
+    assert sum(pairs.count() for pairs in made) <= len(texts)
+
+
 def test_empty_and_repeated_rows(spark):
     assert sketches.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (0, "A b c d e"), (None, "a b c d e")], "doc_id long, text string")
