@@ -94,9 +94,10 @@ def _setting_sql(name: str) -> str:
 def o7b(emb):
     """The two best of given settings by the exact silhouette of their clusters."""
     rows = by_model(emb).select("vec_id", "scores")
-    score = lambda name: learn.silhouettes(learn.assigned(rows, "scores", SETTINGS[name]), "vec_id", "scores", "cluster").agg(F.avg("silhouette").alias("silhouette")).select(F.lit(name).alias("setting"), "silhouette")
-    scored_all = [score(name) for name in SETTINGS]
-    return scored_all[0].union(scored_all[1]).union(scored_all[2]).orderBy(F.desc("silhouette"), "setting").limit(2)
+    for name, centres in SETTINGS.items():
+        rows = learn.assigned(rows, "scores", centres, name)
+    got = list(zip(SETTINGS, learn.mean_silhouettes(rows, "vec_id", "scores", list(SETTINGS)), strict=True))
+    return emb.sparkSession.createDataFrame(got, "setting string, silhouette double").orderBy(F.desc("silhouette"), "setting").limit(2)
 
 
 @query("ml6_projected", "embeddings", f"SELECT vec_id, label, s0 AS map_x, s1 AS map_y FROM {SCORES_SQL}", "map_x map_y")

@@ -182,3 +182,56 @@ def test_bootstrap_draws_are_neither_broadcast_nor_made_in_one_task(spark):
         assert [part for part in plan.split("BroadcastExchange")[1:] if "Generate explode" in part.split("Join")[0]] == []
         below = plan.split("Generate explode")[1]
         assert "RoundRobinPartitioning(4)" in below.split("Join")[0]
+
+
+def test_all_settings_of_a_sweep_meet_the_pairs_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 2)) + 6 * rng.integers(0, 2, 1500)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, v array<double>")
+    plans, made = [], learn.distance_sums
+
+    def sums(*args):
+        plans.append(made(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(learn, "distance_sums", sums)
+    best = learn.sweep(df, "id", "v", [2, 3, 5], [0, 1], 6).collect()
+    assert len(plans) == 1 and len(best) == 6
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    for r in best:
+        label = np.array([c["cluster"] for c in learn.clusters(df, "v", r["k"], r["seed"]).orderBy("id").collect()])
+        assert abs(r["silhouette"] - brute_silhouettes(x, label).mean()) < 1e-9
+
+
+@pytest.mark.parametrize("runs", [0, 24])
+def test_silhouettes_of_several_clusterings(spark, monkeypatch, runs):
+    """Clusters of any type, one row alone, one cluster only, missing rows; far from the origin, with copies, and clusters that lie in runs or not."""
+    monkeypatch.setattr(learn, "FEW_RUNS", runs)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1300, 3)) + 1e6 * rng.integers(0, 2, 1300)[:, None]
+    x[40:60] = x[7]
+    a, b = rng.integers(0, 40, 1300), rng.choice(["p", "q"], 1300)
+    a[3] = 77
+    rows = [(k, int(c), str(d), "all", v.tolist()) for k, (c, d, v) in enumerate(zip(a, b, x, strict=True))] + [(2000, 1, None, "all", [0.0] * 3), (2001, 1, "p", "all", None)]
+    df = spark.createDataFrame(rows, "id int, a int, b string, one string, v array<double>").repartition(4)
+    got = learn.mean_silhouettes(df, "id", "v", ["a", "one", "b"])
+    assert got[1] is None
+    assert abs(got[0] - brute_silhouettes(x, a).mean()) < 1e-9 and abs(got[2] - brute_silhouettes(x, b).mean()) < 1e-9
+    assert learn.mean_silhouettes(df, "id", "v", ["one"]) == [None]
+
+
+def test_distances_that_cancel_are_differences():
+    rng = np.random.default_rng(11)
+    y = rng.normal(size=(200, 5)) * 1e-3 + 1e5 * rng.integers(0, 2, 200)[:, None]
+    few = np.concatenate([rng.normal(size=(190, 5)) * 1e5, y[:10]])
+    for x in (y, few, y[:1]):
+        want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        assert np.allclose(learn.distances(x, y), want, rtol=1e-9, atol=0)
+    x = np.array([[np.inf, 0.0], [1.0, 2.0], [np.nan, 0.0]])
+    y = np.array([[0.0, 0.0], [4.0, 6.0]])
+    with np.errstate(invalid="ignore"):
+        got = learn.distances(x, y)
+        back = learn.distances(y, x)
+    assert np.isinf(got[0]).all() and np.allclose(got[1], [5**0.5, 5.0]) and np.isnan(got[2]).all()
+    assert np.allclose(back[:, 1], [5**0.5, 5.0])
